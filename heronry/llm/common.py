@@ -112,3 +112,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def bounded_sample(rows: DataFrame, kind: str, most: int) -> DataFrame:
+    """About `most` rows of each value of column kind, chosen by a hash of doc_id: the bound on what a model is fitted to.
+
+    A count for each value gives the fraction to keep; a rank by the same hash cuts what exceeds the bound.
+    """
+    from pyspark.sql import Window
+
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
+    counts = {r[kind]: r["n"] for r in rows.groupBy(kind).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return rows.limit(0)
+    share = F.coalesce(*[F.when(F.col(kind) == v, F.lit(min(1.0, 1.5 * most / n))) for v, n in sorted(counts.items())])
+    ranked = rows.withColumn("_at", at).where(F.col("_at") <= share)
+    return ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(kind).orderBy("_at", "doc_id"))).where(F.col("_rank") <= most).drop("_at", "_rank")

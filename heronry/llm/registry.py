@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, prefix_bpe
+from . import ecoc_langid, es_mixing, exact_dedup, prefix_bpe, simhash_cover, zstd_quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_prefix_bpe": prefix_bpe.op2_prefix_bpe,
+    "op3_ecoc_langid": ecoc_langid.op3_ecoc_langid,
+    "op5_simhash_cover": simhash_cover.op5_simhash_cover,
+    "op6_zstd_quality": zstd_quality.op6_zstd_quality,
+    "op8_es_mixing": es_mixing.op8_es_mixing,
+}
+SQL = {
+    "op1_exact_dedup": exact_dedup.SQL,
+    "op8_es_mixing": es_mixing.SQL,
 }
-SQL = {"op1_exact_dedup": exact_dedup.SQL}
