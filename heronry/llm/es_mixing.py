@@ -62,8 +62,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("epochs", epochs.cast("long")).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edges = by_bin.withColumn("before", before).join(goal, by_bin["source"].eqNullSafe(goal["source"])).select(by_bin["source"].alias("_s"), by_bin["bin"].alias("_b"), "before", "n", "source_size", "target", "epochs", "left")
-    joined = rows.join(edges, rows["source"].eqNullSafe(F.col("_s")) & (rows["bin"] == F.col("_b")))
+    edges = by_bin.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), before.alias("before"), "n")
+    edges = edges.join(goal, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
+    joined = rows.join(edges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")))
     whole, none = F.col("before") + F.col("n") <= F.col("left"), F.col("before") >= F.col("left")
     inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     plain = joined.where(whole | none).withColumn("extra", whole.cast("long"))
