@@ -89,8 +89,8 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, ([1.0, 2.0, 3.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 3.0::DOUBLE * source_size AS bound FROM s),
 f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(bound) OVER fill, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER fill, 0.0)) AS level
       FROM w WINDOW fill AS (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-o AS (SELECT arg_min(level, bound / w) AS at FROM f WHERE bound / w > level),
-t AS (SELECT source, source_size, CASE WHEN at IS NULL THEN bound ELSE least(bound, at * w) END AS target FROM f, o),
+o AS (SELECT arg_min(level, bound / w) AS opened FROM f WHERE bound / w > level),
+t AS (SELECT source, source_size, CASE WHEN opened IS NULL THEN bound ELSE least(bound, opened * w) END AS target FROM f, o),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 r AS (SELECT k.doc_id, k.source, size, source_size, target, epochs, target - epochs * source_size AS rest,
              coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
