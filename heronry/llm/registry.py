@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import ecoc_langid, es_mixing, exact_dedup, prefix_bpe, simhash_cover, zstd_quality
+from . import blob_ledger, decision_list, ecoc_langid, es_mixing, exact_dedup, prefix_bpe, simhash_cover, zstd_quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_prefix_bpe": prefix_bpe.op2_prefix_bpe,
     "op3_ecoc_langid": ecoc_langid.op3_ecoc_langid,
+    "op4_decision_list": decision_list.op4_decision_list,
     "op5_simhash_cover": simhash_cover.op5_simhash_cover,
     "op6_zstd_quality": zstd_quality.op6_zstd_quality,
     "op8_es_mixing": es_mixing.op8_es_mixing,
+    "op9_blob_ledger": blob_ledger.op9_blob_ledger,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op8_es_mixing": es_mixing.SQL,
+    "op9_blob_ledger": blob_ledger.SQL,
 }
