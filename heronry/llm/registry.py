@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blob_ledger, decision_list, ecoc_langid, es_mixing, exact_dedup, prefix_bpe, simhash_cover, zstd_quality
+from . import blob_ledger, countmin_spans, decision_list, ecoc_langid, es_mixing, exact_dedup, prefix_bpe, simhash_cover, zstd_quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decision_list": decision_list.op4_decision_list,
     "op5_simhash_cover": simhash_cover.op5_simhash_cover,
     "op6_zstd_quality": zstd_quality.op6_zstd_quality,
+    "op7_countmin_spans": countmin_spans.op7_countmin_spans,
     "op8_es_mixing": es_mixing.op8_es_mixing,
     "op9_blob_ledger": blob_ledger.op9_blob_ledger,
 }
