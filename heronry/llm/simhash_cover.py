@@ -64,27 +64,33 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a spanning forest of the links between a and b (all within one array if same)."""
-    n = len(a) + (0 if same else len(b))
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    """Index pairs of a spanning forest of the links between a and b (all within one array if same).
+
+    The forest is grown outwards: what a fingerprint reaches leaves the pool it is compared with, so a group of
+    near copies costs one comparison for each of them, not for each pair.
+    """
+    sides = (a, a) if same else (a, b)
+    shift = 0 if same else len(a)
+    pools = [np.arange(len(a)), np.arange(len(b))]  # not yet reached
+    if same:
+        pools[1] = pools[0]
     left, right = [], []
-    for i in range(len(a)):
-        other = a[i + 1 :] if same else b
-        close = np.flatnonzero(np.bitwise_count(other ^ a[i]) <= radius)
-        for j in (close + (i + 1 if same else len(a))).tolist():
-            p, q = find(i), find(j)
-            if p != q:
-                root[q] = p
-                left.append(i)
-                right.append(j)
-    return np.array(left, np.int64), np.array(right, np.int64)
+    while len(pools[0]) and (same or len(pools[1])):
+        seed, pools[0] = int(pools[0][0]), pools[0][1:]
+        todo = [(0, seed)]
+        while todo:
+            side, i = todo.pop()
+            other = 0 if same else 1 - side
+            pool = pools[other]
+            near = np.bitwise_count(sides[other][pool] ^ sides[side][i]) <= radius
+            if near.any():
+                found = pool[near]
+                pools[other] = pool[~near]
+                left.append(np.full(len(found), i + shift * side))
+                right.append(found + shift * other)
+                todo += [(other, int(j)) for j in found]
+    nothing = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (nothing, nothing)
 
 
 def _links(radius: int, bucket: int):
