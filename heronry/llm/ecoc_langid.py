@@ -144,6 +144,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("_text"), *names).mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
 
 
+def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of docs whose language can be told: those that are not `und`. Without a model, one is learned from docs."""
+    model = model or learn(docs, F.coalesce(fold_crc("doc_id", 4) != 2, F.lit(False)))
+    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+
+
 def held_out() -> Column:
     return F.coalesce(fold_crc("doc_id", 4) == 2, F.lit(False))
 

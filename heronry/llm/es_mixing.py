@@ -52,7 +52,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, weight: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row; weight: of a document, above 0."""
+    """doc_id, source, size, source_size, target, taken, copies, tie of every row; weight: of a document, above 0.
+
+    copies: how often the mix takes the document; tie: a hash of its text.
+    """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), (weight if weight is not None else quality()).alias("q"), F.xxhash64("text").alias("tie"))
     rows = rows.withColumn("key", -F.log(uniform()) / F.col("q")).drop("q")
     rows = cut(rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int")))
@@ -70,11 +73,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     plain = joined.where(whole | none).withColumn("extra", whole.cast("long"))
     cutting = joined.where(~(whole | none)).withColumn("run", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     cutting = cutting.withColumn("extra", (F.col("run") + F.col("size") / 2 <= F.col("left")).cast("long")).drop("run")
-    return plain.unionByName(cutting).select("doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + F.col("extra")) * F.col("size")).alias("taken"))
+    copies = F.col("epochs") + F.col("extra")
+    return plain.unionByName(cutting).select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "tie")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of docs that the mix takes, with all their columns, each as often as it is taken.
+
+    Documents without a word go. Rows that repeat an id, a source and a text are taken alike.
+    """
+    taken = mix(docs, weights, most).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie")).agg(F.max("copies").cast("int").alias("_copies"))
+    found = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_tie")))
+    return found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op8_es_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("copies", "tie")
 
 
 SQL = """

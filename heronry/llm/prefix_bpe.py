@@ -261,6 +261,20 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
+def tokens(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, ids array<int> and decoded_sha256, the digest of the decoded ids."""
+
+    def run(batches):
+        own = encoder(path or public_tokenizers.path(VOCABULARY), pattern)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ids = [own.encode(x or "") for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([hashlib.sha256(own.bpe.decode(x)).hexdigest() for x in ids], pa.string())], names=["doc_id", "ids", "decoded_sha256"])
+
+    return docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids, without shipping the ids."""
 

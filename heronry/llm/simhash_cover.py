@@ -17,6 +17,8 @@ component; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,14 +55,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+    """doc_id, the fingerprint as a signed long, and the SHA-256 of the text (null: of the empty one)."""
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            found = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array([hashlib.sha256((x or "").encode()).digest() for x in texts], pa.binary())], names=["doc_id", "fp", "sha"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, sha binary")
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -164,17 +167,33 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return small.union(pairs.mapInArrow(run, schema))
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+def _components(docs: DataFrame, shingle: int, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, sha of every row; fp, root, component_id of every fingerprint)."""
     prints = cut(fingerprints(docs, shingle))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(nodes.select("fp"), radius, bucket))
     rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
+    return prints, rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+    prints, of_fp = _components(docs, shingle, radius, bucket)
     return prints.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """One row of docs for each component, with all its columns: that of the least doc_id (null last), then of the least SHA-256."""
+    prints, of_fp = _components(docs, shingle, radius, bucket)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first")
+    stays = cut(prints.join(of_fp, "fp").groupBy("root").agg(first, F.count("*").alias("n")).select(F.col("first.doc_id").alias("_id"), F.col("first.sha").alias("_sha"), "n"))
+    own = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    kept = own.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    again = prints.groupBy("doc_id", "sha").count().where("count > 1")
+    return (kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "_own"])).drop("_own")
+
+
 def op5_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 

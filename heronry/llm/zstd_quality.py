@@ -113,7 +113,7 @@ def _dictionary(pieces: list[bytes]) -> bytes:
 def learn(docs: DataFrame, labels: DataFrame, eligible) -> Model:
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("_label")).where(eligible & F.col("_label").isin(0, 1)).dropDuplicates(["doc_id"])
     chosen = bounded_sample(marks, "_label", SAMPLE).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "_label").orderBy(F.xxhash64("text"), "text").toArrow()
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "_label").agg(F.min("text").alias("text")).select("text", "_label").orderBy(F.xxhash64("text"), "text").toArrow()
     return fit(rows["text"].to_pylist(), rows["_label"].to_pylist())
 
 
