@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import curation_queries, evaluation_queries, graph_queries, operations_queries, ranking_queries, search_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
