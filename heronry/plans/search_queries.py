@@ -1 +1,130 @@
-"""Queries."""
+"""Search over the corpus. The query set is every row whose id is divisible by 100, against all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import policy as P
+from ..functions import text as T
+from ..operators import search as S
+from .bridge import atoms, edges, items, prompts, read, with_
+from .registry import query
+
+
+def lexical_queries(spark, d):
+    """Terms of every 100th document: its distinct tokens in order, the first 32."""
+    docs = read(spark, d, "documents").where("doc_id % 100 = 0")
+    return docs.select(F.col("doc_id").alias("query_id"), F.slice(F.array_sort(T.tokens(F.col("text"))), 1, 32).alias("terms"))
+
+
+def corpus(spark, d):
+    return items(spark, d).where("status = 'approved'").select("item_id", "item_type", "content")
+
+
+def vectors(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
+
+
+def vector_queries(spark, d):
+    return vectors(spark, d).where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "vector")
+
+
+def atom_items(spark, d):
+    return atoms(spark, d).select(F.col("atom_id").alias("item_id"), F.col("symbols").alias("labels"), "words")
+
+
+RELATION_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.RELATION_MULTIPLIERS.items()) + " ELSE 1.0 END::DOUBLE"
+LEXICAL = """lq AS (SELECT doc_id AS query_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}')))[1:32] AS terms FROM documents WHERE doc_id % 100 = 0),
+lt AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM lq),
+low AS (SELECT item_id, item_type, lower(content) AS low FROM items WHERE status = 'approved'),
+ls AS (SELECT query_id, item_id, item_type, round(count(*) / n_terms, 6) AS raw FROM lt JOIN low ON contains(low, term) GROUP BY query_id, item_id, item_type, n_terms),
+lexical AS (SELECT query_id, 'lexical' AS source, item_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rank FROM ls QUALIFY rank <= 18)"""
+VECTOR = """vs AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, c.label, round(greatest(0, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6) AS raw FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0),
+vector AS (SELECT query_id, 'vector' AS source, item_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rank FROM vs QUALIFY rank <= 18)"""
+
+
+@query(with_("items") + ",\n" + LEXICAL + " SELECT * FROM lexical")
+def lexical_topk(spark, d):
+    return S.lexical(lexical_queries(spark, d), corpus(spark, d))
+
+
+@query("WITH " + VECTOR + " SELECT * FROM vector")
+def vector_topk(spark, d):
+    return S.vector(vector_queries(spark, d), vectors(spark, d))
+
+
+@query(with_("items") + ",\n" + LEXICAL + """, m AS (SELECT query_id, item_id, raw + 0.15 AS raw FROM ls WHERE item_type IN ('memory', 'workflow', 'rule', 'bugfix'))
+SELECT query_id, 'memory' AS source, item_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rank FROM m QUALIFY rank <= 18""")
+def memory_search(spark, d):
+    return S.memory(lexical_queries(spark, d), corpus(spark, d))
+
+
+@query("WITH " + VECTOR + """, b AS (SELECT query_id, label AS item_id, max(raw) AS raw FROM vs GROUP BY 1, 2)
+SELECT query_id, 'vector' AS source, item_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rank FROM b QUALIFY rank <= 18""")
+def item_best_chunk(spark, d):
+    chunks = vectors(spark, d).select(F.col("item_id").alias("chunk_id"), F.col("label").alias("item_id"), "vector")
+    return S.best_chunk(vector_queries(spark, d), chunks)
+
+
+@query("WITH " + VECTOR + " SELECT query_id, item_id, raw FROM vs WHERE raw >= 0.3 AND query_id <> item_id")
+def atom_vector(spark, d):
+    """All facts at least so similar to a probe."""
+    return S.vector_scores(vector_queries(spark, d), vectors(spark, d)).where("raw >= 0.3 AND query_id <> item_id")
+
+
+@query(with_("prompts", "atoms") + """,
+q AS (SELECT query_id, lower(p_brand) AS precise, split_part(p_name, ' ', 1) AS word FROM prompts WHERE query_id % 100 = 0),
+h AS (SELECT query_id, atom_id AS item_id, max(CASE WHEN list_contains(symbols, precise) THEN 0.94 ELSE 0.82 END)::DOUBLE AS raw FROM q JOIN atoms ON list_contains(symbols, precise) OR list_contains(words, word) GROUP BY 1, 2)
+SELECT query_id, 'metadata' AS source, item_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rank FROM h QUALIFY rank <= 18""")
+def metadata_match(spark, d):
+    q = prompts(spark, d).where("query_id % 100 = 0").select("query_id", F.array(F.lower("p_brand")).alias("precise"), F.array(F.element_at(F.split("p_name", " "), 1)).alias("words"))
+    return S.metadata(q, atom_items(spark, d))
+
+
+GRAPH = f"""named AS (SELECT q.atom_id AS query_id, a.atom_id AS item_id, {P.HOP_WEIGHTS["target"]}::DOUBLE AS raw FROM atoms q JOIN atoms a ON q.symbols = a.symbols AND q.tags = a.tags AND q.words = a.words WHERE q.atom_id % 100 = 0 AND a.atom_id <> q.atom_id),
+walked AS (SELECT src AS query_id, dst AS item_id, round({P.HOP_WEIGHTS["seed"]} * {RELATION_SQL} * confidence, 6) AS raw FROM edges WHERE src % 100 = 0 UNION ALL
+ SELECT dst, src, round({P.HOP_WEIGHTS["seed"]} * {RELATION_SQL} * confidence, 6) FROM edges WHERE dst % 100 = 0),
+g AS (SELECT query_id, item_id, max(raw) AS raw FROM (SELECT * FROM named UNION ALL SELECT * FROM walked) GROUP BY 1, 2)"""
+
+
+@query(with_("atoms", "edges") + ",\n" + GRAPH + " SELECT query_id, 'graph' AS source, item_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rank FROM g QUALIFY rank <= 18")
+def graph_search(spark, d):
+    a = atoms(spark, d)
+    seeds = a.where("atom_id % 100 = 0").select(F.col("atom_id").alias("query_id"), F.col("atom_id").alias("item_id"), "symbols", "tags", "words")
+    named = seeds.drop("item_id").join(a.select(F.col("atom_id").alias("item_id"), "symbols", "tags", "words"), ["symbols", "tags", "words"]).where("item_id <> query_id")
+    return S.graph(seeds, edges(spark, d), named)
+
+
+@query(with_("edges") + f""",
+s AS (SELECT DISTINCT src AS query_id, dst AS mid FROM edges WHERE src % 100 = 0),
+known AS (SELECT query_id, mid AS item FROM s UNION SELECT query_id, query_id FROM s),
+x AS (SELECT DISTINCT s.query_id, e.src, e.dst, e.kind, e.confidence FROM s JOIN edges e ON e.src = s.mid WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.query_id = s.query_id AND k.item = e.dst)),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, src, dst, kind) AS n FROM x QUALIFY n <= 16),
+g AS (SELECT query_id, dst AS item_id, max(round({P.HOP_WEIGHTS["depth2"]} * {RELATION_SQL} * confidence, 6)) AS raw FROM f GROUP BY 1, 2)
+SELECT query_id, 'graph' AS source, item_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rank FROM g QUALIFY rank <= 18""")
+def graph_depth2(spark, d):
+    seeds = atoms(spark, d).where("atom_id % 100 = 0").select(F.col("atom_id").alias("query_id"), F.col("atom_id").alias("item_id"))
+    return S.graph_depth2(seeds, edges(spark, d))
+
+
+@query(with_("prompts", "atoms") + """,
+q AS (SELECT query_id, lower(p_brand) AS brand, split_part(p_name, ' ', 1) AS word FROM prompts WHERE query_id % 100 = 0)
+SELECT query_id, atom_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY CASE tier WHEN 'canonical' THEN 3 WHEN 'verified' THEN 2 ELSE 1 END DESC, last_reused DESC NULLS LAST, atom_id) AS rank
+FROM q JOIN atoms ON list_contains(symbols, brand) OR list_contains(words, word) WHERE status = 'active' QUALIFY rank <= 18""")
+def atom_trigger(spark, d):
+    q = prompts(spark, d).where("query_id % 100 = 0").select("query_id", F.array(F.lower("p_brand"), F.element_at(F.split("p_name", " "), 1)).alias("keys"))
+    return S.by_trigger(q, atoms(spark, d).withColumn("keys", F.concat("symbols", "words")))
+
+
+@query(with_("atoms") + " SELECT atom_id, tier, 'team' AS scope FROM atoms WHERE status = 'active' AND atom_id % 4 = 1 UNION ALL SELECT atom_id, tier, 'project' FROM atoms WHERE status = 'active' AND atom_id % 4 = 2 AND tier <> 'draft'")
+def convention_lane(spark, d):
+    a = atoms(spark, d).where("status = 'active'")
+    team = a.where("atom_id % 4 = 1").select("atom_id", "tier", F.lit("team").alias("scope"))
+    return team.unionByName(a.where("atom_id % 4 = 2 AND tier <> 'draft'").select("atom_id", "tier", F.lit("project").alias("scope")))
+
+
+@query(with_("items") + ",\n" + LEXICAL + ",\n" + VECTOR + f""", b AS (SELECT query_id, max(raw) AS best FROM (SELECT * FROM lexical UNION ALL SELECT * FROM vector) WHERE rank <= 5 GROUP BY 1)
+SELECT lq.query_id, coalesce(best, 0) AS best, coalesce(best, 0) < {P.PROBE} AS rewrite FROM lq LEFT JOIN b ON lq.query_id = b.query_id""")
+def probe_gate(spark, d):
+    q = lexical_queries(spark, d)
+    return S.probe(S.lexical(q, corpus(spark, d)).unionByName(S.vector(vector_queries(spark, d), vectors(spark, d))), q)

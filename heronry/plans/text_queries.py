@@ -121,8 +121,8 @@ def safety_decision(spark, d):
 
 @query("""
 WITH w AS (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) - 1) // 512 + 1))) * 512 AS begin_at FROM documents),
-c AS (SELECT doc_id, begin_at, len(regexp_extract_all(lower(substr(text, (begin_at + 1)::INT, 2048)), '\\b(the|and|der|und|les|des|los|las)\\b')) AS hits FROM w)
+c AS (SELECT doc_id, begin_at, len(regexp_extract_all(lower(substr(text, (begin_at + 1)::INT, 2048)), '(the|and|der|und|les|des|los|las)')) AS hits FROM w)
 SELECT doc_id, arg_min(begin_at, (-hits, begin_at))::INT AS begin_at, max(hits)::INT AS hits FROM c GROUP BY doc_id""")
 def anchor_window(spark, d):
     """The slice of 2,048 characters, moved by 512, with most anchor words; the earlier of equal ones."""
-    return signals.anchor_window(read(spark, d, "documents").select("doc_id", "text"), r"\b(the|and|der|und|les|des|los|las)\b", 2048, 512)
+    return signals.anchor_window(read(spark, d, "documents").select("doc_id", "text"), "(the|and|der|und|les|des|los|las)", 2048, 512)
