@@ -35,44 +35,36 @@ from .exchange import BLOCK, CELL_BITS, MESSAGE, ROOM, asked, block_bits, by_blo
 LENGTH, GRAM = 100, 50
 BASE = 0xA0761D6478BD642F
 #: Segments whose columns are built together; collections of fewer are joined up to this size.
-TOGETHER = 1 << 15
+TOGETHER = 1 << 13
+#: Bits by which blocks of segments, which bring their bytes, are more than blocks of anchors.
+FINER = 4
 #: An anchor whose cell counts so many is hot. SINGLE marks a string of such an anchor in place of the anchor's offset.
 HOT, SINGLE = 1 << 12, 65535
-#: Bits of a packed key that hold a place, so the longest stretch that is hashed at once.
-PLACE = 24
+#: Strings that are hashed at once, and bits of a packed key that hold a place among them.
+STRETCH, PLACE = 1 << 18, 19
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(start, number of strings, anchor's offset from start, anchor's hash) of every segment of the texts that end at ends."""
-    parts, lo = [], 0
-    step = (1 << PLACE) - length
-    while lo + length <= len(data):
-        parts.append(_anchors(data[lo : lo + step + length - 1], lo, length, gram))
-        lo += step
+    parts = [_anchors(data[lo : lo + STRETCH + length - 1], lo, ends, length, gram) for lo in range(0, max(0, len(data) - length + 1), STRETCH)]
     if not parts:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, np.zeros(0, np.uint64)
-    start, place, h = (np.concatenate([p[k] for p in parts]) for k in range(3))  # of every string
-    stop = ends[np.searchsorted(ends, start, "right")]
-    keep = start + length <= stop
-    start, place, h, stop = start[keep], place[keep], h[keep], stop[keep]
-    if not len(start):
-        return start, start, start, h
-    new = np.r_[True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (stop[1:] != stop[:-1])]
+    start, count, place, h = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    new = np.ones(len(start), bool)  # a segment may go on in the next stretch
+    new[1:] = (start[1:] != start[:-1] + count[:-1]) | (place[1:] != place[:-1]) | (ends.searchsorted(start[1:], "right") != ends.searchsorted(start[:-1], "right"))
     at = np.flatnonzero(new)
-    return start[at], np.diff(np.r_[at, len(start)]), place[at] - start[at], h[at]
+    return start[at], np.add.reduceat(count, at) if len(at) else count, place[at] - start[at], h[at]
 
 
-def _anchors(data: np.ndarray, lo: int, length: int, gram: int):
+def _anchors(data: np.ndarray, lo: int, ends: np.ndarray, length: int, gram: int):
+    """The segments of one stretch: start, number of strings, anchor's place, anchor's hash."""
     n, wide = len(data) - gram + 1, length - gram + 1
     up, down = _powers(BASE, len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    key = mix((total[gram:] - total[:-gram]) * down[:n])
-    hashes = key.copy()
-    key >>= np.uint64(PLACE)
-    key <<= np.uint64(PLACE)
-    key |= np.arange(n, dtype=np.uint64)
+    hashes = mix((total[gram:] - total[:-gram]) * down[:n])
+    key = (hashes >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(n, dtype=np.uint64)
     # The least of every `wide` neighbours: of runs cut at multiples of it, the tail of one and the head of the next.
     rows = -(-n // wide)
     padded = np.full(rows * wide, np.iinfo(np.uint64).max, np.uint64)
@@ -82,7 +74,12 @@ def _anchors(data: np.ndarray, lo: int, length: int, gram: int):
     tail = np.ascontiguousarray(np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]).ravel()
     m = n - wide + 1
     place = (np.minimum(tail[:m], head[wide - 1 : wide - 1 + m]) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
-    return np.arange(m, dtype=np.int64) + lo, place + lo, hashes[place]
+    start = np.arange(m, dtype=np.int64)
+    doc = ends.searchsorted(start + lo, "right")
+    keep = start + lo + length <= ends[doc]
+    start, place, doc = start[keep], place[keep], doc[keep]
+    at = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]) if len(start) else start
+    return start[at] + lo, np.diff(np.r_[at, len(start)]), place[at] + lo, hashes[place[at]]
 
 
 def pack_segments(texts: list[bytes], bits: int, length: int, gram: int):
@@ -94,7 +91,7 @@ def pack_segments(texts: list[bytes], bits: int, length: int, gram: int):
 
 
 def construct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, start) of all suffixes in order, empty ones too, by inserting one symbol of each text a round.
+    """(text, start) of all suffixes of short texts in order, empty ones too, by inserting one symbol of each text a round.
 
     Equal suffixes are in order of text. symbols holds, for every suffix so far, the byte before it plus one, or 0 at a text's
     start; the byte's rank among them is where the suffix that begins with it goes.
@@ -106,7 +103,7 @@ def construct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint8) + np.uint8(1)
     row = np.repeat(np.arange(n), size)
     table[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + deep + 1 - np.repeat(size, size)] = flat
-    symbols, who, left = table[:, deep].copy(), np.arange(n, dtype=np.int32), size.astype(np.int32).copy()
+    symbols, who, left = table[:, deep].copy(), np.arange(n, dtype=np.int32), size.astype(np.int16)
     place, alive = np.arange(n), np.arange(n)  # where the last suffix of each growing text is
     for k in range(1, deep + 1):
         growing = size[alive] >= k
@@ -119,7 +116,7 @@ def construct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         total = len(symbols) + len(alive)
         old = np.ones(total, bool)
         old[to] = False
-        grown = np.empty(total, np.uint8), np.empty(total, np.int32), np.empty(total, np.int32)
+        grown = np.empty(total, np.uint8), np.empty(total, np.int32), np.empty(total, np.int16)
         for g, before, new in zip(grown, (symbols, who, left), (table[alive, deep - k], alive, size[alive] - k)):
             g[old] = before
             g[to] = new
@@ -174,10 +171,10 @@ def _anchor_pass(bits: int, length: int, gram: int):
 
 def _merge_counts(rows: list[dict]) -> list[bytes]:
     """One block of the sketch of anchors: replies which cells reach two, then which reach HOT."""
-    sketch = np.zeros(BLOCK * ROOM, np.uint32)
+    sketch = np.zeros(BLOCK * ROOM, np.uint16)  # counts stop at HOT
     cells = [unsqueeze(r["cells"], r["n"]) for r in rows]
     for r, c in zip(rows, cells):
-        sketch[c] += np.frombuffer(zstandard.decompress(r["more"], max_output_size=r["n"]), np.uint8)
+        sketch[c] = np.minimum(sketch[c] + np.frombuffer(zstandard.decompress(r["more"], max_output_size=r["n"]), np.uint8), HOT)
     return [pack_bits(np.concatenate([sketch[c] > 1, sketch[c] >= HOT])) for c in cells]
 
 
@@ -203,7 +200,7 @@ class _Segments:
         self.count = np.concatenate([count[plain], np.ones(len(single), np.int64)])
         self.offset = np.concatenate([offset[plain], np.full(len(single), SINGLE)])
         self.key = np.concatenate([key[plain], digest[:, 0].astype(np.uint64)])
-        self.block = (self.key >> np.uint64(64 - bits - CELL_BITS) >> np.uint64(CELL_BITS)).astype(np.int64)
+        self.block = (self.key >> np.uint64(64 - bits - FINER)).astype(np.int64)
         order = np.lexsort((self.start, self.block))
         self.start, self.count, self.offset, self.key, self.block = (x[order] for x in (self.start, self.count, self.offset, self.key, self.block))
         first: dict[tuple[int, bytes], int] = {}
