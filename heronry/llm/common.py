@@ -1,4 +1,4 @@
-"""Helpers that the text operators share: tables, cut lineage, keys and byte-level views of Arrow text."""
+"""Helpers that the text operators share: tables, cut lineage, folds, small batches, bounded samples."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,55 +52,11 @@ def fold_crc(column: str, mod: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
 
 
-def keyed(docs: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
-    """(rows of _k, doc_id, text and extra columns; whether _k was dealt). _k is unique and ordered as doc_id is.
-
-    Where doc_id is unique and never null, _k is doc_id. Otherwise the rows are sorted by
-    (doc_id nulls last, text) and numbered, and the numbered table is cut, so every later read agrees.
-    """
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
-    odd = docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count()
-    if not odd:
-        return docs.withColumn("_k", F.col("doc_id").cast("long")), False
-    dealt = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_k", F.monotonically_increasing_id())
-    return cut(dealt), True
-
-
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an Arrow string or binary array without copying; nulls count as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
-    kind = np.int64 if wide else np.int32
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return flat, at
-
-
-def slices(offsets: np.ndarray, most: int):
-    """Row ranges (from, to) that hold at most `most` bytes each, or a single longer row."""
-    n, lo = len(offsets) - 1, 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
-
-
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-
-
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end byte of every word in data (UTF-8; separators are ASCII, so bytes suffice)."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_IS_SPACE[data]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def small(batches, rows: int = 256):
+    """The batches in slices of so many rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_crc, table
+from .common import bounded_sample, fold_crc, small, table
 
 SAMPLE, SAMPLES = 400, 4000
 GRAMS = (1, 2, 3)
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in small(batches):
             found = [own.predict(x) for x in batch.column(0).to_pylist()]
             cols = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], "lang_pred", "score", "ambiguous"])
@@ -167,7 +167,7 @@ def identify_slim(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in small(batches):
             found = [own.predict(x) for x in batch.column(1).to_pylist()]
             cols = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])

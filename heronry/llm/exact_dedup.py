@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 999979)
@@ -67,7 +67,7 @@ def fingerprint(data: bytes) -> tuple[int, int]:
 
 
 def _prints(batches):
-    for batch in batches:
+    for batch in small(batches):
         texts = [(x or "").encode().lower() for x in batch.column(1).to_pylist()]
         fp = [fingerprint(x) for x in texts]
         yield pa.RecordBatch.from_arrays(
@@ -77,7 +77,7 @@ def _prints(batches):
 
 
 def _chunks(batches):
-    for batch in batches:
+    for batch in small(batches):
         rows = ([], [], [], [])
         held = 0
         for x in batch.column(0).to_pylist():

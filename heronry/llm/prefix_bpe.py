@@ -23,11 +23,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, pairs of tokens and byte prefixes whose outcome a worker remembers, and the longest such prefix.
-PIECES, PAIRS, PREFIXES, SHARED = 400_000, 700_000, 500_000, 48
+PIECES, PAIRS, PREFIXES, SHARED = 200_000, 400_000, 200_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -242,10 +242,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def run(batches):
         own = encoder(path or public_tokenizers.path(VOCABULARY), pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.encode(x or "") for x in part.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for part in small(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.encode(x or "") for x in part.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -266,11 +264,9 @@ def tokens(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def run(batches):
         own = encoder(path or public_tokenizers.path(VOCABULARY), pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [own.encode(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([hashlib.sha256(own.bpe.decode(x)).hexdigest() for x in ids], pa.string())], names=["doc_id", "ids", "decoded_sha256"])
+        for part in small(batches):
+            ids = [own.encode(x or "") for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([hashlib.sha256(own.bpe.decode(x)).hexdigest() for x in ids], pa.string())], names=["doc_id", "ids", "decoded_sha256"])
 
     return docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded_sha256 string")
 
@@ -281,7 +277,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
     def run(batches):
         own = encoder(path or public_tokenizers.path(VOCABULARY), pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
+        for batch in small(batches):
             counts, ids, texts = [], [], []
             for x in batch.column(1).to_pylist():
                 found = own.words(x or "")

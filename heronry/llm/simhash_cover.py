@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, the fingerprint as a signed long, and the SHA-256 of the text (null: of the empty one)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             found = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array([hashlib.sha256((x or "").encode()).digest() for x in texts], pa.binary())], names=["doc_id", "fp", "sha"])

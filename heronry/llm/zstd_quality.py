@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_crc, table
+from .common import bounded_sample, fold_crc, small, table
 
 SAMPLE = 600
 DICTIONARY, LEVEL, PIECE = 32 << 10, 3, 500
@@ -123,7 +123,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in small(batches):
             found = [own.score(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64()), pa.array([int(x >= THRESHOLD) for x in found], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
