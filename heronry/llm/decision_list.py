@@ -26,6 +26,10 @@ from .common import SPACE, bounded_sample, fold_crc, table
 SAMPLE = 1500
 #: Cut points tried for each feature, conditions of a rule, rules of a list, and a rule's least precision on rows kept apart.
 CUTS, DEPTH, RULES, PRECISE = 24, 3, 8, 0.9
+#: The share of a rule's bad rows that it must still cover when its thresholds are moved away from the good ones.
+KEPT = 0.97
+#: The share of all bad rows that a rule must cover at least; rules for fewer would fit the sample.
+SUPPORT = 0.05
 WINDOW = 5
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_marks", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -125,6 +129,15 @@ def learn_rules(rows: list[dict[str, float]], bad: list[bool]) -> list[tuple[Con
             mask &= held[c]
         return mask
 
+    def loosened(rule):
+        """Each threshold moved as far towards rejecting less as KEPT of the bad rows that the rule covers allow: a margin for what the sample lacks."""
+        rule = list(rule)
+        least = KEPT * counts(covered(rule, left))[0]
+        for k, c in enumerate(rule):
+            others = [x for x in pool if x.feature == c.feature and x.above == c.above and counts(covered([*rule[:k], x, *rule[k + 1 :]], left))[0] >= least]
+            rule[k] = max([c, *others], key=lambda x: x.threshold if x.above else -x.threshold)
+        return rule
+
     while len(rules) < RULES:
         rule, mask = [], left & ~prune
         while len(rule) < DEPTH:
@@ -142,9 +155,10 @@ def learn_rules(rows: list[dict[str, float]], bad: list[bool]) -> list[tuple[Con
             break
         worth = lambda r: (lambda p, n: (p - n) / max(1, p + n))(*counts(covered(r, left & prune)))  # noqa: E731, B023
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
+        rule = loosened(rule)
         p, n = counts(covered(rule, left))
         q, m = counts(covered(rule, left & prune))
-        if p < 2 or p < PRECISE * (p + n) or q < PRECISE * (q + m):
+        if p < max(2, SUPPORT * is_bad.bit_count()) or p < PRECISE * (p + n) or q < PRECISE * (q + m):
             break
         rules.append(tuple(rule))
         left &= ~covered(rule, left)
