@@ -13,8 +13,8 @@ with its own copies.
 
 Of equal strings the first stays (smaller doc_id, then earlier start); every byte covered by a later one goes.
 
-Defined results: a null or empty text has no byte; a text shorter than LENGTH loses nothing; documents that repeat an id
-come in the order of their texts' hashes; rows without an id come last; an empty table gives an empty result; extra columns are ignored.
+Defined results: a null or empty text has no byte; a text shorter than LENGTH loses nothing; rows that repeat
+an id come in the order of their packs; rows without an id come last; ids are integers; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +37,13 @@ BASE = 0xA0761D6478BD642F
 #: Segments whose columns are built together; collections of fewer are joined up to this size.
 TOGETHER = 1 << 13
 #: Bits by which blocks of segments, which bring their bytes, are more than blocks of anchors.
-FINER = 4
+FINER = 3
+#: Bytes of text in a pack: its segments are Python objects for a while.
+PACK = 1 << 20
 #: An anchor whose cell counts so many is hot. SINGLE marks a string of such an anchor in place of the anchor's offset.
 HOT, SINGLE = 1 << 12, 65535
+#: Order of rows without an id.
+LAST = (1 << 63) - 1
 #: Strings that are hashed at once, and bits of a packed key that hold a place among them.
 STRETCH, PLACE = 1 << 18, 19
 
@@ -185,7 +189,7 @@ class _Segments:
     different texts surround a common anchor, they spread over all blocks.
     """
 
-    def __init__(self, texts: list[bytes], replies, bits: int, length: int, gram: int):
+    def __init__(self, ids: list, texts: list[bytes], replies, bits: int, length: int, gram: int):
         self.blob, self.ends, start, count, offset, cells, key = pack_segments(texts, bits, length, gram)
         own, at = np.unique(cells, return_inverse=True)
         sizes = [e - s for _, s, e in by_block(own, bits)]
@@ -210,6 +214,8 @@ class _Segments:
             if j == len(sent):
                 sent.append(k)
         self.sent = np.array(sent, np.int64)
+        ids = np.array([LAST if i is None else i for i in ids], np.int64)
+        self.doc = ids[self.ends.searchsorted(self.start[self.sent], "right")] if len(sent) else ids[:0]
 
     def runs(self):
         """(block, from, to) among the sent."""
@@ -222,16 +228,25 @@ class _Segments:
         return xxhash.xxh3_128_digest(data) if self.offset[k] == SINGLE else data
 
 
+def _planes(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unplanes(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data, max_output_size=8 * n), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def _segment_pass(bits: int, length: int, gram: int):
     def run(batches):
         for batch in batches:
-            for m, sizes, blob, replies in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                own = _Segments(texts_of(sizes, blob), replies, bits, length, gram)
+            for m, ids, sizes, blob, replies in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                own = _Segments(ids, texts_of(sizes, blob), replies, bits, length, gram)
                 rows = []
                 for b, s, e in own.runs():
                     mine = own.sent[s:e]
                     head = own.key[mine].tobytes() + own.count[mine].astype("<u2").tobytes() + own.offset[mine].astype("<u2").tobytes()
-                    rows.append((m, b, e - s, zstandard.compress(head, 1), None, zstandard.compress(b"".join(own.text(k, length) for k in mine.tolist()), 3)))
+                    rows.append((m, b, e - s, zstandard.compress(head, 1), _planes(own.doc[s:e]), zstandard.compress(b"".join(own.text(k, length) for k in mine.tolist()), 3)))
                 if rows:
                     yield message_batch(rows)
 
@@ -242,8 +257,9 @@ def _resolve(length: int):
     """Answers a block: for every sent segment, which of its strings begin earlier elsewhere."""
 
     def answer(rows: list[dict]) -> list[bytes]:
-        keys, counts, offsets, texts = [], [], [], []
+        keys, counts, offsets, docs, texts = [], [], [], [], []
         for r in rows:  # in order of pack, and within it of place
+            docs.append(_unplanes(r["twice"], r["n"]))
             n = r["n"]
             head = zstandard.decompress(r["cells"], max_output_size=12 * n)
             keys.append(np.frombuffer(head[: 8 * n], np.uint64))
@@ -253,8 +269,14 @@ def _resolve(length: int):
             data, ends = zstandard.decompress(r["more"], max_output_size=int(size.sum())), np.cumsum(size).tolist()
             texts += [data[e - s : e] for e, s in zip(ends, size.tolist())]
         key, count, offset = np.concatenate(keys), np.concatenate(counts), np.concatenate(offsets)
+        order = np.argsort(np.concatenate(docs), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         first: dict[tuple[int, bytes], int] = {}
-        copy = np.fromiter((first.setdefault((o, t), k) for k, (o, t) in enumerate(zip(offset.tolist(), texts))), np.int64, len(texts))
+        copy, places = np.empty(len(texts), np.int64), offset.tolist()
+        for k in order.tolist():
+            copy[k] = first.setdefault((places[k], texts[k]), k)
+        del first
         flags = np.repeat(copy != np.arange(len(copy)), count)  # copies of an earlier segment lose all
         at = np.cumsum(count) - count
         alone = np.flatnonzero((copy == np.arange(len(copy))) & (offset != SINGLE))
@@ -267,7 +289,7 @@ def _resolve(length: int):
             hi = int(edges[max(np.searchsorted(edges, lo + TOGETHER, "right") - 1, np.searchsorted(edges, lo, "right"))])
             own = mixed[lo:hi]
             n = count[own]
-            flags[np.repeat(at[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] = later_strings([texts[k] for k in own.tolist()], own, length)
+            flags[np.repeat(at[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] = later_strings([texts[k] for k in own.tolist()], rank[own], length)
             lo = hi
         stops = np.cumsum([int(c.sum()) for c in counts]).tolist()
         return [zstandard.compress(pack_bits(flags[e - int(c.sum()) : e]), 1) for c, e in zip(counts, stops)]
@@ -279,7 +301,7 @@ def _last_pass(bits: int, length: int, gram: int, kind: pa.DataType, spans: bool
     def run(batches):
         for batch in batches:
             for ids, sizes, blob, replies, found in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                own = _Segments(texts_of(sizes, blob), replies, bits, length, gram)
+                own = _Segments(ids, texts_of(sizes, blob), replies, bits, length, gram)
                 data, ends, gone = own.blob, own.ends, np.zeros(0, np.int64)
                 if len(own.sent):
                     flags = []
@@ -320,12 +342,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, span
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, spans (from and to byte of each removed run) of every row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    packed = packs(docs, ordered=True)
+    packed = packs(docs, PACK)
     units = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = block_bits(2 * units // (length - gram + 2))
-    rows = packed.select("m", "sizes", "blob")
-    sketched = asked(rows.mapInArrow(_anchor_pass(bits, length, gram), MESSAGE), _merge_counts)
-    found = asked(rows.join(sketched, "m", "left").select("m", "sizes", "blob", "replies").mapInArrow(_segment_pass(bits, length, gram), MESSAGE), _resolve(length))
+    sketched = asked(packed.select("m", "sizes", "blob").mapInArrow(_anchor_pass(bits, length, gram), MESSAGE), _merge_counts)
+    found = asked(packed.join(sketched, "m", "left").select("m", "ids", "sizes", "blob", "replies").mapInArrow(_segment_pass(bits, length, gram), MESSAGE), _resolve(length))
     both = packed.join(sketched, "m", "left").join(found.withColumnRenamed("replies", "found"), "m", "left").select("ids", "sizes", "blob", "replies", "found")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<array<bigint>>" if spans else "")
     return both.mapInArrow(_last_pass(bits, length, gram, to_arrow_type(docs.schema["doc_id"].dataType), spans), schema)

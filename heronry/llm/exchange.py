@@ -25,20 +25,16 @@ PACK = 4 << 20
 BLOCK, ROOM = 1 << 21, 16
 
 
-def packs(docs: DataFrame, ordered: bool = False) -> DataFrame:
-    """m, ids, sizes, blob of packs of docs (doc_id, text), cut. m is unique; if ordered, m and places rise with doc_id (null last)."""
+def packs(docs: DataFrame, size: int = PACK) -> DataFrame:
+    """m, ids, sizes, blob of packs of docs (doc_id, text), cut. m is unique; within a pack documents are in order of doc_id, null last."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
-    if ordered:
-        rows = rows.withColumn("_h", F.xxhash64("data"))
-        by = (F.col("doc_id").asc_nulls_last(), F.col("_h"))
-        rows = rows.repartitionByRange(*by).sortWithinPartitions(*by, "data").drop("_h")
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
         ids, texts, held = [], [], 0
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held and held + len(x) > PACK:
+                if held and held + len(x) > size:
                     yield flush(ids, texts)
                     ids, texts, held = [], [], 0
                 ids.append(i)
@@ -48,6 +44,8 @@ def packs(docs: DataFrame, ordered: bool = False) -> DataFrame:
             yield flush(ids, texts)
 
     def flush(ids, texts):
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] if ids[k] is not None else 0))
+        ids, texts = [ids[k] for k in order], [texts[k] for k in order]
         blob = zstandard.compress(b"".join(texts), 3)
         return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(arrow)), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["ids", "sizes", "blob"])
 
