@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import curation_queries, evaluation_queries, graph_queries, operations_queries, ranking_queries, search_queries, session_queries, state_queries, stream_queries, text_queries  # noqa: F401
+from . import curation_queries, evaluation_queries, graph_queries, listing_queries, operations_queries, ranking_queries, search_queries, session_queries, state_queries, stream_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
