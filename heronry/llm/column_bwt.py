@@ -83,7 +83,8 @@ def _anchors(data: np.ndarray, lo: int, ends: np.ndarray, length: int, gram: int
     keep = start + lo + length <= ends[doc]
     start, place, doc = start[keep], place[keep], doc[keep]
     at = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]) if len(start) else start
-    return start[at] + lo, np.diff(np.r_[at, len(start)]), place[at] + lo, hashes[place[at]]
+    # Anchors are least hashes, so they crowd at the low end; mixed again, they spread over all blocks.
+    return start[at] + lo, np.diff(np.r_[at, len(start)]), place[at] + lo, mix(hashes[place[at]] ^ np.uint64(BASE))
 
 
 def pack_segments(texts: list[bytes], bits: int, length: int, gram: int):
