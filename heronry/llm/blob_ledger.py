@@ -82,15 +82,16 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 def update(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger's rows for the pairs of blob and rule version that versions (doc_id, text) has and ledger lacks."""
     version = rule_version(rules)
-    own = versions.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", blob_id())
-    unseen = own.select("blob", "doc_id").groupBy("blob").agg(F.min("doc_id").alias("holder"))
+    # A row without an id has a name of its own, so that names are plain keys of groups and joins.
+    name = F.coalesce(F.concat(F.lit("#"), F.col("doc_id").cast("string")), F.lit("")).alias("name")
+    own = versions.select(name, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", blob_id())
+    unseen = own.select("blob", "name").groupBy("blob").agg(F.max("name").alias("name"))  # an id before none
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     unseen = cut(unseen)
-    # One holder's row brings the text; groups of copies meet here only as single rows.
-    mine, held = own.alias("own"), unseen.alias("held")
-    blobs = mine.join(held, (F.col("own.blob") == F.col("held.blob")) & F.col("own.doc_id").eqNullSafe(F.col("held.holder")), "left_semi")
-    found = _scan(blobs, rules).withColumn("spans", F.array_distinct("spans"))  # rows that repeat a holder's id bring a blob twice
+    # One row brings a blob's text: rows that repeat a name are merged, first within each task, before they meet the holders.
+    blobs = own.dropDuplicates(["blob", "name"]).join(unseen, ["blob", "name"], "left_semi").select("blob", "text")
+    found = _scan(blobs, rules)
     rows = unseen.select("blob").join(found, "blob", "left")
     return rows.select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array().cast(SPANS)).cast(SPANS).alias("spans"))
 

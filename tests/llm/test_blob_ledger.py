@@ -51,3 +51,13 @@ def test_odd_rows(odd, none):
     assert got.count() == odd.count() and M.report(M.findings(none, M.update(none))).count() == 0
     r = got.where("doc_id = 6").first()
     assert (r.n_assign, r.n_access, r.n_hex) == (1, 1, 1)
+
+
+def test_each_blob_is_scanned_once(spark):
+    two = "token=aaaaaaaa1 and later password: bbbbbbbb22"
+    docs = [(1, TEXTS[0]), (1, TEXTS[0]), (1, two), (None, two + " x"), (None, two + " x"), (2, two), (None, two), (None, TEXTS[2]), (None, None), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    ledger = M.update(df)
+    assert ledger.count() == len({t or "" for _, t in docs})
+    got = sorted((r.doc_id or 0, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in M.report(M.findings(df, ledger)).collect())
+    assert got == sorted((i or 0, *brute(t)) for i, t in docs)
