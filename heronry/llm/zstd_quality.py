@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained, one on text labelled good and one on tex
 compressed with either, in pieces short enough for the dictionary to matter. The normalised difference of the two
 compressed sizes, calibrated on labelled rows that trained neither dictionary, is the score.
 
-Learning takes at most SAMPLE rows of each label. Defined results: a null or empty text has difference 0 and gets
+Learning takes at most SAMPLE rows of each label, each with its whole text. Defined results: a null or empty text has difference 0 and gets
 the score the calibration gives to 0; with one label or none learned, every score is the share of good rows learned
 (0.5 with none); rows without an id are scored but neither held out nor learned from; extra columns are ignored.
 """
@@ -90,7 +90,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     halves = {v: (t[::2], t[1::2]) for v, t in own.items()}
     made = {}
     for v in (0, 1):
-        pieces = [_piece(t, at) for t in halves[v][0] for at in range(0, min(len(t), 20 * PIECE), PIECE)]
+        pieces = [_piece(t, at) for t in halves[v][0] for at in range(0, len(t), PIECE)]
         made[v] = _dictionary(pieces)
     model = Model(made[1], made[0], flat)
     rest = [(t.decode(), v) for v in (0, 1) for t in (halves[v][1] or halves[v][0])]

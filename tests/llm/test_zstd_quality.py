@@ -18,3 +18,16 @@ def test_odd_rows(odd, none, spark):
     one = M.score(odd, M.learn(odd, labels.where("quality = 1"), F.lit(True)))
     assert {r.score for r in one.collect()} == {1.0}
     assert {r.score for r in M.score(odd, M.learn(none, labels, F.lit(True))).collect()} == {0.5} and M.score(none, M.fit([], [])).count() == 0
+
+
+def test_dictionaries_learn_from_whole_texts():
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    common, good, bad = ([word() for _ in range(300)] for _ in range(3))
+    say = lambda own, n: " ".join(rng.choices(own, k=n))
+    labels = [k % 2 for k in range(40)]
+    texts = [say(common, 2000) + " " + say(good if y else bad, 2000) for y in labels]  # what tells them apart starts after 16,000 bytes
+    model = M.fit(texts, labels)
+    assert model.difference(say(good, 2000)) > 0.05 and model.difference(say(bad, 2000)) < -0.05
