@@ -1,18 +1,33 @@
 """Candidate search for batches of queries. All results are rows of query_id, source, item_id, raw, rank.
 
-Queries are sent in blocks of a stated size (BLOCK); the corpus is never joined with itself.
+Queries are sent in blocks of a stated size (BLOCK), each with its own top-k; the corpus is never joined with itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import policy as P
 from ..functions import vectors as V
+from ..sources.shared import cut
 
-#: Queries that one call may send; callers cut larger sets into blocks.
+#: Queries, about, that meet the corpus at a time; larger sets are cut into blocks by a hash of query_id.
 BLOCK = 10_000
+#: Characters of the gram by which a term meets the words that may hold it.
+GRAM = 3
+
+
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of search(block) of all blocks of queries. Results of several blocks are written one after another, so one block's hits exist at a time."""
+    n = -(-queries.count() // BLOCK)
+    if n <= 1:
+        return search(queries)
+    own = cut(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n))))
+    return reduce(DataFrame.unionByName, [cut(search(own.where(F.col("_block") == k).drop("_block"))) for k in range(n)])
 
 
 def ranked(hits: DataFrame, source: str, limit: int = P.SEARCH_LIMIT, *ties: Column) -> DataFrame:
@@ -22,46 +37,73 @@ def ranked(hits: DataFrame, source: str, limit: int = P.SEARCH_LIMIT, *ties: Col
     return best.select("query_id", F.lit(source).alias("source"), "item_id", "raw", "rank")
 
 
-def lexical_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, item_id, raw: the share of a query's distinct terms that stand anywhere in the text of corpus (item_id, content).
+def _grams(c: Column) -> Column:
+    # An empty match before every place where a gram begins: one pass over the text.
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def vocabulary(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What lexical_scores reads of corpus (item_id, content), for all blocks: lower-case texts, the words of each item, and the grams of each different word."""
+    low = corpus.select("item_id", F.lower("content").alias("low"))
+    words = cut(low.select("item_id", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("word")))
+    return low, words, cut(words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram")))
+
+
+def lexical_scores(queries: DataFrame, known: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """query_id, item_id, raw: the share of a query's distinct terms that stand anywhere in the texts of vocabulary known, for one block of queries.
 
-    Every document is searched once for each distinct term of the block, not for each query; only found terms meet the queries.
+    A term without white space stands within one word of a text, so terms meet the different words of the corpus, by one
+    gram of the term (its rarest in those words), and only words that hold a term meet items. Other terms, and those
+    shorter than a gram, are searched in every text.
     """
+    low, words, grams = known
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     sizes = queries.select("query_id", F.size(F.array_distinct("terms")).alias("n_terms"))
-    every = terms.agg(F.array_sort(F.collect_set("term")).alias("every"))  # one row
-    found = corpus.select("item_id", F.lower("content").alias("low")).crossJoin(F.broadcast(every)).select("item_id", F.explode(F.filter("every", lambda t: F.contains(F.col("low"), t))).alias("term"))
-    counted = found.join(terms, "term").groupBy("query_id", "item_id").agg(F.count("*").alias("n"))
-    return counted.join(sizes, "query_id").select("query_id", "item_id", F.round(F.col("n") / F.col("n_terms"), 6).alias("raw"))
+    every = cut(terms.select("term").distinct())
+    solid = (F.length("term") >= GRAM) & ~F.col("term").rlike(r"\s")
+    # A gram that no word has leaves its term without a hit.
+    own = every.where(solid).select("term", F.explode(_grams(F.col("term"))).alias("gram")).join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = own.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("term", "g.gram")
+    holds = grams.join(rarest, "gram").where(F.contains("word", F.col("term"))).select("word", "term")
+    found = words.join(holds, "word").select("item_id", "term")
+    rest = every.where(~solid)
+    if not rest.isEmpty():
+        found = found.unionByName(low.crossJoin(rest).where(F.contains("low", F.col("term"))).select("item_id", "term"))
+    # Terms of a block are few enough to go to the items, which are dealt out once.
+    counted = found.repartition("item_id").distinct().join(F.broadcast(terms), "term").groupBy("query_id", "item_id").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(sizes), "query_id").select("query_id", "item_id", F.round(F.col("n") / F.col("n_terms"), 6).alias("raw"))
 
 
 def lexical(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
-    return ranked(lexical_scores(queries, corpus), "lexical", limit)
+    known = vocabulary(corpus)
+    return in_blocks(queries, lambda q: ranked(lexical_scores(q, known), "lexical", limit))
 
 
 def memory(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
     """Lexical search over remembered kinds of items, 0.15 higher."""
     own = corpus.where(F.col("item_type").isin("memory", "workflow", "rule", "bugfix"))
-    return ranked(lexical_scores(queries, own).withColumn("raw", F.col("raw") + 0.15), "memory", limit)
+    known = vocabulary(own)
+    return in_blocks(queries, lambda q: ranked(lexical_scores(q, known).withColumn("raw", F.col("raw") + 0.15), "memory", limit))
 
 
 def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, item_id, raw: cosine, 0 at least, of queries (query_id, vector) and corpus (item_id, vector)."""
+    """query_id, item_id, raw: cosine, 0 at least, of one block of queries (query_id, vector) and corpus (item_id, vector)."""
     q = queries.select("query_id", F.col("vector").alias("_q"), V.norm(F.col("vector")).alias("_nq"))
     c = corpus.select("item_id", F.col("vector").alias("_c"), V.norm(F.col("vector")).alias("_nc"))
     n = F.col("_nq") * F.col("_nc")
     cosine = F.when(n > 0, V.dot(F.col("_q"), F.col("_c")) / n).otherwise(0.0)
-    return c.crossJoin(q).select("query_id", "item_id", F.round(F.greatest(F.lit(0.0), cosine), 6).alias("raw"))
+    return c.crossJoin(F.broadcast(q)).select("query_id", "item_id", F.round(F.greatest(F.lit(0.0), cosine), 6).alias("raw"))
 
 
 def vector(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
-    return ranked(vector_scores(queries, corpus), "vector", limit)
+    return in_blocks(queries, lambda q: ranked(vector_scores(q, corpus), "vector", limit))
 
 
 def best_chunk(queries: DataFrame, chunks: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
     """Items by their best chunk: chunks has chunk_id, item_id, vector."""
-    scored = vector_scores(queries, chunks.select(F.struct("chunk_id", F.col("item_id").alias("of")).alias("item_id"), "vector"))
-    return ranked(scored.groupBy("query_id", F.col("item_id.of").alias("item_id")).agg(F.max("raw").alias("raw")), "vector", limit)
+    own = chunks.select(F.struct("chunk_id", F.col("item_id").alias("of")).alias("item_id"), "vector")
+    best = lambda q: vector_scores(q, own).groupBy("query_id", F.col("item_id.of").alias("item_id")).agg(F.max("raw").alias("raw"))
+    return in_blocks(queries, lambda q: ranked(best(q), "vector", limit))
 
 
 def metadata(queries: DataFrame, items: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:

@@ -69,7 +69,7 @@ def item_best_chunk(spark, d):
 @query("WITH " + VECTOR + " SELECT query_id, item_id, raw FROM vs WHERE raw >= 0.3 AND query_id <> item_id")
 def atom_vector(spark, d):
     """All facts at least so similar to a probe."""
-    return S.vector_scores(vector_queries(spark, d), vectors(spark, d)).where("raw >= 0.3 AND query_id <> item_id")
+    return S.in_blocks(vector_queries(spark, d), lambda q: S.vector_scores(q, vectors(spark, d)).where("raw >= 0.3 AND query_id <> item_id"))
 
 
 @query(with_("prompts", "atoms") + """,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heronry.functions import text as T
 from heronry.functions import vectors as V
-from heronry.operators import curation, evaluation, graph, operations, ranking
+from heronry.operators import curation, evaluation, graph, operations, ranking, search
 
 
 def test_text_functions(spark):
@@ -130,3 +130,28 @@ def test_sync_plan_renames(spark):
 def test_nearest_rank(spark):
     got = evaluation.nearest_rank(spark.createDataFrame([("x", float(v)) for v in (5, 1, 3, 2, 4)], "g string, v double"), "v", (0.5, 0.95), "g").first()
     assert (got.p50, got.p95, got.most) == (3.0, 5.0, 5.0)
+
+
+def test_searches_send_blocks(spark, sf_dir, monkeypatch):
+    from heronry.plans import catalogue
+
+    from .differential import duck, rows
+
+    sent = []
+    for name in ("lexical_scores", "vector_scores"):
+        monkeypatch.setattr(search, name, lambda q, c, f=getattr(search, name): sent.append(q.count()) or f(q, c))
+    monkeypatch.setattr(search, "BLOCK", 1)
+    for name in ("lexical_topk", "vector_topk", "item_best_chunk", "semantic_neighbors", "write_gate"):
+        sent.clear()
+        assert rows(catalogue.QUERIES[name](spark, sf_dir)) == duck(sf_dir, catalogue.SQL[name])
+        assert len(sent) > 1 and sum(sent) == len(spark.read.parquet(f"{sf_dir}/{'documents' if name == 'lexical_topk' else 'embeddings'}.parquet").where(("doc_id" if name == "lexical_topk" else "vec_id") + " % 100 = 0").collect())
+
+
+def test_terms_meet_words(spark):
+    texts = {1: "An Alpha/beta.c x\u00a0y caf\u00e9s \U0001f600\U0001f601go", 2: "alphabet b", 3: "", 4: None, 5: "two  words and (alpha) ab"}
+    asked = {1: ["alpha", "ha/be", "ab", "zzz"], 2: ["d (a", "\U0001f600\U0001f601", "f\u00e9s", "\U0001f601go"], 3: ["b", "none here"]}
+    q = spark.createDataFrame(list(asked.items()), "query_id int, terms array<string>")
+    known = search.vocabulary(spark.createDataFrame(list(texts.items()), "item_id int, content string"))
+    got = {(r.query_id, r.item_id): r.raw for r in search.lexical_scores(q, known).collect()}
+    count = {(k, i): sum(t in (x or "").lower() for t in ts) / len(ts) for k, ts in asked.items() for i, x in texts.items()}
+    assert got == {k: round(v, 6) for k, v in count.items() if v}
