@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 # --- fixed values ---
 CHUNK_TOKENS, TOKEN_CHARS = 480, 4
 FIRST_FIT = 0.85
+#: First items of an owner that a round fits among themselves, and the items of an owner that one task compares with them.
+LEADERS, PART = 256, 8192
 # --- end of fixed values ---
 
 
@@ -91,27 +96,68 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, slug string, path string, content string")
 
 
+def _fit(ids: list, vectors: list, firsts: np.ndarray | None, names: list, least: float, found: bool) -> list:
+    """The name of the first of firsts near to each vector, or None. With found, a vector near to none becomes one of them."""
+    rows = [] if firsts is None else list(firsts)
+    held = np.array(rows)
+    out = []
+    for i, v in zip(ids, vectors):
+        x = _unit(v)
+        near = np.flatnonzero((held * x).sum(axis=1) >= least) if len(held) else []
+        if not len(near) and found:
+            rows.append(x)
+            held, names = np.array(rows), [*names, i]
+            out.append(i)
+        else:
+            out.append(names[near[0]] if len(near) else None)
+    return out
+
+
+def _unit(v) -> np.ndarray:
+    x = np.asarray(v, float)
+    n = np.linalg.norm(x)
+    return x / n if n else x
+
+
 def first_fit(rows: DataFrame, least: float = FIRST_FIT) -> DataFrame:
     """owner, item_id, cluster: each owner's items (item_id, vector) in order join the first cluster whose first member is near enough.
 
-    The choice depends on all earlier ones of the owner, so an owner's items are taken together; owners are the unit
-    of work, and an owner's corrections are few by nature.
+    A round takes the LEADERS first items that each owner has left and fits them among themselves. Each of the other items
+    joins the first of the round's new first members it is near to, in parts of about PART items; those near to none are
+    left for the next round. So a task holds LEADERS and a part of an owner's items, however many the owner has.
     """
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("item_id")
-        firsts: list[np.ndarray] = []
-        names, out = [], []
-        for i, v in zip(own["item_id"], own["vector"]):
-            x = np.asarray(v, float)
-            n = np.linalg.norm(x)
-            x = x / n if n else x
-            near = [k for k, f in enumerate(firsts) if float(f @ x) >= least]
-            if not near:
-                firsts.append(x)
-                names.append(i)
-            out.append(names[near[0]] if near else i)
-        return pd.DataFrame({"owner": own["owner"].to_numpy(), "item_id": own["item_id"].to_numpy(), "cluster": out})
-
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("owner", "item_id")}
-    return rows.select("owner", "item_id", "vector").groupBy("owner").applyInPandas(run, f"owner {kinds['owner']}, item_id {kinds['item_id']}, cluster {kinds['item_id']}")
+    left = cut(rows.select("owner", "item_id", "vector").withColumn("_row", F.monotonically_increasing_id()))
+    shape = f"owner {kinds['owner']}, item_id {kinds['item_id']}, cluster {kinds['item_id']}, _row long, _first boolean"
+    order = Window.partitionBy("owner").orderBy(F.col("item_id").asc_nulls_last(), "_row")
+
+    def lead(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_at")
+        # Places stand for items, as ids may repeat.
+        at = _fit(list(range(len(own))), list(own["vector"]), None, [], least, True)
+        ids = own["item_id"].tolist()
+        return pd.DataFrame({"owner": own["owner"].tolist(), "item_id": ids, "cluster": [ids[k] for k in at], "_row": own["_row"].tolist(), "_first": [k == n for n, k in enumerate(at)]})
+
+    def follow(firsts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        firsts = firsts.sort_values("_at")
+        names = firsts["item_id"].tolist()
+        at = _fit(own["item_id"].tolist(), list(own["vector"]), np.array([_unit(v) for v in firsts["vector"]]), list(range(len(names))), least, False)
+        return pd.DataFrame({"owner": own["owner"].tolist(), "item_id": own["item_id"].tolist(), "cluster": [None if k is None else names[k] for k in at], "_row": own["_row"].tolist(), "_first": [k is None for k in at]})
+
+    done = []
+    while not left.isEmpty():
+        first = cut(left.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= LEADERS))
+        fitted = cut(first.groupBy("owner").applyInPandas(lead, shape))
+        done.append(fitted.select("owner", "item_id", "cluster"))
+        rest = left.join(first.select("_row"), "_row", "left_anti")
+        counts = rest.groupBy("owner").agg(F.count("*").alias("n"))
+        # Owners with more than a part are few: a PART-th of the items at most.
+        large = cut(counts.where(F.col("n") > PART).select(F.col("owner").alias("_big"), F.ceil(F.col("n") / PART).cast("int").alias("_parts")))
+        parted = lambda df: df.join(F.broadcast(large), F.col("owner").eqNullSafe(F.col("_big")), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))  # noqa: B023, E731
+        firsts = first.join(fitted.where("_first").select("_row"), "_row", "left_semi")
+        firsts = parted(firsts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select("owner", "_part", "item_id", "vector", "_at")
+        own = parted(rest).select("owner", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int").alias("_part"), "item_id", "vector", "_row")
+        met = cut(firsts.groupBy("owner", "_part").cogroup(own.groupBy("owner", "_part")).applyInPandas(follow, shape))
+        done.append(met.where("NOT _first").select("owner", "item_id", "cluster"))
+        left = cut(left.join(met.where("_first").select("_row"), "_row", "left_semi"))
+    return reduce(DataFrame.unionByName, done) if done else rows.select("owner", "item_id", F.col("item_id").alias("cluster"))
