@@ -2,7 +2,7 @@
 
 A text is lower-cased (A-Z only) and read as UTF-8 in fixed chunks. Each chunk has a polynomial hash modulo two
 primes; the hash of a concatenation follows from the hashes of its parts by a length shift
-(h(ab) = h(a) * B**len(b) + h(b)), so chunks of a huge document are hashed apart and combined. Texts whose
+(h(ab) = h(a) * B**len(b) + h(b)), so a document is hashed chunk by chunk, all within its row's task, and combined. Texts whose
 fingerprint and length agree are then compared chunk by chunk: for every chunk position the least and the greatest
 chunk of the group are kept while rows stream by, and the group is one text exactly if they agree everywhere.
 A fingerprint that fails is split by SHA-256.
