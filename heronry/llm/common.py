@@ -47,6 +47,14 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, or with underscores added what no column of df is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_crc(column: str, mod: int) -> Column:
     """crc32 of the decimal id, modulo mod; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod

@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut
 
 
+#: Parts into which the neighbours of a node are dealt, so that those of a hub spread over as many tasks.
+PARTS = 64
+
+
+def _told(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with m, the least v of their u; u and m of every u). A node's least is told to those of its parts that have edges, never to all."""
+    dealt = e.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    by_part = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = by_part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))  # PARTS at most
+    told = least.select("u", "m", F.explode("parts").alias("part"))
+    return dealt.join(told, ["u", "part"]).select("u", "v", "m"), least.select("u", "m")
+
+
 def _large(e: DataFrame) -> DataFrame:
     """Every greater neighbour of a node is tied to the node's least neighbour."""
-    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    both, _ = _told(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return both.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     """A node and its lesser neighbours are tied to the least of them. e has u > v."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    tied = e.join(least, "u")
+    tied, least = _told(e)
     return tied.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -8,11 +8,12 @@ a miss.
 
 Equal fingerprints are one node. Nodes that share a masked value are compared in full; of a bucket's links only a
 spanning forest is kept, so no group of copies is expanded into pairs. Buckets of more than BUCKET nodes are cut
-into blocks, and every two blocks are compared in a task of their own.
+into blocks while they are read, and every two blocks are compared by themselves.
 
 Defined results: a null text or one without a word has fingerprint zero and links like any other; a component's id
 is its least doc_id that is not null (null if there is none); repeated rows and ties share fingerprint and
-component; an empty table gives an empty result; extra columns are ignored.
+component; a very long text is hashed in stretches of 32,768 words; an empty table gives an empty result; extra columns are ignored
+(keep_one carries them).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, small, spare, table
 from .components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -104,37 +105,40 @@ def _links(radius: int, bucket: int):
         i, j = _near(fp.view(np.uint64), fp[:0].view(np.uint64), radius, True)
         return fp[i], fp[j]
 
-    def group(t, key, fp):
-        if len(fp) <= bucket:
-            u, v = edges(fp)
-            if len(u):
-                k = len(u)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
-            return
-        for block, at in enumerate(range(0, len(fp), bucket)):
-            part = fp[at : at + bucket]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([t], pa.int32()), pa.array([key], pa.int64()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
+    def linked(fp):
+        u, v = edges(fp)
+        k = len(u)
+        if k:
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+
+    def packed(t, key, block, part):
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([t], pa.int32()), pa.array([key], pa.int64()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
 
     def run(batches):
-        held = None  # (t, key, list of arrays) of the bucket at the end of the last batch
+        # The bucket being read: t, key, blocks sent off so far, and what is left, never much more than a batch.
+        at, sent, left = None, 0, np.zeros(0, np.int64)
+
+        def finish():
+            if sent and len(left):
+                yield packed(*at, sent, left)
+            elif len(left) > 1:
+                yield from linked(left)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             t, key, fp = (batch.column(k).to_numpy() for k in range(3))
             starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
-            ends = np.r_[starts[1:], len(t)]
-            if held and (held[0], held[1]) == (t[0], key[0]):
-                held[2].append(fp[: ends[0]])
-                starts, ends = starts[1:], ends[1:]
-            if len(starts):
-                if held and sum(map(len, held[2])) > 1:
-                    yield from group(held[0], held[1], np.concatenate(held[2]))
-                for s, e in zip(starts[:-1], ends[:-1]):
-                    if e - s > 1:
-                        yield from group(t[s], key[s], fp[s:e])
-                held = (t[starts[-1]], key[starts[-1]], [fp[starts[-1] :].copy()])
-        if held and sum(map(len, held[2])) > 1:
-            yield from group(held[0], held[1], np.concatenate(held[2]))
+            for s, e in zip(starts, np.r_[starts[1:], len(t)]):
+                if at == (t[s], key[s]):
+                    left = np.concatenate([left, fp[s:e]])
+                else:
+                    yield from finish()
+                    at, sent, left = (t[s], key[s]), 0, fp[s:e].copy()
+                while len(left) > bucket:
+                    yield packed(*at, sent, left[:bucket])
+                    sent, left = sent + 1, left[bucket:]
+        yield from finish()
 
     return run, "u long, v long, t int, key long, block int, data binary"
 
@@ -160,9 +164,11 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     small, blocks = found.where("u is not null").select("u", "v"), found.where("u is null").drop("u", "v")
     if blocks.isEmpty():
         return small
-    a, b = blocks.alias("a"), blocks.alias("b")
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")))
-    pairs = pairs.select(F.col("a.data").alias("a"), F.col("b.data").alias("b"), (F.col("a.block") == F.col("b.block")).alias("same"), F.struct("a.t", "a.key", "a.block", "b.block").alias("to")).repartition("to").drop("to")
+    # Numbers of blocks meet first; their data joins each pair of numbers by bucket and block, so a large bucket's pairs are spread over tasks.
+    ends = blocks.groupBy("t", "key").agg(F.max("block").alias("last"))
+    pairs = ends.select("t", "key", "last", F.explode(F.sequence(F.lit(0), "last")).alias("x")).repartition("t", "key", "x").select("t", "key", "x", F.explode(F.sequence("x", "last")).alias("y"))
+    side = lambda n, to: blocks.select("t", "key", F.col("block").alias(n), F.col("data").alias(to))
+    pairs = pairs.join(side("x", "a"), ["t", "key", "x"]).join(side("y", "b"), ["t", "key", "y"]).select("a", "b", (F.col("x") == F.col("y")).alias("same"))
     run, schema = _block_pairs(radius)
     return small.union(pairs.mapInArrow(run, schema))
 
@@ -186,12 +192,13 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """One row of docs for each component, with all its columns: that of the least doc_id (null last), then of the least SHA-256."""
     prints, of_fp = _components(docs, shingle, radius, bucket)
+    own, key, sha = spare(docs, "own"), spare(docs, "key"), spare(docs, "sha")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("first")
-    stays = cut(prints.join(of_fp, "fp").groupBy("root").agg(first, F.count("*").alias("n")).select(F.col("first.doc_id").alias("_id"), F.col("first.sha").alias("_sha"), "n"))
-    own = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    kept = own.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    stays = cut(prints.join(of_fp, "fp").groupBy("root").agg(first, F.count("*").alias("n")).select(F.col("first.doc_id").alias(key), F.col("first.sha").alias(sha)))
+    kept = docs.withColumn(own, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    kept = kept.join(stays, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
     again = prints.groupBy("doc_id", "sha").count().where("count > 1")
-    return (kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "_own"])).drop("_own")
+    return (kept if again.isEmpty() else kept.dropDuplicates(["doc_id", own])).drop(own)
 
 
 def op5_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:

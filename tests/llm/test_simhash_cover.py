@@ -67,3 +67,17 @@ def test_odd_rows(odd, none):
     assert M.near_components(none).count() == 0
     kept = M.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [0, 2, 5, 6, 7, 8]
+
+
+def test_a_hub_is_dealt_out(spark):
+    from heronry.llm.components import PARTS, _told
+    from heronry.llm.components import components as linked
+
+    hub = [(0, k) for k in range(1, 900)] + [(1000, k) for k in range(600, 1000)] + [(k, k + 1) for k in range(2000, 2040)]
+    edges = spark.createDataFrame(hub, "u bigint, v bigint")
+    got = {r.node: r.root for r in linked(edges).collect()}
+    assert got == {**dict.fromkeys(range(1001), 0), **dict.fromkeys(range(2000, 2041), 2000)}
+    told, _ = _told(edges)
+    assert told.count() == len(hub)
+    parts = edges.where("u = 0").groupBy(M.F.pmod(M.F.xxhash64("v"), M.F.lit(PARTS))).count().agg({"count": "max"}).first()[0]
+    assert parts <= 899 // PARTS * 3
