@@ -51,3 +51,30 @@ def test_no_python_in_the_plan(spark, sf_dir):
 def test_without_labels(odd, spark):
     labels = spark.createDataFrame([(0, 1)], "doc_id bigint, quality int")
     assert M.learn(odd, labels, F.lit(True)) == [] and M.learn(odd, labels.limit(0), F.lit(True)) == []
+
+
+def test_long_runs_of_white_space(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "a" + " " * (1 << 20) + "b"), (2, " \t\n\x0b\x0c\r" * 200_000 + "one two"), (3, "x y" + "\n" * (1 << 20))], "doc_id bigint, text string")
+    began = time.time()
+    assert {r.doc_id: r.n_words for r in M.judge(docs, []).collect()} == {1: 2, 2: 2, 3: 2}
+    assert time.time() - began < 60
+
+
+def test_a_document_labelled_good_and_bad_is_bad(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(20)) + (" #$% #$% #$%" if k % 2 else "")) for k in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(60)] + [(k, 0) for k in range(60) if k % 2], "doc_id bigint, quality int")
+    rules = M.learn(docs, labels, F.lit(True))
+    assert rules and rules == M.learn(docs, labels.repartition(7, F.rand(1)), F.lit(True))
+    assert {r.doc_id for r in M.judge(docs, rules).where("kept").collect()} == set(range(0, 60, 2))
+
+
+def test_verdicts_are_those_of_the_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rules = M.learn(docs, labels, M.fold_crc("doc_id", 5) != 0)
+    own = {r.doc_id: r for r in M.statistics(docs).select("*", M.base_failed().alias("failed"), *[x.alias(n) for n, x in M.features().items()]).collect()}
+    for r in M.judge(docs, rules).collect():
+        rejects = [k for k, rule in enumerate(rules) if all(c.holds(own[r.doc_id][c.feature]) for c in rule)]
+        assert r.rule == (rejects[0] if rejects else None) and r.kept == (not own[r.doc_id].failed and not rejects)
