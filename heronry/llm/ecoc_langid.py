@@ -8,7 +8,8 @@ close is flagged as ambiguous.
 Learning takes at most SAMPLE documents of a language and SAMPLES in all. Defined results: a null text or one
 without a letter is `und` with score 0; with no labelled row every text is `und`; a single learned language is
 predicted for every text with a letter; rows without an id are predicted but neither held out nor learned from;
-repeated rows get equal results; extra columns are ignored.
+repeated rows get equal results; a very long text is read in pieces of PIECE bytes; columns whose names are those of the results are
+kept by `identified` and replaced by `identify`; other extra columns are carried.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_sample, fold_crc, small, table
+from .common import bounded_sample, fold_crc, small, spare, table
 
 SAMPLE, SAMPLES = 400, 4000
 GRAMS = (1, 2, 3)
@@ -128,8 +130,11 @@ def learn(docs: DataFrame, eligible: Column) -> Model:
     return fit(sample["text"].to_pylist(), sample["lang"].to_pylist())
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and ambiguous."""
+RESULTS = ("lang_pred", "score", "ambiguous")
+
+
+def identify(docs: DataFrame, model: Model, results: tuple[str, str, str] = RESULTS) -> DataFrame:
+    """docs with lang_pred, score and ambiguous, under the names in results, which take the place of columns of docs so called."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -137,17 +142,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in small(batches):
             found = [own.predict(x) for x in batch.column(0).to_pylist()]
             cols = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], *results])
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(F.col("text").cast("string").alias("_text"), *names).mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    kept = docs.drop(*results)
+    rows = kept.select(F.col("text").cast("string").alias(spare(kept, "text")), *[F.col(f"`{c}`") for c in kept.columns])
+    kinds = zip(results, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)
+    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, *[T.StructField(n, k) for n, k in kinds]]))
 
 
 def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of docs whose language can be told: those that are not `und`. Without a model, one is learned from docs."""
     model = model or learn(docs, F.coalesce(fold_crc("doc_id", 4) != 2, F.lit(False)))
-    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    names = [spare(docs, n) for n in RESULTS]
+    return identify(docs, model, tuple(names)).where(F.col(names[0]) != "und").drop(*names)
 
 
 def held_out() -> Column:
