@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
+from .common import SPACE, cut, spare, table
 
 WEIGHTS, MOST, BINS = (1, 2, 3), 3, 1024
 
@@ -82,9 +82,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
 
     Documents without a word go. Rows that repeat an id, a source and a text are taken alike.
     """
-    taken = mix(docs, weights, most).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie")).agg(F.max("copies").cast("int").alias("_copies"))
-    found = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_tie")))
-    return found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, source, tie, copies, k = (spare(docs, n) for n in ("key", "mixed_source", "tie", "copies", "k"))
+    taken = mix(docs, weights, most).where("taken > 0").groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("tie").alias(tie)).agg(F.max("copies").cast("int").alias(copies))
+    found = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(tie)))
+    return found.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, source, tie, copies, k)
 
 
 def op8_es_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, small, spare, table
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 999979)
@@ -122,12 +122,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, one for each distinct text, with all columns of docs."""
     marks = cut(exact_dedup(docs).select("doc_id", "keep_id", "kept", "text_sha256"))
-    stays = marks.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    own, key, sha = spare(docs, "own"), spare(docs, "key"), spare(docs, "sha")
+    stays = marks.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
     lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    kept = docs.withColumn("_own", F.sha2(lower, 256))
-    kept = kept.join(stays, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("_own")), "left_semi")
+    kept = docs.withColumn(own, F.sha2(lower, 256))
+    kept = kept.join(stays, F.col(key).eqNullSafe(F.col("doc_id")) & (F.col(sha) == F.col(own)), "left_semi")
     repeats = marks.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept"))
-    return (kept if repeats.isEmpty() else kept.dropDuplicates(["_own"])).drop("_own")
+    return (kept if repeats.isEmpty() else kept.dropDuplicates([own])).drop(own)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,15 @@ def test_odd_rows(spark, odd, none, sf_dir):
             assert docs is odd or out.count() == 0
             out.collect()
     assert ecoc_langid.identified(odd).where("doc_id IN (2, 3, 4)").count() == 0
+
+
+def test_columns_with_the_names_of_helpers(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clash = ("score", "ambiguous", "own", "OWN_", "key", "sha", "tie", "copies", "k", "_text", "_own", "_id", "_copies", "Kept", "n_tokens", "text_")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in clash])
+    for name, stage in P.STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+        assert all(r[n] == f"{n}:{r.doc_id}" for r in docs.collect() for n in clash), name
+    assert P.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count() > 0
