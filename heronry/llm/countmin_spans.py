@@ -2,8 +2,8 @@
 
 First pass: every pack of documents counts its windows in a sketch (a hash gives the cell, a count saturates at two);
 the sketches of all packs are merged cell by cell. A merged count is never below the true one, so a window whose cell
-stays at one is unique. Second pass: only windows in cells of two or more are grouped exactly, by their cell together with an
-independent 64-bit hash (over 90 bits in all, and more as the input grows); a window that occurs twice is never missed.
+stays at one is unique. Second pass: only windows in cells of two or more are grouped, by a 128-bit digest of their words: two
+independent 64-bit rolling hashes over the two halves of the words' 128-bit hashes. A window that occurs twice is never missed.
 
 The sketch has one row of ROOM cells for each window, dealt in blocks: about one unique window in sixteen passes it in
 vain. It grows with the input and is never whole in one place.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, table
-from .exchange import CELL_BITS, MESSAGE, asked, block_bits, by_block, merge_sketches, message_batch, pack_bits, packs, replied, squeeze, texts_of, unsqueeze, unpack_bits
+from .exchange import CELL_BITS, MESSAGE, asked, block_bits, by_block, merge_sketches, message_batch, pack_bits, packs, replied, squeeze, texts_of, unpack_bits
 
 WINDOW = 35
 #: Odd multipliers of the two rolling hashes, and how many words' hashes a worker remembers.
@@ -33,10 +33,10 @@ KNOWN = 400_000
 
 
 class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= KNOWN:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_128_digest(word)
         return h
 
 
@@ -62,25 +62,25 @@ def window_hashes(hashes: np.ndarray, window: int, base: int) -> np.ndarray:
 
 
 def pack_windows(texts: list[bytes], window: int, bits: int):
-    """(words of each text, word at which each window starts, global cells, second hashes)."""
+    """(words of each text, word at which each window starts, global cells, digests: first and second hashes in two columns)."""
     words = [t.split() for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     total = int(counts.sum())
     if total < window:
-        return words, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return words, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
     known = _WORDS.__getitem__
-    hashes = np.fromiter((known(x) for w in words for x in w), np.uint64, total)
+    hashes = np.frombuffer(b"".join([known(x) for w in words for x in w]), np.uint64).reshape(-1, 2)
     ends = np.repeat(np.cumsum(counts), counts)
     starts = np.flatnonzero(np.arange(total) + window <= ends)
-    first, second = (window_hashes(hashes, window, b)[starts] for b in BASES)
-    return words, starts, first >> np.uint64(64 - bits - CELL_BITS), second
+    digests = np.stack([window_hashes(np.ascontiguousarray(hashes[:, k]), window, b)[starts] for k, b in enumerate(BASES)], 1)
+    return words, starts, digests[:, 0] >> np.uint64(64 - bits - CELL_BITS), digests
 
 
-def _runs(cells: np.ndarray, second: np.ndarray):
-    """Order of windows by (cell, hash), and which begin a new pair there."""
-    order = np.lexsort((second, cells))
-    c, s = cells[order], second[order]
-    return order, c, s, np.r_[True, (c[1:] != c[:-1]) | (s[1:] != s[:-1])] if len(c) else np.zeros(0, bool)
+def _runs(cells: np.ndarray, digests: np.ndarray):
+    """Order of windows by digest, whose first bits are the cell, and which begin a new digest there."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    c, d = cells[order], digests[order]
+    return order, c, d, np.r_[True, (d[1:] != d[:-1]).any(1)] if len(c) else np.zeros(0, bool)
 
 
 def _first_pass(window: int, bits: int):
@@ -112,7 +112,7 @@ def _second_pass(window: int, bits: int):
                 at = np.flatnonzero(new)
                 n = np.diff(np.r_[at, len(c)])
                 c, s = c[at], s[at]
-                rows = [(m, b, e - f, squeeze(c[f:e]), pack_bits(n[f:e] > 1), s[f:e].tobytes()) for b, f, e in by_block(c, bits)]
+                rows = [(m, b, e - f, None, pack_bits(n[f:e] > 1), s[f:e].tobytes()) for b, f, e in by_block(c, bits)]
                 if rows:
                     yield message_batch(rows)
 
@@ -120,14 +120,13 @@ def _second_pass(window: int, bits: int):
 
 
 def _exact(rows: list[dict]) -> list[bytes]:
-    """Replies which windows, by cell and hash, occur in two messages or twice in one."""
-    cells = np.concatenate([unsqueeze(r["cells"], r["n"]) for r in rows])
-    second = np.concatenate([np.frombuffer(r["more"], np.uint64) for r in rows])
+    """Replies which windows, by digest, occur in two messages or twice in one."""
+    digests = np.concatenate([np.frombuffer(r["more"], np.uint64).reshape(-1, 2) for r in rows])
     twice = np.concatenate([unpack_bits(r["twice"], r["n"]) for r in rows])
-    order, _, _, new = _runs(cells, second)
+    order, _, _, new = _runs(digests[:, 0], digests)
     group = np.cumsum(new) - 1
     n = np.bincount(group, weights=1 + twice[order])
-    flags = np.zeros(len(cells), bool)
+    flags = np.zeros(len(digests), bool)
     flags[order] = n[group] > 1
     ends = np.cumsum([r["n"] for r in rows])
     return [pack_bits(flags[e - r["n"] : e]) for r, e in zip(rows, ends)]
