@@ -167,7 +167,7 @@ def _anchor_pass(bits: int, length: int, gram: int):
             for m, sizes, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 *_, cells, _ = pack_segments(texts_of(sizes, blob), bits, length, gram)
                 own, n = np.unique(cells, return_counts=True)
-                rows = [(m, b, e - s, squeeze(own[s:e]), None, zstandard.compress(np.minimum(n[s:e], 255).astype(np.uint8).tobytes(), 1)) for b, s, e in by_block(own, bits)]
+                rows = [(m, b, e - s, squeeze(own[s:e]), None, zstandard.compress(np.minimum(n[s:e], HOT).astype("<u2").tobytes(), 1)) for b, s, e in by_block(own, bits)]
                 if rows:
                     yield message_batch(rows)
 
@@ -179,7 +179,7 @@ def _merge_counts(rows: list[dict]) -> list[bytes]:
     sketch = np.zeros(BLOCK * ROOM, np.uint16)  # counts stop at HOT
     cells = [unsqueeze(r["cells"], r["n"]) for r in rows]
     for r, c in zip(rows, cells):
-        sketch[c] = np.minimum(sketch[c] + np.frombuffer(zstandard.decompress(r["more"], max_output_size=r["n"]), np.uint8), HOT)
+        sketch[c] = np.minimum(sketch[c] + np.frombuffer(zstandard.decompress(r["more"], max_output_size=2 * r["n"]), "<u2"), HOT)
     return [pack_bits(np.concatenate([sketch[c] > 1, sketch[c] >= HOT])) for c in cells]
 
 

@@ -60,3 +60,13 @@ def test_hot_anchors(spark, documents, monkeypatch):
         assert found(M.repeated_bytes(spark.createDataFrame(documents, "doc_id bigint, text string"))) == brute(sorted(documents))
     finally:
         cloudpickle.unregister_pickle_by_value(M)
+
+
+def test_one_long_text_with_a_hot_anchor(spark):
+    import random
+
+    rng = random.Random(11)
+    phrase = "".join(rng.choices("abcdefghij", k=70))
+    text = "".join(phrase + "".join(rng.choices("klmnopqrstuvwxyz", k=45)) for _ in range(M.HOT + 900))
+    docs = [(1, text), (2, text[1000:1400])]
+    assert found(M.repeated_bytes(spark.createDataFrame(docs, "doc_id bigint, text string"))) == brute(docs)
