@@ -12,7 +12,7 @@ from .. import policy as P
 
 def normalize_text(c: Column) -> Column:
     """Trimmed, with runs of white space as one blank."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", " ")
+    return F.btrim(F.regexp_replace(c, r"\s+", " "), F.lit(" "))
 
 
 def normalize_label(c: Column) -> Column:
