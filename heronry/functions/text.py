@@ -43,7 +43,34 @@ def errors(c: Column) -> Column:
 
 def terms_in(c: Column, terms: tuple[str, ...]) -> Column:
     """Those of terms that stand in the text as whole words, in the order of terms."""
-    return F.filter(F.array(*[F.when(F.lower(c).rlike(rf"\b{t}\b"), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(F.lower(c).rlike(P.TERM_PATTERNS.get(t, rf"\b{t}\b")), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
+
+
+def hints_in(c: Column, hints: tuple[str, ...]) -> Column:
+    """Those of hints that stand anywhere in the text, in the order of hints."""
+    return F.filter(F.array(*[F.when(F.contains(F.lower(c), F.lit(t)), F.lit(t)) for t in hints]), lambda x: x.isNotNull())
+
+
+def compounds(c: Column) -> Column:
+    """Words of five characters or more joined by dashes or underscores."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(f"({P.COMPOUND_PATTERN})"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda x: F.length(x) >= 5))
+
+
+def quoted(c: Column) -> Column:
+    """What stands in double or single quotes, 3 to 80 characters."""
+    found = F.regexp_extract_all(c, F.lit("\"[^\"]{3,80}\"|'[^']{3,80}'"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.substr(x, F.lit(2), F.length(x) - 2)))
+
+
+def uuids(c: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"({P.UUID_PATTERN})"), F.lit(1)), F.lower))
+
+
+def lexical_terms(c: Column, exact: Column, most: int = 32) -> Column:
+    """Terms of a lexical query: the exact ones first, then the words of three characters or more that are no stop words, in order."""
+    words = F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_./:-]{3,})"), F.lit(1)), lambda x: ~x.isin(*P.STOP_WORDS))
+    return F.slice(F.array_distinct(F.concat(exact, words)), 1, most)
 
 
 def domain(found: Column) -> Column:
@@ -65,12 +92,61 @@ def length_class(c: Column) -> Column:
     return F.when(F.length(c) >= P.LENGTH_LONG, "long").when(F.length(c) >= P.LENGTH_MEDIUM, "medium").otherwise("short")
 
 
+REDACTED = "[REDACTED:secret]"
+
+
+def no_credential(value: Column, before: Column) -> Column:
+    """Whether the value of an assignment is none: a placeholder, a name of a type, of three different characters at most, or in a comment. before: the text up to the match."""
+    bare = F.regexp_replace(value, "^[\"']|[\"']$", "")
+    kind = F.btrim(F.regexp_replace(bare, r"[,;:)}\]>]+$", ""))
+    placeholder = reduce(lambda a, p: a | F.btrim(bare).rlike(p), P.PLACEHOLDER_PATTERNS, F.length(F.btrim(bare)) == 0)
+    return F.substring_index(before, "\n", -1).rlike(P.COMMENT_PATTERN) | placeholder | kind.rlike(P.TYPE_PATTERN) | (F.size(F.array_distinct(F.split(bare, ""))) <= 3)
+
+
+def _redact_assignments(c: Column, pattern: str) -> Column:
+    hits, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern)
+    start = F.struct(F.lit("").alias("old"), F.lit("").alias("new"))
+
+    def step(a, x):
+        before = F.concat(a["old"], x["gap"])
+        kept = F.when(no_credential(F.regexp_extract(x["hit"], pattern, 1), before), x["hit"]).otherwise(REDACTED)
+        return F.struct(F.concat(before, x["hit"]).alias("old"), F.concat(a["new"], x["gap"], kept).alias("new"))
+
+    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
+    return F.when(F.size(hits) == 0, c).otherwise(F.concat(F.aggregate(pairs, start, step)["new"], F.element_at(gaps, -1)))
+
+
 def redact_secrets(c: Column) -> Column:
-    return reduce(lambda t, np: F.regexp_replace(t, np[1], f"[REDACTED:{np[0]}]"), P.SECRET_PATTERNS, c)
+    """The patterns in order, each applied to what the ones before left; assignments only where the value may be a credential."""
+    return reduce(lambda t, np: _redact_assignments(t, np[1]) if np[0] == "credential_assignment" else F.regexp_replace(t, np[1], REDACTED), P.SECRET_PATTERNS, c)
 
 
 def redact_pii(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, P.EMAIL_PATTERN, "[REDACTED:email]"), P.IPV4_PATTERN, "[REDACTED:ipv4]")
+    return reduce(lambda t, p: F.regexp_replace(t, p, REDACTED), (P.EMAIL_PATTERN, P.PHONE_PATTERN, P.IPV4_PATTERN), c)
+
+
+def fence_share(c: Column) -> Column:
+    """Share of a text's lines that stand in code fences, the fences included."""
+    lines = F.split(c, r"\r?\n")
+    start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("n"))
+
+    def step(a, x):
+        fence = x.rlike(r"^\s{0,3}```")
+        return F.struct(F.when(fence, ~a["open"]).otherwise(a["open"]).alias("open"), (a["n"] + (fence | a["open"]).cast("int")).alias("n"))
+
+    return F.aggregate(lines, start, step)["n"] / F.size(lines)
+
+
+def truncate_utf8(c: Column, most: int, mark: str = "\n[truncated]") -> Column:
+    """c, if longer than most bytes cut by fifths of its characters until it fits together with the mark."""
+    room = most - len(mark.encode())
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(120)), lambda _: F.lit(0.8))
+    cut = F.aggregate(sizes, c, lambda a, f: F.when(F.octet_length(a) > room, F.substr(a, F.lit(1), F.floor(F.length(a) * f).cast("int"))).otherwise(a))
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(cut, F.lit(mark)))
+
+
+def same_signal(a: Column, b: Column) -> Column:
+    return normalize_label(a) == normalize_label(b)
 
 
 def area_key(path: Column) -> Column:
@@ -105,7 +181,3 @@ def hash_index(token: Column, dim: int) -> Column:
     at = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
     sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
     return F.struct(at.alias("at"), sign.alias("sign"))
-
-
-def contradiction_words(c: Column) -> Column:
-    return F.lower(c).rlike(r"\b(never|not|avoid|disable|without)\b")

@@ -66,14 +66,12 @@ def area_model(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return items.join(n, "area", "left").select("area", T.area_label(F.col("area")).alias("label"), "n_items", F.coalesce("n_crossing", F.lit(0)).alias("n_crossing"))
 
 
-def retention(backups: DataFrame, keep: int, days: int, as_of: str) -> DataFrame:
-    """path, keep: the newest `keep`, the newest successful one, and those that are neither outside that number nor too old."""
-    n = F.row_number().over(Window.orderBy(F.col("created").desc(), "path"))
+def retention(backups: DataFrame, keep: int) -> DataFrame:
+    """path, keep of backups (path, created, ok, verified): the newest `keep`, the newest successful one, those that fail verification, and none other.
+
+    What is outside the first `keep` goes whatever its age, so an age limit would add nothing.
+    """
+    n = F.row_number().over(Window.orderBy(F.col("created").desc(), "path"))  # one row for each backup
     ok = F.row_number().over(Window.partitionBy("ok").orderBy(F.col("created").desc(), "path"))
-    old = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("created").cast("timestamp")) > days * 86400
     placed = backups.withColumn("n", n).withColumn("k", ok)
-    return placed.select("path", ((F.col("n") <= keep) | (F.col("ok") & (F.col("k") == 1)) | (~old & (F.col("n") <= keep))).alias("keep"))
-
-
-def health(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("status").agg(F.count("*").alias("n"))
+    return placed.select("path", ((F.col("n") <= max(1, keep)) | (F.col("ok") & (F.col("k") == 1)) | ~F.col("verified")).alias("keep"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +14,43 @@ from ..functions import text as T
 def classify(prompts: DataFrame) -> DataFrame:
     """prompts (prompt and others) with task, files, symbols, errors, technologies, areas, domain, n_signals, confidence."""
     c = F.col("prompt")
-    found = prompts.select("*", T.task_type(c).alias("task"), T.files(c).alias("files"), T.symbols(c).alias("symbols"), T.errors(c).alias("errors"), T.terms_in(c, P.TECHNOLOGIES).alias("technologies"), T.terms_in(c, P.BUSINESS_AREAS).alias("areas"))
+    found = prompts.select("*", T.task_type(c).alias("task"), T.files(c).alias("files"), T.symbols(c).alias("symbols"), T.errors(c).alias("errors"), T.terms_in(c, P.TECHNOLOGIES).alias("technologies"), T.hints_in(c, P.BUSINESS_AREAS).alias("areas"))
     lists = ("files", "symbols", "errors", "technologies", "areas")
     n = sum(((F.size(x) > 0).cast("int") for x in lists), (F.col("task") != "unknown").cast("int"))
     return found.withColumns({"domain": T.domain(F.col("files")), "n_signals": n}).withColumn("confidence", T.confidence(F.col("n_signals")))
 
 
-def item_type(c: Column) -> Column:
-    """Item type by the wording of a text: the first of the ordered tests that holds."""
+def item_type(content: Column, origin: Column, trigger: Column, taxonomy: Column, references: Column, hint: Column) -> Column:
+    """item_type and confidence: the first of nine ordered tests that holds. references: array of struct(type, uri)."""
+    files = F.transform(F.filter(references, lambda r: r["type"] == "file"), lambda r: r["uri"])
+    tests, specs = F.exists(files, lambda u: u.rlike(P.TEST_FILE)), F.exists(files, lambda u: u.rlike(P.SPEC_FILE))
+    code = F.exists(files, lambda u: ~u.rlike(P.TEST_FILE) & ~u.rlike(P.WIKI_FILE) & u.rlike(P.CODE_FILE))
+    sure = lambda t, p: F.struct(F.lit(t).alias("item_type"), F.lit(p).alias("confidence"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
     return (
-        F.when(c.rlike(r"(?i)\b(root cause|regression)\b"), "bugfix").when(c.rlike(r"(?i)\b(must|shall|never|always)\b"), "rule").when(c.rlike(r"(?i)\b(how to|playbook|runbook)\b"), "workflow")
-        .when(c.rlike(r"(?i)\b(specification|requirements?)\b"), "spec").otherwise("memory")
+        F.when(yes(origin.isin("error_log", "error_log_finalization") | (trigger == "error_recovery")) | yes(trigger == "error_recovery") | yes(taxonomy == "incident_lesson"), sure("bugfix", 0.92))
+        .when(tests & content.rlike(P.BUGFIX_WORDS), sure("bugfix", 0.78)).when(tests, sure("workflow", 0.75))
+        .when(content.rlike(P.RULE_HEADING) | (content.rlike(P.RULE_WORDS) & (F.length(content) < P.NORMATIVE_LENGTH)), sure("rule", 0.82))
+        .when(content.rlike(P.WORKFLOW_HEADING), sure("workflow", 0.8)).when(content.rlike(P.SPEC_HEADING) | specs, sure("spec", 0.78))
+        .when((T.fence_share(content) >= P.FENCE_SHARE) & code, sure("code_ref", 0.86)).when(content.rlike(P.CONVERSATION_HEADING), sure("conversation", 0.72))
+        .when(yes(hint != "memory"), F.struct(hint.alias("item_type"), F.lit(0.6).alias("confidence"))).otherwise(sure("memory", 0.4))
     )
 
 
+def item_type_of_path(path: Column) -> Column:
+    low = F.lower(path)
+    return F.when(low.endswith(".md") | low.contains("/docs/") | low.contains("/wiki/"), "wiki").when(low.contains("spec") | low.contains("requirements"), "spec").otherwise("code_ref")
+
+
 def safety(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(low.rlike("ignore (all )?(previous|prior) instructions|reveal the system prompt"), "block").when(low.rlike(r"\b(never|bypass|override|disable)\b"), "flag").otherwise("allow")
+    """blocked, suspicious or safe."""
+    met = lambda patterns: reduce(lambda a, b: a | b, [c.rlike(p) for _, p in patterns])
+    return F.when(met(P.BLOCK_PATTERNS), "blocked").when(met(P.SUSPICIOUS_PATTERNS), "suspicious").otherwise("safe")
+
+
+def safety_issues(c: Column) -> Column:
+    """Distinct kinds of the patterns that a text meets."""
+    return F.array_distinct(F.filter(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in (*P.BLOCK_PATTERNS, *P.SUSPICIOUS_PATTERNS)]), lambda x: x.isNotNull()))
 
 
 def hash_embedding(docs: DataFrame, dim: int) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import policy as P
 from ..functions import text as T
 
 
@@ -31,10 +34,17 @@ def path_policy(path: Column, size: Column, most: int = 512 << 10) -> Column:
     return F.when(path.rlike(r"(^|/)(node_modules|\.git|dist|build|coverage)/"), "excluded").when(F.lower(path).rlike(r"\.(png|jpe?g|gif|pdf|zip|gz|jar|ico|woff2?)$"), "binary").when(size > most, "too_large")
 
 
-def namespace(item_type: Column, agent: Column) -> Column:
-    """kind:agent of an item; without an agent, null."""
-    kind = F.when(item_type.isin("memory", "conversation"), "episodic").when(item_type.isin("rule", "workflow"), "procedural").otherwise("semantic")
-    return F.when(agent.isNotNull(), F.concat(kind, F.lit(":"), agent))
+def namespace(project: Column, item_type: Column, metadata: Column) -> Column:
+    """project, kind and agent of an item: the kind follows from its type, the agent is named in its metadata (JSON) or null."""
+    kind = F.coalesce(*[F.when(item_type == t, F.lit(k)) for t, k in P.NAMESPACE_KINDS.items()], item_type)
+    named = F.btrim(F.coalesce(F.get_json_object(metadata, "$.agentName"), F.get_json_object(metadata, "$.agentTool")))
+    return F.struct(project.alias("project"), kind.alias("kind"), F.when(named != "", named).alias("agent"))
+
+
+def in_namespace(stored: Column, kind: str | None = None, agent: str | None = None, project: str | None = None) -> Column:
+    """Whether a namespace has what is asked for; without any, all pass, and no namespace passes anything asked for."""
+    wanted = [stored[n] == v for n, v in (("kind", kind), ("agent", agent), ("project", project)) if v]
+    return reduce(lambda a, b: a & b, [F.coalesce(w, F.lit(False)) for w in wanted], F.lit(True))
 
 
 def reuse(atoms: DataFrame, positive: DataFrame) -> DataFrame:
@@ -70,23 +80,34 @@ def retried(fused: DataFrame, shown: DataFrame, limit: int) -> DataFrame:
 
 
 def rerank(fused: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """query_id, item_id, rerank, final, rank: the share of a query's terms among a text's distinct tokens, blended with the fused score.
+    """query_id, item_id, overlap, final, rank: the fused score blended with the share of a query's terms among a text's tokens and with its trust.
 
-    Without a text the fused score stands.
+    texts: item_id, content, trust. An item without a text overlaps in nothing.
     """
     q = queries.select("query_id", F.array_distinct("terms").alias("terms"))
-    j = fused.join(texts.select("item_id", T.tokens(F.col("content")).alias("tokens")), "item_id", "left").join(q, "query_id")
-    share = F.size(F.array_intersect("terms", "tokens")) / F.size("terms")
-    r = j.select("query_id", "item_id", F.round(F.when(F.col("tokens").isNull(), F.col("score")).otherwise(share), 6).alias("rerank"), "score")
-    final = r.select("query_id", "item_id", "rerank", F.round(0.65 * F.col("rerank") + 0.35 * F.col("score"), 6).alias("final"))
+    j = fused.join(texts.select("item_id", T.tokens(F.col("content"), 1).alias("tokens"), "trust"), "item_id", "left").join(q, "query_id")
+    share = F.when(F.size("terms") > 0, F.size(F.array_intersect("terms", F.coalesce("tokens", F.array().cast("array<string>")))) / F.size("terms")).otherwise(0.0)
+    trust = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("trust") / 100, F.lit(0.0))))
+    blend = P.RERANK["fused"] * F.col("score") + P.RERANK["overlap"] * F.col("overlap") + P.RERANK["trust"] * F.col("own_trust")
+    r = j.select("query_id", "item_id", "score", share.alias("overlap"), trust.alias("own_trust"))
+    final = r.select("query_id", "item_id", F.round("overlap", 6).alias("overlap"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), blend)), 6).alias("final"))
     return final.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("final").desc(), "item_id")))
 
 
-def rewritten(queries: DataFrame, added: DataFrame, most: int = 48) -> DataFrame:
-    """query_id, terms, confidence: terms of queries (query_id, terms, confidence) with those added, the first `most`."""
-    j = queries.join(added.select("query_id", F.col("terms").alias("more")), "query_id", "left")
-    terms = F.slice(F.array_union("terms", F.coalesce("more", F.array().cast("array<string>"))), 1, most)
-    return j.select("query_id", terms.alias("terms"), F.round(F.least(F.lit(0.96), F.col("confidence") + F.when(F.size(F.coalesce("more", F.array().cast("array<string>"))) > 0, 0.06).otherwise(0.0)), 6).alias("confidence"))
+def rewritten(queries: DataFrame, rewrites: DataFrame, exact: int = 48, most: int = 64) -> DataFrame:
+    """query_id, exact, terms, confidence: queries (query_id, exact, terms, confidence) with what their rewrite (query_id, exact, terms) adds.
+
+    Exact terms come first and are cut to `exact`; then the rewrite's terms and the query's own, `most` in all. Any rewrite
+    raises the confidence, one that adds exact terms more. A query without a rewrite stays as it is.
+    """
+    j = queries.join(rewrites.select("query_id", F.col("exact").alias("more_exact"), F.col("terms").alias("more")), "query_id", "left")
+    fitting = F.filter("more_exact", lambda x: F.length(x) <= 120)
+    merged = j.withColumn("merged", F.when(F.col("more").isNotNull(), F.slice(F.array_union("exact", fitting), 1, exact)))
+    added = F.size(F.array_except("merged", "exact")) > 0
+    return merged.select(
+        "query_id", F.coalesce("merged", "exact").alias("exact"), F.when(F.col("merged").isNull(), F.col("terms")).otherwise(F.slice(F.array_distinct(F.concat("merged", "more", "terms")), 1, most)).alias("terms"),
+        F.round(F.when(F.col("merged").isNull(), F.col("confidence")).otherwise(F.least(F.lit(0.98), F.col("confidence") + F.when(added, 0.06).otherwise(0.03))), 6).alias("confidence"),
+    )
 
 
 def area_dependencies(paths: DataFrame, edges: DataFrame) -> DataFrame:

@@ -135,12 +135,12 @@ def area_model(spark, d):
     return O.area_model(read(spark, d, "part").select(k.alias("item_id"), path.alias("path")), edges(spark, d))
 
 
-@query(f"""WITH b AS (SELECT 'backup-' || s_suppkey AS path, TIMESTAMP '{AS_OF}' - INTERVAL (s_suppkey * 7) HOUR AS created, s_suppkey % 3 <> 0 AS ok FROM supplier),
-p AS (SELECT *, row_number() OVER (ORDER BY created DESC, path) AS n, row_number() OVER (PARTITION BY ok ORDER BY created DESC, path) AS k FROM b) SELECT path, n <= 10 OR (ok AND k = 1) AS keep FROM p""")
+@query(f"""WITH b AS (SELECT 'backup-' || s_suppkey AS path, TIMESTAMP '{AS_OF}' - INTERVAL (s_suppkey * 7) HOUR AS created, s_suppkey % 3 = 0 AS ok, s_suppkey % 4 <> 1 AS verified FROM supplier),
+p AS (SELECT *, row_number() OVER (ORDER BY created DESC, path) AS n, row_number() OVER (PARTITION BY ok ORDER BY created DESC, path) AS k FROM b) SELECT path, n <= 3 OR (ok AND k = 1) OR NOT verified AS keep FROM p""")
 def backup_retention(spark, d):
     k = F.col("s_suppkey")
     made = F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(F.lit(0), (k * 7).cast("int"))
-    return O.retention(read(spark, d, "supplier").select(F.concat(F.lit("backup-"), k.cast("string")).alias("path"), made.alias("created"), (k % 3 != 0).alias("ok")), 10, 14, AS_OF)
+    return O.retention(read(spark, d, "supplier").select(F.concat(F.lit("backup-"), k.cast("string")).alias("path"), made.alias("created"), (k % 3 == 0).alias("ok"), (k % 4 != 1).alias("verified")), 3)
 
 
 @query(with_("atoms", "edges") + """ SELECT 'tier' AS kind, atom_id AS item_id FROM atoms WHERE tier = 'draft' AND reuse > 35 UNION ALL SELECT 'archived', atom_id FROM atoms WHERE status = 'archived'

@@ -12,9 +12,11 @@ from .registry import query
 
 
 def lexical_queries(spark, d):
-    """Terms of every 100th document: its distinct tokens in order, the first 32."""
+    """Terms of every 100th document: its technologies, business areas and compounds, then its other words, the first 32."""
     docs = read(spark, d, "documents").where("doc_id % 100 = 0")
-    return docs.select(F.col("doc_id").alias("query_id"), F.slice(F.array_sort(T.tokens(F.col("text"))), 1, 32).alias("terms"))
+    c = F.col("text")
+    exact = F.concat(T.terms_in(c, P.TECHNOLOGIES), T.hints_in(c, P.BUSINESS_AREAS), T.compounds(c))
+    return docs.select(F.col("doc_id").alias("query_id"), T.lexical_terms(c, exact).alias("terms"))
 
 
 def corpus(spark, d):
@@ -34,7 +36,18 @@ def atom_items(spark, d):
 
 
 RELATION_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.RELATION_MULTIPLIERS.items()) + " ELSE 1.0 END::DOUBLE"
-LEXICAL = """lq AS (SELECT doc_id AS query_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}')))[1:32] AS terms FROM documents WHERE doc_id % 100 = 0),
+
+
+def terms_sql(text: str) -> str:
+    """SQL of the terms that lexical_queries takes of a text, distinct ones not yet taken out."""
+    tech = ", ".join("CASE WHEN regexp_matches(lower({}), '{}') THEN '{}' END".format(text, P.TERM_PATTERNS.get(t, rf"\b{t}\b"), t) for t in P.TECHNOLOGIES)
+    areas = ", ".join(f"CASE WHEN contains(lower({text}), '{t}') THEN '{t}' END" for t in P.BUSINESS_AREAS)
+    words = f"list_filter(regexp_extract_all(lower({text}), '[a-z0-9_./:-]{{3,}}'), lambda x: x NOT IN ({', '.join(repr(w) for w in P.STOP_WORDS)}))"
+    return f"list_filter([{tech}, {areas}], lambda x: x IS NOT NULL) || list_filter(regexp_extract_all(lower({text}), '{P.COMPOUND_PATTERN}'), lambda x: length(x) >= 5) || {words}"
+
+
+LEXICAL = f"""lraw AS (SELECT doc_id AS query_id, {terms_sql("text")} AS l FROM documents WHERE doc_id % 100 = 0),
+lq AS (SELECT query_id, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:32] AS terms FROM lraw),
 lt AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM lq),
 low AS (SELECT item_id, item_type, lower(content) AS low FROM items WHERE status = 'approved'),
 ls AS (SELECT query_id, item_id, item_type, round(count(*) / n_terms, 6) AS raw FROM lt JOIN low ON contains(low, term) GROUP BY query_id, item_id, item_type, n_terms),

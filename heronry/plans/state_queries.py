@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import policy as P
+from ..functions import text as T
 from ..operators import state as S
 from .bridge import AS_OF, atoms, edges, feedback, items, read, with_
 from .ranking_queries import BOTH, FUSED, plain
 from .registry import query
-from .search_queries import lexical_queries
+from .search_queries import LEXICAL, lexical_queries
 
 _NEW = "SELECT p_partkey, p_name || ' v2' AS name, p_size + 1 AS size FROM part WHERE p_partkey % 3 = 0"
 
@@ -44,9 +46,28 @@ def path_policy(spark, d):
     return read(spark, d, "pages").select("page_id", path.alias("path"), S.path_policy(path, F.length("html"), 3000).alias("reason"))
 
 
-@query(with_("items") + " SELECT item_id, CASE WHEN item_id % 5 <> 0 THEN CASE WHEN item_type IN ('memory', 'conversation') THEN 'episodic' WHEN item_type IN ('rule', 'workflow') THEN 'procedural' ELSE 'semantic' END || ':' || lang END AS namespace FROM items")
+_KIND_SQL = "CASE item_type " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, k in P.NAMESPACE_KINDS.items()) + " ELSE item_type END"
+_META = """CASE item_id % 4 WHEN 0 THEN '{"agentName":" ' || lang || ' "}' WHEN 1 THEN '{"agentTool":"t' || item_id % 3 || '"}' WHEN 2 THEN '{"agentName":"  "}' ELSE '{}' END"""
+
+
+def _metadata():
+    k = F.col("item_id")
+    return F.when(k % 4 == 0, F.concat(F.lit('{"agentName":" '), "lang", F.lit(' "}'))).when(k % 4 == 1, F.concat(F.lit('{"agentTool":"t'), (k % 3).cast("string"), F.lit('"}'))).when(k % 4 == 2, '{"agentName":"  "}').otherwise("{}")
+
+
+_SPACES = with_("items") + f", ns AS (SELECT item_id, project, {_KIND_SQL} AS kind, nullif(trim(coalesce(json_extract_string({_META}, '$.agentName'), json_extract_string({_META}, '$.agentTool'))), '') AS agent FROM items)"
+
+
+@query(_SPACES + " SELECT * FROM ns")
 def namespaces(spark, d):
-    return items(spark, d).select("item_id", S.namespace(F.col("item_type"), F.when(F.col("item_id") % 5 != 0, F.col("lang"))).alias("namespace"))
+    return items(spark, d).select("item_id", S.namespace(F.col("project"), F.col("item_type"), _metadata()).alias("n")).select("item_id", "n.*")
+
+
+@query(_SPACES + " SELECT item_id FROM ns WHERE kind = 'reflection' AND agent = 'en'")
+def namespace_filter(spark, d):
+    """Candidates of one kind and agent; those without an agent fail."""
+    n = items(spark, d).select("item_id", S.namespace(F.col("project"), F.col("item_type"), _metadata()).alias("n"))
+    return n.where(S.in_namespace(F.col("n"), kind="reflection", agent="en")).select("item_id")
 
 
 @query(with_("atoms", "feedback") + """, n AS (SELECT item_id, count(*) AS n, max(ts) AS ts FROM feedback WHERE feedback_type = 'selected' GROUP BY 1)
@@ -85,21 +106,27 @@ def retry_search(spark, d):
 
 
 @query(BOTH + ",\n" + FUSED.format("hits") + """,
-t AS (SELECT query_id, item_id, score, terms, list_distinct(regexp_extract_all(lower(content), '[a-z0-9_./:-]{3,}')) AS tokens FROM fused JOIN lq USING (query_id) LEFT JOIN items USING (item_id)),
-r AS (SELECT query_id, item_id, round(CASE WHEN tokens IS NULL THEN score ELSE len(list_intersect(terms, tokens)) / len(terms) END, 6) AS rerank, score FROM t),
-f2 AS (SELECT query_id, item_id, rerank, round(0.65::DOUBLE * rerank + 0.35::DOUBLE * score, 6) AS final FROM r) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, item_id) AS rank FROM f2""")
+t AS (SELECT query_id, item_id, score, terms, trust, list_distinct(regexp_extract_all(lower(content), '[a-z0-9_./:-]+')) AS tokens FROM fused JOIN lq USING (query_id) LEFT JOIN items USING (item_id)),
+r AS (SELECT query_id, item_id, coalesce(len(list_intersect(terms, coalesce(tokens, []))) / nullif(len(terms), 0), 0) AS overlap, least(1, greatest(0, coalesce(trust / 100, 0))) AS own, score FROM t),
+f2 AS (SELECT query_id, item_id, round(overlap, 6) AS overlap, round(least(1, greatest(0, 0.62::DOUBLE * score + 0.28::DOUBLE * overlap + 0.1::DOUBLE * own)), 6) AS final FROM r) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, item_id) AS rank FROM f2""")
 def term_rerank(spark, d):
     return S.rerank(plain(spark, d), lexical_queries(spark, d), items(spark, d))
 
 
-@query("""WITH q AS (SELECT doc_id AS query_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}')))[1:32] AS terms FROM documents WHERE doc_id % 100 = 0), b AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}')))[1:32] AS more FROM benchmark WHERE item_id % 2 = 0),
-j AS (SELECT query_id, terms, more FROM q LEFT JOIN b ON b.item_id * 100 = query_id), m AS (SELECT query_id, list_concat(terms, list_filter(coalesce(more, []), lambda x: NOT list_contains(terms, x)))[1:48] AS terms, more FROM j)
-SELECT query_id, array_to_string(terms, ' ') AS terms, round(least(0.96, 0.5 + CASE WHEN len(coalesce(more, [])) > 0 THEN 0.06 ELSE 0 END), 6)::DOUBLE AS confidence FROM m""")
+@query("WITH " + LEXICAL.split("lt AS")[0] + """q AS (SELECT query_id, terms[1:2] AS exact, terms, 0.5::DOUBLE AS confidence FROM lq),
+b AS (SELECT item_id * 100 AS query_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./:-]{3,}'))) AS l FROM benchmark WHERE item_id % 2 = 0),
+j AS (SELECT q.*, CASE WHEN b.query_id % 400 = 0 THEN l[1:3] ELSE [] END AS more_exact, l[1:32] AS more FROM q LEFT JOIN b ON b.query_id = q.query_id),
+m AS (SELECT *, CASE WHEN more IS NOT NULL THEN (exact || list_filter(more_exact, lambda x: NOT list_contains(exact, x)))[1:48] END AS merged FROM j),
+c AS (SELECT *, merged || more || terms AS l FROM m)
+SELECT query_id, array_to_string(coalesce(merged, exact), ' ') AS exact, array_to_string(CASE WHEN merged IS NULL THEN terms ELSE (list_filter(l, lambda x, i: list_position(l, x) = i))[1:64] END, ' ') AS terms,
+ round(CASE WHEN merged IS NULL THEN confidence ELSE least(0.98, confidence + CASE WHEN len(merged) > len(exact) THEN 0.06 ELSE 0.03 END) END, 6)::DOUBLE AS confidence FROM c""")
 def rewrite_merge(spark, d):
-    from ..functions import text as T
-
-    more = read(spark, d, "benchmark").where("item_id % 2 = 0").select((F.col("item_id") * 100).alias("query_id"), F.slice(F.array_sort(T.tokens(F.col("text"))), 1, 32).alias("terms"))
-    return S.rewritten(lexical_queries(spark, d).withColumn("confidence", F.lit(0.5)), more).withColumn("terms", F.array_join("terms", " "))
+    """Queries with the terms of a benchmark passage as their rewrite, for those that have one."""
+    own = F.array_sort(T.tokens(F.col("text")))
+    more = read(spark, d, "benchmark").where("item_id % 2 = 0").select((F.col("item_id") * 100).alias("query_id"), own.alias("l"))
+    more = more.select("query_id", F.when(F.col("query_id") % 400 == 0, F.slice("l", 1, 3)).otherwise(F.slice("l", 1, 0)).alias("exact"), F.slice("l", 1, 32).alias("terms"))
+    q = lexical_queries(spark, d).select("query_id", F.slice("terms", 1, 2).alias("exact"), "terms", F.lit(0.5).alias("confidence"))
+    return S.rewritten(q, more).select("query_id", F.array_join("exact", " ").alias("exact"), F.array_join("terms", " ").alias("terms"), "confidence")
 
 
 @query(with_("edges") + """, p AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) ELSE 'src/' || split_part(p_name, ' ', 1) END AS area FROM part)

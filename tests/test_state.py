@@ -19,12 +19,12 @@ def test_path_policy(spark):
     assert got == paths
 
 
-def test_rerank_falls_back_to_the_fused_score(spark):
+def test_rerank(spark):
     fused = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.4)], "query_id int, item_id int, score double")
     q = spark.createDataFrame([(1, ["alpha", "beta"])], "query_id int, terms array<string>")
-    texts = spark.createDataFrame([(11, "alpha beta gamma")], "item_id int, content string")
-    got = [(r.item_id, r.rerank) for r in S.rerank(fused, q, texts).orderBy("rank").collect()]
-    assert got == [(11, 1.0), (10, 0.5)]
+    texts = spark.createDataFrame([(11, "alpha beta gamma", 80)], "item_id int, content string, trust int")
+    got = [(r.item_id, r.overlap, r.final) for r in S.rerank(fused, q, texts).orderBy("rank").collect()]
+    assert got == [(11, 1.0, round(0.62 * 0.4 + 0.28 + 0.08, 6)), (10, 0.0, 0.31)]
 
 
 def test_proposals(spark):
