@@ -19,15 +19,15 @@ def rounded(c: Column, places: int = 3) -> Column:
     return F.floor(c * 10**places + 0.5) / 10**places
 
 
-def source_weight(source: Column, task: Column | None = None, hard: Column | None = None, item_type: Column | None = None) -> Column:
-    """Weight of a hit: of its source, changed by the task, by whether the query names files, symbols or errors, and by the item's type."""
+def source_weight(source: Column, task: Column | None = None, hard: Column | None = None, item_type: Column | None = None, sure: Column | None = None) -> Column:
+    """Weight of a hit: of its source, changed by the task, by whether the query names files, symbols or errors, and by the item's type (as far as sure)."""
     w = lookup(source, P.SOURCE_WEIGHTS, 1.0)
     if task is not None:
         w = w + F.coalesce(*[F.when(task == t, lookup(source, d)) for t, d in P.TASK_WEIGHTS.items()], F.lit(0.0))
     if hard is not None:
         w = w + F.when(hard & source.isin(*P.HARD_SIGNAL_SOURCES), P.HARD_SIGNAL_BONUS).when(hard & (source == "vector"), P.HARD_SIGNAL_VECTOR).otherwise(0.0)
     if task is not None and item_type is not None:
-        w = reduce(lambda a, b: a + F.when((task == b[0]) & item_type.isin(*b[1]), b[2]).otherwise(0.0), P.TYPE_BOOSTS, w)
+        w = reduce(lambda a, b: a + F.when((task == b[0]) & item_type.isin(*b[1]), b[2] * (F.lit(1.0) if sure is None else sure)).otherwise(0.0), P.TYPE_BOOSTS, w)
     return w
 
 
@@ -78,17 +78,20 @@ def stale_after(item_type: Column) -> Column:
     return F.coalesce(*[F.when(item_type == k, F.lit(v[1])) for k, v in P.FRESHNESS.items()], F.lit(365))
 
 
-def suppress(score: Column, superseded: Column, stale: Column, latest: Column, hard: Column, domain_match: Column) -> Column:
+def suppress(score: Column, superseded: Column, stale: Column, latest: Column, hard: Column, domain_match: Column, mismatch: Column | None = None) -> Column:
     """Final score after suppression: factors for supersession, age, feedback and domain, with a floor of 0.1, then the domain boost.
 
-    superseded: greatest confidence of a superseding edge or null; domain_match: true, false or null where no domain is known.
+    superseded: greatest confidence of a superseding edge or null; domain_match: true, false or null where no domain is known;
+    mismatch: whether a candidate gives none of the evidence asked for.
     """
     factor = penalty_factor(F.when(superseded.isNotNull(), -F.least(F.lit(0.28), 0.18 + superseded * 0.08)).otherwise(0.0))
     factor = factor * penalty_factor(F.when(stale & ~hard, -0.14).otherwise(0.0))
     factor = factor * penalty_factor(F.when((latest == "stale") & ~hard, -0.1).when(latest.isin("rejected", "irrelevant") & ~hard, -0.08).otherwise(0.0))
-    factor = factor * penalty_factor(F.when(~domain_match, -0.3).otherwise(0.0))
+    factor = factor * penalty_factor(F.when(~domain_match, P.DOMAIN_MISMATCH).otherwise(0.0))
+    if mismatch is not None:
+        factor = factor * penalty_factor(F.when(mismatch, -0.1).otherwise(0.0))
     damped = F.when(score > 0.1, F.greatest(score * factor, F.lit(0.1))).otherwise(score * factor)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), damped + F.when(domain_match, 0.15).otherwise(0.0)))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), damped + F.when(domain_match, P.DOMAIN_MATCH).otherwise(0.0)))
 
 
 def superseded_by(edges: DataFrame, limit: int = 8) -> DataFrame:

@@ -106,10 +106,28 @@ def best_chunk(queries: DataFrame, chunks: DataFrame, limit: int = P.SEARCH_LIMI
     return in_blocks(queries, lambda q: ranked(best(q), "vector", limit))
 
 
+def _first_of_key(items: DataFrame, keys: str, limit: int, *order: Column | str) -> DataFrame:
+    """k and the rows of items that come first under each of their keys. All hits of a key score alike, so no query can rank more of them."""
+    each = items.select("*", F.explode(F.array_distinct(keys)).alias("k"))
+    return each.withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
+
+
+def by_label(signals: DataFrame, labels: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
+    """0.94 where an item has a precise signal of the query as a label, 0.82 where it has another; then by trust and freshness.
+
+    signals: query_id, type, value, precise; labels: item_id, type, value, trust, fresh_on. Under each label only as many items
+    as a query can rank are kept, by trust, freshness and id, before they meet signals.
+    """
+    order = (F.col("trust").desc(), F.col("fresh_on").desc_nulls_last(), "item_id")
+    first = labels.withColumn("_n", F.row_number().over(Window.partitionBy("type", "value").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
+    hits = signals.join(first, ["type", "value"]).groupBy("query_id", "item_id", "trust", "fresh_on").agg(F.max(F.when(F.col("precise"), 0.94).otherwise(0.82)).alias("raw"))
+    return ranked(hits, "metadata", limit, *order[:2])
+
+
 def metadata(queries: DataFrame, items: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
     """0.94 where a label equals a precise term of the query, 0.82 where a word does: queries (query_id, precise, words), items (item_id, labels, words)."""
-    exact = queries.select("query_id", F.explode("precise").alias("k")).join(items.select("item_id", F.explode("labels").alias("k")), "k").select("query_id", "item_id", F.lit(0.94).alias("raw"))
-    loose = queries.select("query_id", F.explode("words").alias("k")).join(items.select("item_id", F.explode("words").alias("k")), "k").select("query_id", "item_id", F.lit(0.82).alias("raw"))
+    exact = queries.select("query_id", F.explode("precise").alias("k")).join(_first_of_key(items, "labels", limit, "item_id"), "k").select("query_id", "item_id", F.lit(0.94).alias("raw"))
+    loose = queries.select("query_id", F.explode("words").alias("k")).join(_first_of_key(items, "words", limit, "item_id"), "k").select("query_id", "item_id", F.lit(0.82).alias("raw"))
     return ranked(exact.unionByName(loose).groupBy("query_id", "item_id").agg(F.max("raw").alias("raw")), "metadata", limit)
 
 
@@ -141,9 +159,9 @@ def graph_depth2(seeds: DataFrame, edges: DataFrame, limit: int = P.SEARCH_LIMIT
 
 def by_trigger(queries: DataFrame, atoms: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
     """Active facts that share a trigger key with a query: queries (query_id, keys), atoms (atom_id, keys, tier, last_reused)."""
-    k = atoms.where("status = 'active'").select("atom_id", "tier", "last_reused", F.explode("keys").alias("k"))
-    hits = queries.select("query_id", F.explode("keys").alias("k")).join(k, "k").select("query_id", "atom_id", "tier", "last_reused").distinct()
     tier = F.when(F.col("tier") == "canonical", 3).when(F.col("tier") == "verified", 2).otherwise(1)
+    k = _first_of_key(atoms.where("status = 'active'").select("atom_id", "tier", "last_reused", "keys"), "keys", limit, tier.desc(), F.col("last_reused").desc_nulls_last(), "atom_id").drop("keys")
+    hits = queries.select("query_id", F.explode("keys").alias("k")).join(k, "k").select("query_id", "atom_id", "tier", "last_reused").distinct()
     order = Window.partitionBy("query_id").orderBy(tier.desc(), F.col("last_reused").desc_nulls_last(), "atom_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "atom_id", "tier", "rank")
 

@@ -20,6 +20,55 @@ def classify(prompts: DataFrame) -> DataFrame:
     return found.withColumns({"domain": T.domain(F.col("files")), "n_signals": n}).withColumn("confidence", T.confidence(F.col("n_signals")))
 
 
+def intent(classified: DataFrame) -> DataFrame:
+    """classified prompts with continuation, stage, mode, required (kinds of evidence asked for) and uncertain (why the request is unclear)."""
+    low, task, size = F.lower("prompt"), F.col("task"), lambda c: F.size(c) > 0
+    rows = classified.withColumn("continuation", low.rlike(P.CONTINUATION_PATTERN))
+    go_on = F.col("continuation")
+    by = lambda values, rest: F.coalesce(*[F.when(task == t, F.lit(v)) for t, v in values.items()], F.lit(rest))
+    worded = reduce(lambda w, mp: w.when(low.rlike(mp[1]), mp[0]), P.MODE_PATTERNS, F.when(F.lit(False), ""))
+    some = lambda cond, *v: F.when(cond, F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>"))
+    asked = F.coalesce(*[F.when(task == t, F.array(*map(F.lit, v))) for t, v in P.EVIDENCE.items()], F.array(F.lit("docs")))
+    required = F.array_distinct(F.concat(some(go_on, "handoff", "session_history", "workflow"), asked, some(size("files") | size("symbols"), "code_reference"), some(size("errors"), "bugfix", "incident_lesson"), some(low.rlike(P.MEMORY_WORDS), "reflection_memory")))
+    unclear = F.concat(some(F.col("project").isNull(), "project is unclear"), some(task == "unknown", "task type is unclear"), some(~(size("files") | size("symbols") | size("errors")), "no concrete file, symbol, or error signal was supplied"), some(go_on, "continuation prompt relies on handoff or recent selected-session context"))
+    return rows.withColumns({"stage": F.when(go_on, "continuation").otherwise(by(P.STAGES, "unknown")), "mode": worded.when(go_on, "implementation").otherwise(by(P.MODES, "unknown")), "required": required, "uncertain": unclear})
+
+
+def located(text: Column, pattern: str) -> Column:
+    """value and at, its offset, of every match of pattern."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<value:string,at:int>>").alias("found"))
+
+    def step(a, x):
+        at = a["end"] + F.length(x["gap"])
+        return F.struct((at + F.length(x["hit"])).alias("end"), F.array_append(a["found"], F.struct(x["hit"].alias("value"), at.alias("at"))).alias("found"))
+
+    return F.aggregate(pairs, start, step)["found"]
+
+
+def sweep(prompts: DataFrame, kinds: dict[str, tuple[str, bool, int]], verbs: tuple[str, ...] = P.SWEEP_VERBS) -> DataFrame:
+    """query_id, kind, value, score, code, verb: signals of each prompt by a log-saturated count, more in code and near an imperative verb.
+
+    kinds: by name a pattern, whether its values are free (then a lone mention without code or verb is left out; else values
+    are taken in lower case), and the most to keep. Code is what stands in fences or backticks; near is SWEEP_TOKENS times
+    five characters to either side of any mention.
+    """
+    width = P.SWEEP_TOKENS * 5
+    rows = prompts.select("query_id", "prompt", located(F.col("prompt"), P.CODE_PATTERN).alias("fences"))
+    parts = [rows.select("*", F.lit(k).alias("kind"), F.lit(free).alias("free"), F.lit(most).alias("most"), F.explode(located(F.col("prompt") if free else F.lower("prompt"), p)).alias("f")) for k, (p, free, most) in kinds.items()]
+    each = reduce(DataFrame.unionByName, parts).select("*", "f.value", "f.at")
+    inside = F.exists("fences", lambda r: (r["at"] <= F.col("at")) & (F.col("at") < r["at"] + F.length(r["value"])))
+    begin = F.greatest(F.lit(0), F.col("at") - width)
+    around = F.lower(F.substr("prompt", begin + 1, F.col("at") + width - begin))
+    flagged = each.select("query_id", "kind", "free", "most", "value", inside.alias("code"), around.rlike(rf"\b(?:{'|'.join(verbs)})\b").alias("verb"))
+    n = flagged.groupBy("query_id", "kind", "free", "most", "value").agg(F.count("*").alias("n"), F.max("code").alias("code"), F.max("verb").alias("verb"))
+    score = F.least(F.lit(1.0), F.log1p("n") / F.log(F.lit(9.0))) + F.when(F.col("code"), P.SWEEP_CODE).otherwise(0.0) + F.when(F.col("verb"), P.SWEEP_VERB).otherwise(0.0)
+    kept = n.withColumn("score", F.round(F.least(F.lit(1.0), score), 6)).where((F.col("score") >= P.SWEEP_FLOOR) & (~F.col("free") | F.col("code") | F.col("verb")))
+    order = Window.partitionBy("query_id", "kind").orderBy(F.col("score").desc(), "value")
+    return kept.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("most")).select("query_id", "kind", "value", "score", "code", "verb")
+
+
 def item_type(content: Column, origin: Column, trigger: Column, taxonomy: Column, references: Column, hint: Column) -> Column:
     """item_type and confidence: the first of nine ordered tests that holds. references: array of struct(type, uri)."""
     files = F.transform(F.filter(references, lambda r: r["type"] == "file"), lambda r: r["uri"])

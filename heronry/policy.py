@@ -147,4 +147,52 @@ NAMESPACE_KINDS = {"memory": "reflection", "bugfix": "reflection", "rule": "refl
 COMPOUND_PATTERN = r"\b[a-z][a-z0-9]*(?:[-_][a-z0-9]+)+\b"
 UUID_PATTERN = r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b"
 RERANK = {"fused": 0.62, "overlap": 0.28, "trust": 0.1}
+#: type, weight and confidence of the labels that a classification gives.
+LABELS = (("project", 1.0, 0.9), ("task_type", 0.9, 0.8), ("domain", 0.85, 0.7), ("file", 0.9, 0.85), ("symbol", 0.85, 0.8), ("error", 0.95, 0.9), ("technology", 0.75, 0.7), ("business_area", 0.8, 0.7))
+#: By task: item types that suit it, evidence it asks for, stage of work.
+ALIGNED = {
+    "debugging": ("bugfix", "memory", "workflow"),
+    "implementation": ("code_ref", "spec", "workflow", "rule"),
+    "refactor": ("code_ref", "rule", "workflow"),
+    "review": ("rule", "spec", "code_ref", "memory"),
+    "planning": ("spec", "wiki", "workflow"),
+    "exploration": ("wiki", "code_ref", "memory", "workflow"),
+    "testing": ("workflow", "rule", "bugfix", "code_ref"),
+}
+EVIDENCE = {
+    "debugging": ("bugfix", "code_reference", "incident_lesson"),
+    "implementation": ("spec", "workflow", "code_reference"),
+    "refactor": ("code_reference", "workflow"),
+    "review": ("code_reference", "spec"),
+    "planning": ("spec", "workflow", "docs"),
+    "exploration": ("code_reference", "docs"),
+    "testing": ("tests", "code_reference"),
+    "unknown": ("docs",),
+}
+STAGES = {"debugging": "investigation", "implementation": "implementation", "refactor": "implementation", "review": "review", "planning": "planning", "exploration": "exploration", "testing": "verification"}
+MODES = {"debugging": "debugging", "implementation": "implementation", "refactor": "implementation", "testing": "implementation", "exploration": "implementation", "review": "review", "planning": "planning"}
+CONTINUATION_PATTERN = r"\b(continue|resume|handoff|handover)\b|\bpick up\b|\bwhere we left off\b|\bcurrent work\b"
+#: Ordered: modes told by the wording of a prompt, before those of its task.
+MODE_PATTERNS = (
+    ("context_quality_review", r"\b(context[-_\s]?quality|selected_but_noisy|too_much_adjacent_context|noisy|adjacent feedback|missing orientation|missing current handoff|missing verification)\b"),
+    ("reflection_review", r"\b(reflection[-_\s]?drafts?|pending reflections?|review reflections?|approve reflection|reject reflection|(?:approve|reject|needs[-_\s]?changes)\b.*\b(?:reflection|draft)|(?:reflection|draft)\b.*\b(?:approve|reject|needs[-_\s]?changes))\b"),
+    ("handoff_cleanup", r"\b(handoff cleanup|handoff clean[-_\s]?up|cleanup handoff|clean up (?:the )?handoff|resolve (?:the )?(?:current )?(?:handoff|section)|current work cleanup|current[-_\s]?work clean[-_\s]?up)\b"),
+    ("operations_review", r"\b(operations?|ops)\b.*\b(gaps?|proposals?|queues?)\b|\b(knowledge gaps?|learning proposals?|review queues?|ops queues?)\b"),
+)
+GUIDED_MODES = ("review", "reflection_review", "context_quality_review", "handoff_cleanup", "operations_review")
+MEMORY_WORDS = r"\b(reflection|memory|lesson|learned)\b"
+TIER_FACTORS = {"draft": 0.6, "verified": 1.0, "canonical": 1.4}
+STYLE_FACTORS, WORKFLOW_STYLE = {"draft": 0.4, "verified": 0.8, "canonical": 1.1}, 1.3
+LEGACY_FACTOR, RERANK_LIMIT, DOMAIN_MATCH, DOMAIN_MISMATCH = 0.2, 24, 0.15, -0.3
+ANCHORED_FLOOR, GENERAL_FLOOR, GRAPH_FLOOR = 0.6, 0.35, 0.45
+CATEGORY_CAPS = {"priorLessons": 6, "adjacentContext": 4}
+FIT_COVERAGE = {"files": 0.18, "symbols": 0.15, "errors": 0.15, "technologies": 0.08, "areas": 0.08}
+FIT_CURRENT, FIT_AGING = 0.05, -0.04
+SWEEP_VERBS = ("update", "refactor", "fix", "add", "remove", "rename", "migrate", "verify", "port", "delete", "reorder", "simplify", "split", "extract")
+CODE_PATTERN = r"```[\s\S]*?```|`[^`\n]+`"
+SWEEP_SYMBOL = r"\b[A-Z][A-Za-z0-9]+(?:[A-Z][a-z][A-Za-z0-9]*)+\b|\b[a-z][a-zA-Z0-9]+(?:[A-Z][a-zA-Z0-9]*)+\b"
+SWEEP_ERROR = r"\b[A-Z][A-Z0-9_]*(?:Error|Exception|Failure)\b|\bE[A-Z][A-Z0-9_]+\b|\b(?:TS|ERR)[-_]?\d{3,6}\b"
+SWEEP_TECHNOLOGIES = (*TECHNOLOGIES, "pnpm", "ollama", "openai")
+SWEEP_CAPS = {"files": 10, "symbols": 12, "errors": 6, "technologies": 6, "areas": 4}
+SWEEP_FLOOR, SWEEP_CODE, SWEEP_VERB, SWEEP_TOKENS = 0.25, 0.3, 0.2, 10
 # --- end of fixed values ---
