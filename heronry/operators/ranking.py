@@ -69,6 +69,22 @@ def feedback_adjustment() -> Column:
     return F.least(F.lit(0.1), F.col("n_selected") * 0.04) - F.least(F.lit(0.08), F.col("n_noisy") * 0.03) - F.least(F.lit(0.24), F.col("n_stale") * 0.2) - F.least(F.lit(0.18), (F.col("n_rejected") + F.col("n_irrelevant")) * 0.09)
 
 
+def delta_with_floor(base: Column, factor: Column, floor: float) -> Column:
+    """Change of a score by a factor that never takes it from above the floor to below."""
+    damped = base * factor
+    return F.when(base > floor, F.greatest(damped, F.lit(floor))).otherwise(damped) - base
+
+
+def window_rerank(candidates: DataFrame, window: int) -> DataFrame:
+    """candidates (query_id, item_id, rank, fused, local, overlap, trust) with final and new rank: the first `window` of each query by a given local score, the rest by the plain blend."""
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    trust = unit(F.col("trust") / 100)
+    scored = unit(unit(F.col("local")) * 0.7 + F.col("fused") * 0.22 + trust * 0.08)
+    plain = unit(P.RERANK["fused"] * F.col("fused") + P.RERANK["overlap"] * F.col("overlap") + P.RERANK["trust"] * trust)
+    rows = candidates.withColumn("final", F.round(F.when(F.col("rank") <= window, scored).otherwise(plain), 6))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("final").desc(), "rank", "item_id")))
+
+
 def penalty_factor(delta: Column) -> Column:
     """A negative change as a factor of 0.4 to 1."""
     return F.when(delta >= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.4), F.exp(2.2 * delta))))

@@ -166,6 +166,30 @@ def by_trigger(queries: DataFrame, atoms: DataFrame, limit: int = P.SEARCH_LIMIT
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "atom_id", "tier", "rank")
 
 
+def _holding(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """word, term: which different words (column k) hold which different terms (column k). They meet by one gram of the term; terms shorter than a gram by all runs of one or two characters."""
+    size = F.least(F.length("k"), F.lit(GRAM))
+    runs = lambda n: F.array_distinct(F.regexp_extract_all("k", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    grams = words.select(F.col("k").alias("word"), F.explode(F.concat(*[runs(n) for n in range(1, GRAM + 1)])).alias("gram"))
+    own = terms.where("k <> ''").select(F.col("k").alias("term"), F.substr("k", F.lit(1), size).alias("gram"))
+    return grams.join(own, "gram").where(F.contains("word", F.col("term"))).select("word", "term").distinct()
+
+
+def by_substring(queries: DataFrame, atoms: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
+    """query_id, atom_id: facts (atom_id, keys) with a key that holds one of a query's keys or lies in it, whatever the case; the first `limit` by id.
+
+    Only different keys are held against each other; under each key of a query as many facts are kept as it can be given.
+    """
+    q = queries.select("query_id", F.explode("keys").alias("k")).select("query_id", F.lower("k").alias("k")).distinct()
+    a = atoms.select("atom_id", F.explode("keys").alias("k")).select("atom_id", F.lower("k").alias("k")).distinct()
+    mine, theirs = q.select("k").distinct(), a.select("k").distinct()
+    met = _holding(theirs, mine).select(F.col("term").alias("k"), F.col("word").alias("key")).union(_holding(mine, theirs).select("word", "term")).distinct()
+    facts = met.join(a.select(F.col("k").alias("key"), "atom_id"), "key").select("k", "atom_id").distinct()
+    first = facts.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("atom_id"))).where(F.col("n") <= limit)
+    hits = q.join(first, "k").select("query_id", "atom_id").distinct()
+    return hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("atom_id"))).where(F.col("n") <= limit).drop("n")
+
+
 def probe(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, best, rewrite: whether no hit is good enough to leave a query as it is."""
     best = hits.where("rank <= 5").groupBy("query_id").agg(F.max("raw").alias("best"))

@@ -76,7 +76,7 @@ def queue_listings(spark, d):
     return out.select("queue", "id", "status", "ts")
 
 
-_LOGS = _ERRORS + """, logs AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' ELSE 'ignored' END AS status, 'p' || user_id % 4 AS project, ['Tag' || user_id % 3, 'x'] AS tags, CASE user_id % 3 WHEN 0 THEN ' Bash' WHEN 1 THEN 'bash ' ELSE 'Edit' END AS tool, 'op' || event_id % 4 AS operation FROM err)"""
+_LOGS = _ERRORS + """, logs AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' ELSE 'ignored' END AS status, 'p' || user_id % 4 AS project, ['Tag' || user_id % 3, 'x'] AS tags, CASE user_id % 3 WHEN 0 THEN ' Bash' WHEN 1 THEN 'bash ' ELSE 'Edit' END AS tool, 'op' || event_id % 4 AS operation FROM err JOIN (SELECT event_id, user_id FROM events) USING (event_id))"""
 
 
 def logs(spark, d):
@@ -266,13 +266,13 @@ def git_diff(spark, d):
     return D.git_files(read(spark, d, "part").select(line.alias("line")))
 
 
-@query("SELECT doc_id, '\"' || '\"' AS none FROM documents WHERE FALSE UNION ALL " + r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}'))), ',') || '|' || array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(t), '\b[a-z][a-z0-9]*(?:[-_][a-z0-9]+)+\b'), lambda x: length(x) >= 5))), ',') || '|'
- || array_to_string(list_sort(list_distinct([x[2:-2] FOR x IN regexp_extract_all(t, '"[^"]{3,80}"|''[^'']{3,80}''')])), ',') AS none FROM (SELECT doc_id, '"quoted ' || lang || '" pre-fix_' || lang || ' 0f8fad5b-d9cb-469f-a165-' || lpad(doc_id::VARCHAR, 12, '0') || ' ' || source AS t FROM documents)""")
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}'))), ',') || '|' || array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(t), '\b[a-z][a-z0-9]*(?:[-_][a-z0-9]+)+\b'), lambda x: length(x) >= 5))), ',') || '|'
+ || array_to_string(list_sort(list_distinct([x[2:-2] FOR x IN regexp_extract_all(t, '"[^"]{3,80}"|''[^'']{3,80}''')])), ',') AS found FROM (SELECT doc_id, '"quoted ' || lang || '" pre-fix_' || lang || ' 0f8fad5b-d9cb-469f-a165-' || lpad(doc_id::VARCHAR, 12, '0') || ' ' || source AS t FROM documents)""")
 def hints(spark, d):
     """Ids, compounds and quoted terms of texts."""
     t = F.concat(F.lit('"quoted '), "lang", F.lit('" pre-fix_'), "lang", F.lit(" 0f8fad5b-d9cb-469f-a165-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(" "), "source")
     joined = lambda c: F.array_join(F.sort_array(c), ",")
-    return read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.concat_ws("|", joined(T.uuids(F.col("t"))), joined(T.compounds(F.col("t"))), joined(T.quoted(F.col("t")))).alias("none"))
+    return read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.concat_ws("|", joined(T.uuids(F.col("t"))), joined(T.compounds(F.col("t"))), joined(T.quoted(F.col("t")))).alias("found"))
 
 
 _PATHS = "CASE page_id % 5 WHEN 0 THEN 'src/a' || page_id || '.ts' WHEN 1 THEN 'x/docs/b.txt' WHEN 2 THEN 'Requirements/c.txt' WHEN 3 THEN 'my-spec.py' ELSE 'README.MD' END"
@@ -291,7 +291,7 @@ def same_signals(spark, d):
     return prompts(spark, d).select("query_id", a.alias("a"), b.alias("b"), T.same_signal(a, b).alias("same"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT doc_id, text AS t, 0 AS n FROM documents WHERE octet_length(text::BLOB) > 1000 UNION ALL SELECT doc_id, substr(t, 1, floor(length(t) * 0.8)::INT), n + 1 FROM c WHERE octet_length(t::BLOB) > 988),
+@query("""WITH RECURSIVE c AS (SELECT doc_id, text AS t, 0 AS n FROM documents WHERE strlen(text) > 1000 UNION ALL SELECT doc_id, substr(t, 1, floor(length(t) * 0.8)::INT), n + 1 FROM c WHERE strlen(t) > 988),
 e AS (SELECT doc_id, arg_max(t, n) AS t FROM c GROUP BY 1) SELECT d.doc_id, sha256(CASE WHEN e.t IS NULL THEN text ELSE e.t || chr(10) || '[truncated]' END) AS digest FROM (SELECT * FROM documents WHERE text IS NOT NULL) d LEFT JOIN e ON e.doc_id = d.doc_id""")
 def utf8_truncate(spark, d):
     """Texts cut to 1,000 bytes of UTF-8."""
