@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +62,12 @@ def fold_crc(column: str, mod: int) -> Column:
 
 
 def small(batches, rows: int = 256):
-    """The batches in slices of so many rows, so that few texts at a time are Python objects."""
+    """The batches in slices of so many rows, so that few texts at a time are Python objects. At the end Arrow's free memory goes back: the worker lives on for other tasks."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

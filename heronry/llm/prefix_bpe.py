@@ -27,7 +27,7 @@ from .common import small, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, pairs of tokens and byte prefixes whose outcome a worker remembers, and the longest such prefix.
-PIECES, PAIRS, PREFIXES, SHARED = 300_000, 400_000, 200_000, 48
+PIECES, PAIRS, PREFIXES, SHARED = 100_000, 200_000, 100_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
