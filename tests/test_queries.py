@@ -1,4 +1,4 @@
-"""Every query against its SQL on the same tables; those without SQL must at least give rows."""
+"""Every query against its SQL on the same tables; those without SQL must at least run."""
 
 import pytest
 
@@ -14,7 +14,7 @@ def test_sql(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_rows(spark, sf_dir, name):
-    assert catalogue.QUERIES[name](spark, sf_dir).columns
+    assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
