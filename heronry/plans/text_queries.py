@@ -89,7 +89,7 @@ m AS (SELECT id, t, regexp_extract_all(t, '{_ASSIGN}') AS hits, string_split_reg
 e AS (SELECT id, i, hits[i] AS hit, gaps[i] AS gap, regexp_extract(hits[i], '{_ASSIGN}', 1) AS value FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
 b AS (SELECT *, coalesce(string_agg(gap || hit, '') OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || gap AS before, regexp_replace(value, '^["'']|["'']$', '', 'g') AS bare FROM e),
 v AS (SELECT *, regexp_matches(string_split(before, chr(10))[-1], '{P.COMMENT_PATTERN}') OR trim(bare) = '' OR {" OR ".join(f"regexp_matches(trim(bare), '{_quoted(p)}')" for p in P.PLACEHOLDER_PATTERNS)}
- OR regexp_matches(trim(regexp_replace(bare, '[,;:)}}\]>]+$', '')), '{P.TYPE_PATTERN}') OR len(list_distinct(string_split(bare, ''))) <= 3 AS harmless FROM b),
+ OR regexp_matches(trim(regexp_replace(bare, '[,;:)}}\\]>]+$', '')), '{P.TYPE_PATTERN}') OR len(list_distinct(string_split(bare, ''))) <= 3 AS harmless FROM b),
 r AS (SELECT m.id, coalesce((SELECT string_agg(v.gap || CASE WHEN harmless THEN hit ELSE '{T.REDACTED}' END, '' ORDER BY i) FROM v WHERE v.id = m.id), '') || gaps[-1] AS t FROM m)"""
 _RAW = """d AS (SELECT doc_id AS id, CASE doc_id % 12 WHEN 0 THEN '// password: ' || sha256(text) || chr(10) WHEN 1 THEN 'api_key = "' || sha256(text) || '"' WHEN 2 THEN 'token: ${{SECRET_TOKEN_OF_MINE}} ' WHEN 3 THEN '"client_secret": "ConfigProviderFactory", auth: xxxxxxxxxxxx secret=abababababab '
  WHEN 4 THEN 'webhook_url=https://example.org/' || doc_id || chr(10) || ' * token = your_token_here ' WHEN 5 THEN 'DefaultEndpointsProtocol=https;AccountName=abc;AccountKey=QUJD+/=;EndpointSuffix=core ' WHEN 6 THEN 'sk-ant-' || sha256(text) || ' dsn=postgres://u:p@h/db' ELSE '' END || text AS text FROM documents)"""
@@ -144,7 +144,7 @@ def context_text(spark, d):
 _TYPED = """typed AS (SELECT query_id, CASE query_id % 9 WHEN 0 THEN '# Decision' || chr(10) WHEN 1 THEN '## How to' || chr(10) WHEN 2 THEN '# Requirements' || chr(10) WHEN 3 THEN '```' || chr(10) || 'x = 1' || chr(10) || 'y = 2' || chr(10) || '```' || chr(10) WHEN 4 THEN '### Transcript' || chr(10) WHEN 5 THEN 'It MUST hold. ' ELSE '' END || prompt AS content,
  CASE WHEN query_id % 13 = 0 THEN 'error_log' END AS origin, CASE WHEN query_id % 17 = 0 THEN 'error_recovery' END AS trig, CASE WHEN query_id % 19 = 0 THEN 'incident_lesson' END AS taxonomy,
  CASE query_id % 5 WHEN 0 THEN 'test/a.test.ts' WHEN 1 THEN 'src/a.ts' WHEN 2 THEN 'docs/a.md' WHEN 3 THEN 'specs/a.md' ELSE 'src/b.py' END AS uri, CASE query_id % 4 WHEN 0 THEN 'wiki' WHEN 1 THEN 'memory' END AS hint FROM prompts),
-fenced AS (SELECT query_id, sum((f OR open_before % 2 = 1)::INT) / count(*) AS share FROM (SELECT query_id, regexp_matches(line, '^\s{0,3}```') AS f, coalesce(sum(regexp_matches(line, '^\s{0,3}```')::INT) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_before
+fenced AS (SELECT query_id, sum((f OR open_before % 2 = 1)::INT) / count(*) AS share FROM (SELECT query_id, regexp_matches(line, '^\\s{0,3}```') AS f, coalesce(sum(regexp_matches(line, '^\\s{0,3}```')::INT) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_before
  FROM (SELECT query_id, unnest(regexp_split_to_array(content, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(content, '\r?\n'), 1) AS i FROM typed)) GROUP BY 1)"""
 
 
