@@ -129,13 +129,15 @@ def backfill(items: DataFrame, dim: int, batch: int) -> DataFrame:
     lacking = items.where("vector IS NULL").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_./:-]+)"), F.lit(1)).alias("tokens"))
     zero = F.array_repeat(F.lit(0.0), dim)
 
-    def add(a, t):
-        h = T.hash_index(t, dim)
+    def once(value, use):  # a lambda variable is evaluated once, a column named in a lambda again for every element
+        return F.transform(F.array(value), use)[0]
+
+    def add(a, h):
         return F.transform(a, lambda x, i: F.when(i == h["at"], x + h["sign"]).otherwise(x))
 
-    raw = lacking.withColumn("v", F.aggregate("tokens", zero, add))
-    n = V.norm(F.col("v"))
-    return raw.select("item_id", F.transform("v", lambda x: F.round(F.when(n > 0, x / n).otherwise(0.0), 6)).alias("vector"), F.pmod(F.xxhash64("item_id"), F.lit(batch)).alias("batch"))
+    raw = F.aggregate(F.transform("tokens", lambda t: T.hash_index(t, dim)), zero, add)
+    scaled = once(raw, lambda v: once(V.norm(v), lambda n: F.transform(v, lambda x: F.round(F.when(n > 0, x / n).otherwise(0.0), 6))))
+    return lacking.select("item_id", scaled.alias("vector"), F.pmod(F.xxhash64("item_id"), F.lit(batch)).alias("batch"))
 
 
 def area_packs(items: DataFrame) -> DataFrame:
