@@ -28,6 +28,8 @@ from .common import small, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, pairs of tokens and byte prefixes whose outcome a worker remembers, and the longest such prefix.
 PIECES, PAIRS, PREFIXES, SHARED = 200_000, 400_000, 200_000, 48
+#: Pieces remembered where only digests leave the worker: no ids are held for Spark, so there is room for more.
+DIGEST_PIECES = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -188,7 +190,8 @@ class TextEncoder:
     So the words of a plainly spaced text are split by the pattern apart from each other, and remembered.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, pieces: int = PIECES):
+        self.pieces = pieces
         self.bpe, self.split = PrefixBPE(load_ranks(path)), regex.compile(pattern).findall
         self.uneven = regex.compile(r"\s | \s|^ | $").search if pattern == public_tokenizers.PATTERN else (lambda _: True)
         self.seen: dict[str, tuple[str, tuple[int, ...]]] = {}
@@ -199,7 +202,7 @@ class TextEncoder:
         if found is None:
             found = tuple(self.bpe.encode_piece(x.encode()))
             if len(x) < 200:
-                if len(self.seen_piece) >= PIECES:
+                if len(self.seen_piece) >= self.pieces:
                     self.seen_piece.clear()
                 self.seen_piece[x] = found
         return found
@@ -209,7 +212,7 @@ class TextEncoder:
         ids = tuple(i for p in self.split(x) for i in self.piece(p))
         found = (" ".join(map(str, ids)), ids)
         if len(x) < 200:
-            if len(self.seen) >= PIECES:
+            if len(self.seen) >= self.pieces:
                 self.seen.clear()
             self.seen[x] = found
         return found
@@ -227,14 +230,14 @@ class TextEncoder:
         return [i for x in self.words(text) for i in x[1]]
 
 
-_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
+_ENCODERS: dict[tuple[str, str, int], TextEncoder] = {}
 
 
-def encoder(path: str, pattern: str) -> TextEncoder:
+def encoder(path: str, pattern: str, pieces: int = PIECES) -> TextEncoder:
     """One for each worker process."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = TextEncoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    if (path, pattern, pieces) not in _ENCODERS:
+        _ENCODERS[path, pattern, pieces] = TextEncoder(path, pattern, pieces)
+    return _ENCODERS[path, pattern, pieces]
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -271,11 +274,11 @@ def tokens(docs: DataFrame, path: str | None = None, pattern: str = public_token
     return docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded_sha256 string")
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, pieces: int = DIGEST_PIECES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids, without shipping the ids."""
 
     def run(batches):
-        own = encoder(path or public_tokenizers.path(VOCABULARY), pattern)
+        own = encoder(path or public_tokenizers.path(VOCABULARY), pattern, pieces)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in small(batches):
             counts, ids, texts = [], [], []
