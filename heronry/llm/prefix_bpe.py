@@ -190,11 +190,12 @@ class TextEncoder:
     So the words of a plainly spaced text are split by the pattern apart from each other, and remembered.
     """
 
-    def __init__(self, path: str, pattern: str, pieces: int = PIECES):
-        self.pieces = pieces
+    def __init__(self, path: str, pattern: str, pieces: int = PIECES, printed: bool = False):
+        """printed: words() gives the decimal ids as a string too, for digests."""
+        self.pieces, self.printed = pieces, printed
         self.bpe, self.split = PrefixBPE(load_ranks(path)), regex.compile(pattern).findall
         self.uneven = regex.compile(r"\s | \s|^ | $").search if pattern == public_tokenizers.PATTERN else (lambda _: True)
-        self.seen: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.seen: dict[str, tuple] = {}
         self.seen_piece: dict[str, tuple[int, ...]] = {}
 
     def piece(self, x: str) -> tuple[int, ...]:
@@ -207,17 +208,21 @@ class TextEncoder:
                 self.seen_piece[x] = found
         return found
 
-    def word(self, x: str) -> tuple[str, tuple[int, ...]]:
-        """(decimal ids joined by spaces, ids) of a word after a space, or of the pieces of any text if it has no space before it."""
-        ids = tuple(i for p in self.split(x) for i in self.piece(p))
-        found = (" ".join(map(str, ids)), ids)
+    def word(self, x: str) -> tuple:
+        """Ids of a word after a space, or of the pieces of any text if it has no space before it; printed: (ids as a string, ids)."""
+        parts = self.split(x)
+        if len(parts) == 1 and len(x) < 200:  # remembered below as a word, so not as a piece too
+            ids = self.seen_piece.get(parts[0]) or tuple(self.bpe.encode_piece(parts[0].encode()))
+        else:
+            ids = tuple([i for p in parts for i in self.piece(p)])
+        found = (" ".join(map(str, ids)), ids) if self.printed else ids
         if len(x) < 200:
             if len(self.seen) >= self.pieces:
                 self.seen.clear()
             self.seen[x] = found
         return found
 
-    def words(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
+    def words(self, text: str) -> list[tuple]:
         if not text:
             return []
         if self.uneven(text):
@@ -227,17 +232,18 @@ class TextEncoder:
         return [seen(first) or word(first), *[seen(x) or word(x) for x in [" " + x for x in rest]]]
 
     def encode(self, text: str) -> list[int]:
-        return [i for x in self.words(text) for i in x[1]]
+        return [i for x in self.words(text) for i in (x[1] if self.printed else x)]
 
 
-_ENCODERS: dict[tuple[str, str, int], TextEncoder] = {}
+_ENCODERS: dict[tuple[str, str, int, bool], TextEncoder] = {}
 
 
-def encoder(path: str, pattern: str, pieces: int = PIECES) -> TextEncoder:
+def encoder(path: str, pattern: str, pieces: int = PIECES, printed: bool = False) -> TextEncoder:
     """One for each worker process."""
-    if (path, pattern, pieces) not in _ENCODERS:
-        _ENCODERS[path, pattern, pieces] = TextEncoder(path, pattern, pieces)
-    return _ENCODERS[path, pattern, pieces]
+    key = (path, pattern, pieces, printed)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(*key)
+    return _ENCODERS[key]
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -278,7 +284,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str = public_toke
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids, without shipping the ids."""
 
     def run(batches):
-        own = encoder(path or public_tokenizers.path(VOCABULARY), pattern, pieces)
+        own = encoder(path or public_tokenizers.path(VOCABULARY), pattern, pieces, True)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in small(batches):
             counts, ids, texts = [], [], []
