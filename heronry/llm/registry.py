@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blob_ledger, column_bwt, countmin_spans, decision_list, ecoc_langid, es_mixing, exact_dedup, prefix_bpe, simhash_cover, zstd_quality
+from . import blob_ledger, column_bwt, countmin_spans, decision_list, ecoc_langid, es_mixing, exact_dedup, importance_resampling, prefix_bpe, simhash_cover, zstd_quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_es_mixing": es_mixing.op8_es_mixing,
     "op9_blob_ledger": blob_ledger.op9_blob_ledger,
     "op10_column_bwt": column_bwt.op10_column_bwt,
+    "op11_importance_resampling": importance_resampling.op11_importance_resampling,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op8_es_mixing": es_mixing.SQL,
     "op9_blob_ledger": blob_ledger.SQL,
+    "op11_importance_resampling": importance_resampling.SQL,
 }
