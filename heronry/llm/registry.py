@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blob_ledger, column_bwt, countmin_spans, decision_list, ecoc_langid, es_mixing, exact_dedup, importance_resampling, prefix_bpe, simhash_cover, zstd_quality
+from . import blob_ledger, column_bwt, countmin_spans, decision_list, delta_lloyd, ecoc_langid, es_mixing, exact_dedup, importance_resampling, oph_minhash, prefix_bpe, simhash_cover, zstd_quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_blob_ledger": blob_ledger.op9_blob_ledger,
     "op10_column_bwt": column_bwt.op10_column_bwt,
     "op11_importance_resampling": importance_resampling.op11_importance_resampling,
+    "op12_delta_lloyd": delta_lloyd.op12_delta_lloyd,
+    "op13_oph_minhash": oph_minhash.op13_oph_minhash,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op8_es_mixing": es_mixing.SQL,
     "op9_blob_ledger": blob_ledger.SQL,
     "op11_importance_resampling": importance_resampling.SQL,
+    "op12_delta_lloyd": delta_lloyd.SQL,
+    "op13_oph_minhash": oph_minhash.SQL,
 }
