@@ -13,12 +13,16 @@ def hits(expected: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
     A query that expects nothing counts as hit, with reciprocal rank 0.
     """
-    good = found.join(expected, ["query_id", "item_id"]).groupBy("query_id").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= k).alias("n_good"))
-    some = expected.select("query_id").distinct().withColumn("some", F.lit(True))
-    shown = found.where(F.col("rank") <= k).groupBy("query_id").agg(F.count("*").alias("n"))
-    j = shown.join(some, "query_id", "left").join(good, "query_id", "left")
+    marked = found.join(expected.withColumn("good", F.lit(True)), ["query_id", "item_id"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    return judged(marked, expected.select("query_id").distinct(), k)
+
+
+def judged(marked: DataFrame, expecting: DataFrame, k: int) -> DataFrame:
+    """As hits, of found rows (query_id, rank, good) and the queries (query_id) that expect something."""
+    per = marked.groupBy("query_id").agg(F.min(F.when(F.col("good"), F.col("rank"))).alias("first"), F.count_if(F.col("good") & (F.col("rank") <= k)).alias("n_good"), F.count_if(F.col("rank") <= k).alias("n"))
+    j = per.where("n > 0").join(expecting.withColumn("some", F.lit(True)), "query_id", "left")
     hit = F.when(F.col("some").isNull(), 1).otherwise(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0)))
-    return j.select("query_id", hit.alias("hit"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal"), (F.coalesce("n_good", F.lit(0)) / F.col("n")).alias("precision"))
+    return j.select("query_id", hit.alias("hit"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal"), (F.col("n_good") / F.col("n")).alias("precision"))
 
 
 def hit_rate(per_query: DataFrame) -> DataFrame:

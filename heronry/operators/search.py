@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from .. import policy as P
 from ..functions import vectors as V
 from ..sources.shared import cut
+from . import postings
 
 #: Queries, about, that meet the corpus at a time; larger sets are cut into blocks by a hash of query_id.
 BLOCK = 10_000
-#: Characters of the gram by which a term meets the words that may hold it.
-GRAM = 3
 
 
 def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -37,53 +36,21 @@ def ranked(hits: DataFrame, source: str, limit: int = P.SEARCH_LIMIT, *ties: Col
     return best.select("query_id", F.lit(source).alias("source"), "item_id", "raw", "rank")
 
 
-def _grams(c: Column) -> Column:
-    # An empty match before every place where a gram begins: one pass over the text.
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+def lexical_scores(queries: DataFrame, known: postings.Index, limit: int) -> DataFrame:
+    """query_id, item_id, raw: the share of a query's distinct terms that stand anywhere in a text, for one block of queries; the best of each part of the index, `limit` at most."""
+    return postings.search(known, queries, limit).select("query_id", "item_id", F.round(F.col("n") / F.col("n_terms"), 6).alias("raw"))
 
 
-def vocabulary(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What lexical_scores reads of corpus (item_id, content), for all blocks: lower-case texts, the words of each item, and the grams of each different word."""
-    low = corpus.select("item_id", F.lower("content").alias("low"))
-    words = cut(low.select("item_id", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("word")))
-    return low, words, cut(words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram")))
-
-
-def lexical_scores(queries: DataFrame, known: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """query_id, item_id, raw: the share of a query's distinct terms that stand anywhere in the texts of vocabulary known, for one block of queries.
-
-    A term without white space stands within one word of a text, so terms meet the different words of the corpus, by one
-    gram of the term (its rarest in those words), and only words that hold a term meet items. Other terms, and those
-    shorter than a gram, are searched in every text.
-    """
-    low, words, grams = known
-    terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    sizes = queries.select("query_id", F.size(F.array_distinct("terms")).alias("n_terms"))
-    every = cut(terms.select("term").distinct())
-    solid = (F.length("term") >= GRAM) & ~F.col("term").rlike(r"\s")
-    # A gram that no word has leaves its term without a hit.
-    own = every.where(solid).select("term", F.explode(_grams(F.col("term"))).alias("gram")).join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
-    rarest = own.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("term", "g.gram")
-    holds = grams.join(rarest, "gram").where(F.contains("word", F.col("term"))).select("word", "term")
-    found = words.join(holds, "word").select("item_id", "term")
-    rest = every.where(~solid)
-    if not rest.isEmpty():
-        found = found.unionByName(low.crossJoin(rest).where(F.contains("low", F.col("term"))).select("item_id", "term"))
-    # Terms of a block are few enough to go to the items, which are dealt out once.
-    counted = found.repartition("item_id").distinct().join(F.broadcast(terms), "term").groupBy("query_id", "item_id").agg(F.count("*").alias("n"))
-    return counted.join(F.broadcast(sizes), "query_id").select("query_id", "item_id", F.round(F.col("n") / F.col("n_terms"), 6).alias("raw"))
-
-
-def lexical(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
-    known = vocabulary(corpus)
-    return in_blocks(queries, lambda q: ranked(lexical_scores(q, known), "lexical", limit))
+def lexical(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT, group: str | None = None) -> DataFrame:
+    """queries: query_id, terms; with group, a column of corpus, also wanted; and rejected, ids that a query leaves out."""
+    known = postings.build(corpus, group)
+    return in_blocks(queries, lambda q: ranked(lexical_scores(q, known, limit), "lexical", limit))
 
 
 def memory(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
     """Lexical search over remembered kinds of items, 0.15 higher."""
-    own = corpus.where(F.col("item_type").isin("memory", "workflow", "rule", "bugfix"))
-    known = vocabulary(own)
-    return in_blocks(queries, lambda q: ranked(lexical_scores(q, known).withColumn("raw", F.col("raw") + 0.15), "memory", limit))
+    known = postings.build(corpus.where(F.col("item_type").isin("memory", "workflow", "rule", "bugfix")))
+    return in_blocks(queries, lambda q: ranked(lexical_scores(q, known, limit).withColumn("raw", F.col("raw") + 0.15), "memory", limit))
 
 
 def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -168,9 +135,9 @@ def by_trigger(queries: DataFrame, atoms: DataFrame, limit: int = P.SEARCH_LIMIT
 
 def _holding(words: DataFrame, terms: DataFrame) -> DataFrame:
     """word, term: which different words (column k) hold which different terms (column k). They meet by one gram of the term; terms shorter than a gram by all runs of one or two characters."""
-    size = F.least(F.length("k"), F.lit(GRAM))
+    size = F.least(F.length("k"), F.lit(postings.GRAM))
     runs = lambda n: F.array_distinct(F.regexp_extract_all("k", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-    grams = words.select(F.col("k").alias("word"), F.explode(F.concat(*[runs(n) for n in range(1, GRAM + 1)])).alias("gram"))
+    grams = words.select(F.col("k").alias("word"), F.explode(F.concat(*[runs(n) for n in range(1, postings.GRAM + 1)])).alias("gram"))
     own = terms.where("k <> ''").select(F.col("k").alias("term"), F.substr("k", F.lit(1), size).alias("gram"))
     return grams.join(own, "gram").where(F.contains("word", F.col("term"))).select("word", "term").distinct()
 

@@ -10,11 +10,22 @@ from .ranking_queries import BOTH, FUSED, both, plain
 from .registry import query
 
 
-def good(spark, d):
-    """An item is expected for a query of its own language and quality label 1."""
-    docs = read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels").where("quality = 1"), "doc_id").select(F.col("doc_id").alias("item_id"), "lang")
+def marked(spark, d, found):
+    """found (query_id, item_id, ...) with good: an item is expected for a query of its own language and quality label 1."""
+    docs = read(spark, d, "documents").select("doc_id", "lang")
+    labels = read(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
+    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("wanted"))
+    own = docs.join(labels, "doc_id", "left_semi").select(F.col("doc_id").alias("item_id"), "lang")
+    rows = found.join(q, "query_id").join(own, "item_id", "left")
+    return rows.withColumn("good", F.coalesce((F.col("wanted") == F.col("lang")) & (F.col("query_id") != F.col("item_id")), F.lit(False))).drop("wanted", "lang")
+
+
+def expecting(spark, d):
+    """Queries that expect something: their language has an item of quality 1 other than the query itself."""
+    docs = read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    two = docs.groupBy("lang").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     q = read(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "lang")
-    return q.join(docs, "lang").where("query_id <> item_id").select("query_id", "item_id")
+    return q.join(F.broadcast(two), "lang").where("query_id <> lo OR query_id <> hi").select("query_id").distinct()
 
 
 _GOOD = "good AS (SELECT q.doc_id AS query_id, d.doc_id AS item_id FROM documents q JOIN documents d ON q.lang = d.lang JOIN labels l ON l.doc_id = d.doc_id WHERE q.doc_id % 100 = 0 AND quality = 1 AND q.doc_id <> d.doc_id)"
@@ -26,7 +37,7 @@ s AS (SELECT query_id, count(*) AS n FROM fused WHERE rank <= 5 GROUP BY 1),
 p AS (SELECT s.query_id, CASE WHEN s.query_id NOT IN (SELECT query_id FROM good) THEN 1 ELSE coalesce((first <= 5)::INT, 0) END AS hit, coalesce(1 / first, 0)::DOUBLE AS reciprocal, coalesce(n_good, 0) / n AS precision FROM s LEFT JOIN g ON g.query_id = s.query_id)
 SELECT count(*) AS n, floor(avg(hit) * 10000 + 0.5) / 10000 AS hit_rate, floor(avg(reciprocal) * 10000 + 0.5) / 10000 AS mrr, floor(avg(precision) * 10000 + 0.5) / 10000 AS precision FROM p""")
 def hit_mrr(spark, d):
-    return E.hit_rate(E.hits(good(spark, d), plain(spark, d), 5))
+    return E.hit_rate(E.judged(marked(spark, d, plain(spark, d)), expecting(spark, d), 5))
 
 
 _CONF = "count(*) FILTER (a AND p) AS tp, count(*) FILTER (NOT a AND p) AS fp, count(*) FILTER (a AND NOT p) AS fn, count(*) FILTER (NOT a AND NOT p) AS tn"
@@ -52,9 +63,9 @@ s AS (SELECT k, query_id, item_id, sum(w / (k + rank)) AS s, max(good) AS good F
 t AS (SELECT *, row_number() OVER (PARTITION BY k, query_id ORDER BY round(s, 9) DESC, item_id) AS place FROM s QUALIFY place <= 5), n AS (SELECT k, sum(good)::BIGINT AS n_hits FROM t GROUP BY 1)
 SELECT k, n_hits, row_number() OVER (ORDER BY n_hits DESC, k <> 60, k) = 1 AS best FROM n""")
 def calibrate_k(spark, d):
-    rows = both(spark, d).join(good(spark, d).withColumn("good", F.lit(1)), ["query_id", "item_id"], "left")
+    rows = marked(spark, d, both(spark, d))
     weight = F.when(F.col("source") == "lexical", 1.0).otherwise(0.92)
-    return E.calibrate_k(rows.select("query_id", "item_id", "rank", weight.alias("weight"), F.coalesce("good", F.lit(0)).alias("good")), (10, 30, 60, 90))
+    return E.calibrate_k(rows.select("query_id", "item_id", "rank", weight.alias("weight"), F.col("good").cast("int").alias("good")), (10, 30, 60, 90))
 
 
 @query("""WITH b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./:-]{4,}'))) AS fact FROM benchmark),

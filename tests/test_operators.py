@@ -139,7 +139,7 @@ def test_searches_send_blocks(spark, sf_dir, monkeypatch):
 
     sent = []
     for name in ("lexical_scores", "vector_scores"):
-        monkeypatch.setattr(search, name, lambda q, c, f=getattr(search, name): sent.append(q.count()) or f(q, c))
+        monkeypatch.setattr(search, name, lambda q, *c, f=getattr(search, name): sent.append(q.count()) or f(q, *c))
     monkeypatch.setattr(search, "BLOCK", 1)
     for name in ("lexical_topk", "vector_topk", "item_best_chunk", "semantic_neighbors", "write_gate"):
         sent.clear()
@@ -151,7 +151,7 @@ def test_terms_meet_words(spark):
     texts = {1: "An Alpha/beta.c x\u00a0y caf\u00e9s \U0001f600\U0001f601go", 2: "alphabet b", 3: "", 4: None, 5: "two  words and (alpha) ab"}
     asked = {1: ["alpha", "ha/be", "ab", "zzz"], 2: ["d (a", "\U0001f600\U0001f601", "f\u00e9s", "\U0001f601go"], 3: ["b", "none here"]}
     q = spark.createDataFrame(list(asked.items()), "query_id int, terms array<string>")
-    known = search.vocabulary(spark.createDataFrame(list(texts.items()), "item_id int, content string"))
-    got = {(r.query_id, r.item_id): r.raw for r in search.lexical_scores(q, known).collect()}
+    known = search.postings.build(spark.createDataFrame(list(texts.items()), "item_id int, content string"))
+    got = {(r.query_id, r.item_id): r.raw for r in search.lexical_scores(q, known, 18).collect()}
     count = {(k, i): sum(t in (x or "").lower() for t in ts) / len(ts) for k, ts in asked.items() for i, x in texts.items()}
     assert got == {k: round(v, 6) for k, v in count.items() if v}
