@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import policy as P
 from ..functions import text as T
 from ..operators import search as S
+from ..operators import vector_index
 from .bridge import atoms, edges, items, prompts, read, with_
 from .registry import query
 
@@ -66,6 +67,19 @@ def vector_topk(spark, d):
     return S.vector(vector_queries(spark, d), vectors(spark, d))
 
 
+@query()
+def vector_index_topk(spark, d):
+    """As vector_topk, by the index of cells; tests hold its recall against all cosines."""
+    return vector_index.search(vector_queries(spark, d), vectors(spark, d))
+
+
+@query()
+def atom_vector_index(spark, d):
+    """The nearest facts of every probe, of those that are in use, by the index of cells."""
+    in_use = atoms(spark, d).where("status = 'active'").select(F.col("atom_id").alias("item_id"))
+    return vector_index.search(vector_queries(spark, d), vectors(spark, d).join(in_use, "item_id", "left_semi"))
+
+
 @query(with_("items") + ",\n" + LEXICAL + """, m AS (SELECT query_id, item_id, raw + 0.15 AS raw FROM ls WHERE item_type IN ('memory', 'workflow', 'rule', 'bugfix'))
 SELECT query_id, 'memory' AS source, item_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rank FROM m QUALIFY rank <= 18""")
 def memory_search(spark, d):
