@@ -6,12 +6,14 @@ empty in a sequence of bins drawn by a hash of its own number (optimal densifica
 probability equal to their similarity. ROWS bins in a row make a band; documents with equal bands meet in a bucket.
 
 Equal sets are one class first. A bucket proposes a star: one edge from its least class to every other, so candidates
-grow with bucket memberships, not with pairs, and of its stars a class tries the one it shares most bands with. Candidates
-are confirmed on full sets, and confirmed ones merge classes. A star alone may miss: two members may link with each other
-but not with the centre. So every bucket that still holds several components is compared member by member, in blocks, over
-sketches of one byte a bin; what may reach the similarity (six standard deviations are allowed for) and is not connected
-yet is confirmed on full sets too. A pair of the least similarity meets in a bucket with probability
-1 - (1 - 0.8**4)**32, that is all but 5 in 10**8.
+grow with bucket memberships, not with pairs. Of its stars a class tries the one it shares most bands with, then, while
+it has no link, the next ones. Candidates are confirmed on full sets, and confirmed ones merge classes. A star alone may
+miss: two members may link with each other but not with the centre. So every bucket that still holds several components
+is compared member by member, in blocks, over sketches of one byte a bin. Who may reach the similarity with a class of
+another component (six standard deviations are allowed for) asks the block that this class is kept in; a block holds some
+GROUP classes of one group, and what asks it is compared with all of them, on full sets, until it has a link with each
+of their components. So full sets travel once for each block they ask, not once for each pair. A pair of the least
+similarity meets in a bucket with probability 1 - (1 - 0.8**4)**32, that is all but 5 in 10**8.
 
 Shingles are compared by 64-bit hashes and equal sets found by a 128-bit digest of their hashes. Sets are not stored:
 those of candidates are made again from their texts.
@@ -29,7 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mix, small, spare, table
@@ -40,10 +42,10 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Members of a bucket that are compared at a time.
 BLOCK = 1024
-#: Texts of candidates are found by a broadcast of their ids up to so many ids, by a shuffled join beyond.
+#: Ids of candidates are broadcast to their texts and sets up to so many of them, and meet them by a shuffled join beyond.
 FEW = 1 << 19
-#: Parts into which the partners of a node are dealt when sets are sent to pairs.
-PARTS = 1024
+#: Classes of a block that is asked, how many may ask one part of it, and the stars that a class without a link tries after its best.
+GROUP, ASKING, TRIES = 256, 4096, 3
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)).astype(np.uint64)
@@ -139,51 +141,93 @@ def _keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """cid, hashes (bytes of the sorted set) of the classes in ids, made from the text of each class's first row; cut."""
-    asked = cut(classes.join(ids, "cid", "left_semi").select("cid", "digest", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th")))
-    side = F.broadcast(asked) if asked.count() <= FEW else asked
-    rows = _keyed_texts(docs).join(side, (F.col("th") == F.col("first_th")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cid", "digest", "text")
+def _few(df: DataFrame) -> DataFrame:
+    """df, cut, to be broadcast if it has FEW rows at most."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _sets(docs: DataFrame, classes: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
+    """cid, root, sketch, hashes (bytes of the sorted set) of the classes in known (cid, root, sketch), made from the text of each class's first row; a task gives a class once."""
+    asked = _few(classes.drop("sketch").join(known, "cid").select("cid", "root", "sketch", "digest", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th")))
+    rows = _keyed_texts(docs).join(asked, (F.col("th") == F.col("first_th")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cid", "root", "sketch", "digest", "text")
 
     def run(batches):
-        words = _Words()
+        words, seen = _Words(), set()
         for batch in small(batches):
-            sets = [shingle_set(t, words, shingle).tobytes() for t in batch.column(2).to_pylist()]
-            own = [k for k, (s, d) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s) == d]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([sets[k] for k in own], pa.binary())], names=["cid", "hashes"])
+            own, sets = [], []
+            for k, (cid, digest, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True)):
+                found = b"" if cid in seen else shingle_set(text, words, shingle).tobytes()
+                if found and xxhash.xxh3_128_digest(found) == digest:
+                    seen.add(cid)
+                    own.append(k)
+                    sets.append(found)
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(sets, pa.binary())], names=["cid", "root", "sketch", "hashes"])
 
-    return cut(rows.mapInArrow(run, "cid long, hashes binary").dropDuplicates(["cid"]))
+    return rows.mapInArrow(run, "cid long, root long, sketch binary, hashes binary")
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose full sets reach the similarity; cut. A hub's partners are dealt over PARTS."""
-    if pairs.isEmpty():
-        return pairs
-    sets = _sets(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct(), shingle)
+def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two sorted runs
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
 
-    def with_set(rows: DataFrame, end: str, other: str, name: str) -> DataFrame:
-        dealt = rows.withColumn("part", F.pmod(F.xxhash64(other), F.lit(PARTS)))
-        told = dealt.select(end, "part").distinct().join(sets, F.col(end) == F.col("cid")).select(end, "part", F.col("hashes").alias(name))
-        return dealt.join(told, [end, "part"]).drop("part")
+
+def _answers(percent: int):
+    """Reads rows (block, part, asks, cid, root, sketch, hashes) sorted by block, part and asks: a block's classes, then who asks it. Gives one link for each root that the asking class reaches."""
+    least = least_agreement(percent)
 
     def run(batches):
+        at, held, matrix, roots, sizes = None, [], None, None, None
         for batch in small(batches):
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
-                both.sort(kind="stable")  # two sorted runs
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["u", "v"])
+            links = []
+            for block, part, asks, cid, root, sketch, hashes in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (block, part) != at:
+                    at, held, matrix = (block, part), [], None
+                own = np.frombuffer(hashes, np.uint64)
+                if not asks:
+                    held.append((cid, root, np.frombuffer(sketch, np.uint8), own))
+                    continue
+                if not held:
+                    continue
+                if matrix is None:
+                    matrix, roots, sizes = np.stack([h[2] for h in held]), np.array([h[1] for h in held]), np.array([len(h[3]) for h in held])
+                n = len(own)
+                agree = (matrix == np.frombuffer(sketch, np.uint8)).sum(1)
+                near = np.flatnonzero((roots != root) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (agree >= least))
+                met = set()
+                for k in near[np.argsort(-agree[near], kind="stable")].tolist():
+                    if roots[k] not in met and _reaches(held[k][3], own, percent):
+                        met.add(roots[k])
+                        links.append((held[k][0], cid))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return run
 
-    full = with_set(with_set(pairs, "u", "v", "a"), "v", "u", "b")
-    return cut(full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+
+def _confirmed(docs: DataFrame, classes: DataFrame, known: DataFrame, asks: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """u, v: links, on full sets, between classes that ask (asks: block, cid) and classes of the blocks (block, cid), at least one for each root that a class of the block reaches; cut.
+
+    known: cid, root, sketch. A block that more than ASKING classes ask is copied, so each of its parts answers some of them.
+    """
+    asks = cut(asks)
+    if asks.isEmpty():
+        return asks.select(F.col("cid").alias("u"), F.col("cid").alias("v"))
+    parts = asks.groupBy("block").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
+    held = blocks.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "cid")
+    asking = asks.join(parts, "block").select("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "cid")
+    rows = cut(held.union(asking))
+    sets = _sets(docs, classes, known.select("cid", "root", "sketch").join(rows.select("cid").distinct(), "cid"), shingle)
+    sent = sets.join(_few(rows), "cid").select("block", "part", "asks", "cid", "root", "sketch", "hashes")
+    return cut(sent.repartition("block", "part").sortWithinPartitions("block", "part", "asks").mapInArrow(_answers(percent), "u long, v long"))
 
 
 def agreeing(a: tuple, b: tuple | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs of ids across a and b (within a if b is None) of different roots whose sizes and sketches may reach the similarity.
+    """(id, block) across a and b (within a if b is None): a class and the block of another, of a different root, whose size and sketch may reach the similarity.
 
-    a and b: (ids, roots, sizes, sketches). Members of a root are compared with those of other roots only, the fewer with the more.
+    a and b: (ids, roots, sizes, blocks, sketches). Members of a root are compared with those of other roots only, the fewer with the more.
     """
     least, out = least_agreement(percent), []
     x, y = a, a if b is None else b
@@ -192,36 +236,36 @@ def agreeing(a: tuple, b: tuple | None, percent: int) -> list[tuple[int, int]]:
         if not len(others):
             continue
         (few, one), (more, many) = ((own, x), (others, y)) if len(own) <= len(others) else ((others, y), (own, x))
-        ids, sizes, sketches = many[0][more], many[2][more], many[3][more]
+        sizes, blocks, sketches = many[2][more], many[3][more], many[4][more]
         for i in few:
             n = one[2][i]
             near = np.flatnonzero(100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-            near = near[(sketches[near] == one[3][i]).sum(1) >= least]
-            out += [(int(one[0][i]), int(j)) for j in ids[near]]
-    return [(min(p), max(p)) for p in out]
+            near = near[(sketches[near] == one[4][i]).sum(1) >= least]
+            out += [(int(one[0][i]), int(j)) for j in np.unique(blocks[near])]
+    return out
 
 
-_PACK = "u long, v long, key long, block string, minor boolean, root long, data binary"
+_PACK = "cid long, asked long, key long, block string, minor boolean, root long, data binary"
 
 
-def _pack(ids, roots, sizes, sketches) -> bytes:
-    return b"".join([np.int64(len(ids)).tobytes(), ids.tobytes(), roots.tobytes(), sizes.tobytes(), sketches.tobytes()])
+def _pack(ids, roots, sizes, blocks, sketches) -> bytes:
+    return b"".join([np.int64(len(ids)).tobytes(), ids.tobytes(), roots.tobytes(), sizes.tobytes(), blocks.tobytes(), sketches.tobytes()])
 
 
 def _unpack(data: bytes) -> tuple:
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    longs = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
-    return longs[0], longs[1], longs[2], np.frombuffer(data, np.uint8, BINS * n, 8 + 24 * n).reshape(n, BINS)
+    longs = np.frombuffer(data, np.int64, 4 * n, 8).reshape(4, n)
+    return *longs, np.frombuffer(data, np.uint8, BINS * n, 8 + 32 * n).reshape(n, BINS)
 
 
 def _within_buckets(percent: int):
-    """Reads rows (key, whole, minor, part, cid, root, n, sketch) sorted by key, minor and part. Gives pairs of a whole bucket, or packed blocks of one that is dealt."""
+    """Reads rows (key, whole, minor, part, cid, root, n, block, sketch) sorted by key, minor and part. Gives who asks which block in a whole bucket, or packed blocks of one that is dealt."""
 
     def batch_of(pairs, blocks):
         k, m = len(pairs), len(blocks)
         return pa.RecordBatch.from_arrays(
             [pa.array([p[0] for p in pairs] + [None] * m, pa.int64()), pa.array([p[1] for p in pairs] + [None] * m, pa.int64()), *(pa.array([None] * k + [b[i] for b in blocks], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.binary())))],
-            names=["u", "v", "key", "block", "minor", "root", "data"],
+            names=["cid", "asked", "key", "block", "minor", "root", "data"],
         )
 
     def run(batches):
@@ -231,7 +275,7 @@ def _within_buckets(percent: int):
             if not held:
                 return
             key, whole, minor, part = at
-            own = tuple(np.concatenate([h[i] for h in held]) for i in range(4))
+            own = tuple(np.concatenate([h[i] for h in held]) for i in range(5))
             if whole:
                 pairs = agreeing(own, None, percent)
                 if pairs:
@@ -243,8 +287,8 @@ def _within_buckets(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, whole, minor, part, cid, root, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
+            key, whole, minor, part, cid, root, n, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, BINS)
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (minor[1:] != minor[:-1]) | (part[1:] != part[:-1])])
             for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
                 own = (int(key[s]), bool(whole[s]), bool(minor[s]), int(part[s]))
@@ -258,7 +302,7 @@ def _within_buckets(percent: int):
                     if not own[1] and sum(len(h[0]) for h in held) + hi - lo > BLOCK:
                         yield from finish()
                         held, sent = [], sent + 1
-                    held.append((cid[lo:hi].copy(), root[lo:hi].copy(), n[lo:hi].copy(), sketch[lo:hi].copy()))
+                    held.append(tuple(x[lo:hi].copy() for x in (cid, root, n, place, sketch)))
         yield from finish()
 
     return run
@@ -269,16 +313,16 @@ def _between_blocks(percent: int):
         for batch in batches:
             for a, b, same in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found = agreeing(_unpack(a), None if same else _unpack(b), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["cid", "asked"])
 
     return run
 
 
 def unconnected(members: DataFrame, rooted: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) that share a bucket (members: key, cid) but no root (rooted: cid, root, n, sketch) and may reach the similarity; cut.
+    """cid, block, distinct: who shares a bucket (members: key, cid) but no root (rooted: cid, root, n, sketch, block) with a class of the block and may reach the similarity with it.
 
-    A bucket of up to `block` members is compared where it is read. A larger one is dealt into blocks, its most frequent root
-    apart from the rest, and only blocks that hold different roots are compared with each other.
+    A bucket of up to `block` members is compared where it is read. A larger one is dealt into packs, its most frequent root
+    apart from the rest, and only packs that hold different roots are compared with each other.
     """
     own = cut(members.join(rooted.select("cid", "root"), "cid"))
     counts = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
@@ -286,18 +330,18 @@ def unconnected(members: DataFrame, rooted: DataFrame, percent: int, block: int
     minor = F.col("root") != F.col("major")
     parts = F.ceil(F.when(minor, F.col("size") - F.col("n_major")).otherwise(F.col("n_major")) / block)
     dealt = mixed.select("key", "cid", (F.col("size") <= block).alias("whole"), minor.alias("minor"), F.when(F.col("size") <= block, 0).otherwise(F.pmod(F.xxhash64("cid"), parts)).alias("part"))
-    rows = dealt.join(rooted, "cid").select("key", "whole", "minor", "part", "cid", "root", "n", "sketch", F.when(F.col("whole"), False).otherwise(F.col("minor")).alias("half"))
+    rows = dealt.join(rooted, "cid").select("key", "whole", "minor", "part", "cid", "root", "n", "block", "sketch", F.when(F.col("whole"), False).otherwise(F.col("minor")).alias("half"))
     found = cut(rows.repartition("key", "half", "part").sortWithinPartitions("key", "half", "part").drop("half").mapInArrow(_within_buckets(percent), _PACK))
-    pairs, blocks = found.where("u IS NOT NULL").select("u", "v"), found.where("u IS NULL").drop("u", "v")
-    if not blocks.isEmpty():
-        names = blocks.select("key", "block", "minor", "root")
+    asks, packs = found.where("cid IS NOT NULL").select("cid", "asked"), found.where("cid IS NULL").drop("cid", "asked")
+    if not packs.isEmpty():
+        names = packs.select("key", "block", "minor", "root")
         left, right = names.select("key", F.col("block").alias("x"), F.col("root").alias("rx")), names.select("key", F.col("block").alias("y"), F.col("root").alias("ry"), "minor")
-        # A block of the frequent root meets blocks of the rest; blocks of the rest meet each other and themselves.
+        # A pack of the frequent root meets packs of the rest; packs of the rest meet each other and themselves.
         met = right.where("minor").join(left, "key").where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("rx") == F.col("ry"), F.lit(False)))
-        side = lambda name, to: blocks.select("key", F.col("block").alias(name), F.col("data").alias(to))
+        side = lambda name, to: packs.select("key", F.col("block").alias(name), F.col("data").alias(to))
         both = met.select("key", "x", "y").join(side("x", "a"), ["key", "x"]).join(side("y", "b"), ["key", "y"]).select("a", "b", (F.col("x") == F.col("y")).alias("same"))
-        pairs = pairs.union(both.mapInArrow(_between_blocks(percent), "u long, v long"))
-    return cut(pairs.distinct())
+        asks = asks.union(both.mapInArrow(_between_blocks(percent), "cid long, asked long"))
+    return asks.select("cid", F.col("asked").alias("block")).distinct()
 
 
 def _linked(docs: DataFrame, shingle: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -308,14 +352,27 @@ def _linked(docs: DataFrame, shingle: int, percent: int, block: int) -> tuple[Da
     )
     keyed = classes.where("bands IS NOT NULL").select("cid", "n", F.explode("bands").alias("key"))
     centres = keyed.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("centre"), F.count("*").alias("m")).where("m > 1")
-    members = cut(keyed.join(centres, "key").select("key", "cid", "n", F.col("centre.cid").alias("centre"), F.col("centre.n").alias("n_centre")))
+    members = cut(keyed.join(centres, "key").select("key", "cid", "n", "m", F.col("centre.cid").alias("centre"), F.col("centre.n").alias("n_centre")))
     star = members.where((F.col("cid") != F.col("centre")) & (100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre"))).groupBy("cid", "centre").agg(F.count("*").alias("shared"))
-    tried = star.groupBy("cid").agg(F.max(F.struct("shared", (-F.col("centre")).alias("back"))).alias("best")).select((-F.col("best.back")).alias("u"), F.col("cid").alias("v"))
-    edges = _confirmed(docs, classes, cut(tried), shingle, percent)
+    by_share = Window.partitionBy("cid").orderBy(F.desc("shared"), "centre")
+    star = cut(star.withColumn("place", F.row_number().over(by_share)).where(F.col("place") <= 1 + TRIES))  # what is left out here meets again in the buckets
+    alone = classes.where("bands IS NOT NULL").select("cid", F.col("cid").alias("root"), "sketch")
+
+    def tried(rays: DataFrame) -> DataFrame:
+        return _confirmed(docs, classes, alone, rays.select(F.col("centre").alias("block"), "cid"), rays.select(F.col("centre").alias("block"), F.col("centre").alias("cid")).distinct(), shingle, percent)
+
+    first = tried(star.where("place = 1"))
+    linked = first.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
+    edges = first.union(tried(star.where("place > 1").join(linked, "cid", "left_anti")))
     at_first = components(edges)
-    rooted = cut(classes.where("bands IS NOT NULL").join(at_first, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "n", "sketch"))
-    more = _confirmed(docs, classes, unconnected(members.select("key", "cid"), rooted, percent, block), shingle, percent)
-    found = at_first if more.isEmpty() else components(edges.select("u", "v").union(more))
+    group = members.groupBy("cid").agg(F.max(F.struct("m", (-F.col("centre")).alias("back"))).alias("g")).select("cid", F.col("g.back").alias("g"))
+    sizes = group.groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("n_blocks"))
+    kept_in = group.join(sizes, "g").select("cid", F.xxhash64("g", F.pmod(F.xxhash64("cid"), F.col("n_blocks"))).alias("block"))
+    rooted = cut(classes.where("bands IS NOT NULL").join(kept_in, "cid").join(at_first, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "n", "sketch", "block"))
+    asks = cut(unconnected(members.select("key", "cid"), rooted, percent, block))
+    held = rooted.select("block", "cid").join(asks.select("block").distinct(), "block", "left_semi")
+    more = _confirmed(docs, classes, rooted, asks, held, shingle, percent)
+    found = at_first if more.isEmpty() else components(edges.union(more))
     return prints, classes.join(found, F.col("cid") == F.col("node"), "left").select("cid", "digest", "least", F.coalesce("root", "cid").alias("root"))
 
 

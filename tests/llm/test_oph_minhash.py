@@ -81,7 +81,9 @@ def planted(seed):
     return list(enumerate(texts))
 
 
-def test_no_link_is_lost(spark):
+def test_no_link_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUP", 5)
+    monkeypatch.setattr(M, "ASKING", 3)
     for seed in (1, 2):
         docs = planted(seed)
         df = spark.createDataFrame(docs, "doc_id bigint, text string")
@@ -96,11 +98,15 @@ def test_blocks_find_all_that_one_comparison_finds(spark):
     sketches = rng.integers(0, 256, (3, M.BINS), np.uint8)[rng.integers(0, 3, n)]
     sketches[rng.random((n, M.BINS)) < 0.1] = 7
     roots, sizes = np.where(rng.random(n) < 0.6, 0, rng.integers(0, n, n)), rng.integers(90, 110, n)
-    want = {tuple(sorted((int(i), int(j)))) for i, j in combinations(range(n), 2) if roots[i] != roots[j] and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j]) and (sketches[i] == sketches[j]).sum() >= M.least_agreement(80)}
+    blocks = rng.integers(0, 9, n)
+    near = lambda i, j: roots[i] != roots[j] and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j]) and (sketches[i] == sketches[j]).sum() >= M.least_agreement(80)
     members = spark.createDataFrame([(k % 2, i) for k in range(2) for i in range(n)], "key bigint, cid bigint")
-    rooted = spark.createDataFrame([(i, int(roots[i]), int(sizes[i]), sketches[i].tobytes()) for i in range(n)], "cid bigint, root bigint, n bigint, sketch binary")
+    rooted = spark.createDataFrame([(i, int(roots[i]), int(sizes[i]), sketches[i].tobytes(), int(blocks[i])) for i in range(n)], "cid bigint, root bigint, n bigint, sketch binary, block bigint")
+    pairs = [(i, j) for i, j in combinations(range(n), 2) if near(i, j)]
     for block in (1000, 16, 3):
-        assert {(r.u, r.v) for r in M.unconnected(members, rooted, 80, block).collect()} == want, block
+        asks = {(r.cid, r.block) for r in M.unconnected(members, rooted, 80, block).collect()}
+        assert all((i, blocks[j]) in asks or (j, blocks[i]) in asks for i, j in pairs), block
+        assert all(any(near(i, j) for j in range(n) if blocks[j] == b) for i, b in asks), block
 
 
 def test_odd_rows(spark, odd, none):
