@@ -33,12 +33,32 @@ def files(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"({P.FILE_PATTERN})"), F.lit(1)))
 
 
+def without_files(c: Column) -> Column:
+    return F.regexp_replace(c, P.FILE_PATTERN, " ")
+
+
+def document_name(v: Column) -> Column:
+    return v.rlike(P.DOCUMENT_NAME) & F.contains(v, F.lit("_")) & ~v.rlike(r"\d")
+
+
 def symbols(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"({P.SYMBOL_PATTERN})"), F.lit(1)))
+    """Distinct names of code of a text without its files: in backticks, by suffix, in Pascal case, and called, less words that are none."""
+    own = without_files(c)
+    every = lambda pattern: F.regexp_extract_all(own, F.lit(pattern), F.lit(1))
+    spans = F.filter(every(P.CODE_SPAN), lambda v: v.rlike(P.NAME_SHAPE) & (v.rlike(P.NAME_STRUCTURE) | v.rlike(P.NAME_HUMP)))
+    pascal = F.filter(every(P.PASCAL_PATTERN), lambda v: ~document_name(v) & (v.rlike("[0-9_]") | (v.rlike("[a-z]") & F.substring(v, 2, 1 << 20).rlike("[A-Z]"))))
+    found = F.array_distinct(F.concat(spans, every(f"({P.SYMBOL_PATTERN})"), pascal, every(P.CALL_PATTERN)))
+    sentence = F.regexp_extract(own, P.FIRST_SENTENCE, 0)
+    sentence = F.when(sentence == "", own).otherwise(sentence)
+    elsewhere = lambda v: v.isin(*P.VERBS_OF_PROMPTS) & ~F.regexp_like(sentence, F.concat(F.lit(r"\b"), v, F.lit(r"\b")))
+    return F.filter(found, lambda v: ~v.isin(*P.NO_SYMBOLS, *P.NO_SYMBOLS_OF_TASKS) | elsewhere(v))
 
 
 def errors(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"({P.ERROR_PATTERN})"), F.lit(1)))
+    """Distinct names, codes and numbers of errors of a text without its files."""
+    own = without_files(c)
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all(own, F.lit(p), F.lit(1)) for p in P.ERROR_PATTERNS]))
+    return F.filter(found, lambda v: ~document_name(v))
 
 
 def terms_in(c: Column, terms: tuple[str, ...]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import policy as P
 from ..operators import ingest, signals
 from .bridge import AS_OF, CTE, ITEM_TYPES, pick, prompts, sql_list
-from .text_queries import _TASK_SQL
+from .text_queries import _TASK_SQL, errors_sql, symbols_sql
 
 TYPES = ("files", "symbols", "errors", "technologies", "areas")
 
@@ -58,7 +58,7 @@ KB = (
 kb AS (SELECT query_id AS item_id, 'p' || p_size % 5 AS project, {sql_list(ITEM_TYPES)}[(query_id % 8) + 1] AS item_type, p_name AS title, p_type AS summary, prompt AS content, CASE WHEN query_id % 17 = 0 THEN 'archived' ELSE 'approved' END AS status,
  (30 + query_id * 7 % 70)::INT AS trust, (DATE '{AS_OF}' - (query_id * 13 % 900)::INT)::DATE AS fresh_on, CASE WHEN query_id % 41 = 0 THEN 'legacy_archived' WHEN query_id % 43 = 0 THEN 'legacy_replaced' END AS legacy,
  CASE WHEN query_id % 23 = 0 THEN 'suspicious' WHEN query_id % 29 <> 0 THEN 'safe' END AS safety FROM prompts),
-k1 AS (SELECT *, {_TASK_SQL.replace("prompt", "content")} AS task, {_found(P.FILE_PATTERN)} AS files, {_found(P.SYMBOL_PATTERN)} AS symbols, {_found(P.ERROR_PATTERN)} AS errors, {_TECH} AS technologies, {_AREAS} AS areas FROM kb),
+k1 AS (SELECT *, {_TASK_SQL.replace("prompt", "content")} AS task, {_found(P.FILE_PATTERN)} AS files, {symbols_sql("content")} AS symbols, {errors_sql("content")} AS errors, {_TECH} AS technologies, {_AREAS} AS areas FROM kb),
 kc AS (SELECT *, nullif(regexp_extract(lower(files[1]), '^src/([a-z][\\w-]+)/', 1), '') AS domain,
  least(0.96::DOUBLE, 0.2::DOUBLE + 0.1::DOUBLE * ((task <> 'unknown')::INT + (len(files) > 0)::INT + (len(symbols) > 0)::INT + (len(errors) > 0)::INT + (len(technologies) > 0)::INT + (len(areas) > 0)::INT)) AS confidence FROM k1)"""
 )

@@ -30,11 +30,43 @@ def token_set_size(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_distinct"))
 
 
-@query(with_("prompts") + f"""
-SELECT query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(prompt, '{P.FILE_PATTERN}'))), ',') AS files, array_to_string(list_sort(list_distinct(regexp_extract_all(prompt, '{P.SYMBOL_PATTERN}'))), ',') AS symbols,
-       array_to_string(list_sort(list_distinct(regexp_extract_all(prompt, '{P.ERROR_PATTERN}'))), ',') AS errors, nullif(regexp_extract(lower(prompt), 'src/([a-z][\\w-]+)/', 1), '') AS domain FROM prompts""")
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def symbols_sql(text: str) -> str:
+    """SQL of T.symbols."""
+    own = f"regexp_replace({text}, '{P.FILE_PATTERN}', ' ', 'g')"
+    document = f"(regexp_matches(v, '{P.DOCUMENT_NAME}') AND contains(v, '_') AND NOT regexp_matches(v, '\\d'))"
+    spans = f"list_filter(regexp_extract_all({own}, '{P.CODE_SPAN}', 1), lambda v: regexp_matches(v, '{P.NAME_SHAPE}') AND (regexp_matches(v, '{P.NAME_STRUCTURE}') OR regexp_matches(v, '{P.NAME_HUMP}')))"
+    pascal = f"list_filter(regexp_extract_all({own}, '{P.PASCAL_PATTERN}', 1), lambda v: NOT {document} AND (regexp_matches(v, '[0-9_]') OR (regexp_matches(v, '[a-z]') AND regexp_matches(substr(v, 2), '[A-Z]'))))"
+    first = f"coalesce(nullif(regexp_extract({own}, '{P.FIRST_SENTENCE}'), ''), {own})"
+    every = f"{spans} || regexp_extract_all({own}, '{P.SYMBOL_PATTERN}') || {pascal} || regexp_extract_all({own}, '{P.CALL_PATTERN}', 1)"
+    return f"list_filter(list_distinct({every}), lambda v: v NOT IN {_in(P.NO_SYMBOLS + P.NO_SYMBOLS_OF_TASKS)} OR (v IN {_in(P.VERBS_OF_PROMPTS)} AND NOT regexp_matches({first}, '\\b' || v || '\\b')))"
+
+
+def errors_sql(text: str) -> str:
+    """SQL of T.errors."""
+    own = f"regexp_replace({text}, '{P.FILE_PATTERN}', ' ', 'g')"
+    every = " || ".join(f"regexp_extract_all({own}, '{p}')" for p in P.ERROR_PATTERNS)
+    return f"list_filter(list_distinct({every}), lambda v: NOT (regexp_matches(v, '{P.DOCUMENT_NAME}') AND contains(v, '_') AND NOT regexp_matches(v, '\\d')))"
+
+
+#: Phrases that put a name of each kind into a prompt, by its id.
+_PHRASES = (
+    "", ". Then Review `Review` and call loadItem", " with NullPointerException, IOError or E_AUTH_42 in `http_client`", " as README_DRAFT says; `true` or `Run` is prose, RUN_2 and Sha256 are not", ": Fix Fix() in FooBar (twice), TS2345 and API-KEY-7",
+)
+_PHRASED = "prompt || CASE query_id % 5 " + " ".join(f"WHEN {k} THEN '{v}' || CASE WHEN {k} = 1 THEN query_id || '() by `snake_case`' ELSE '' END" for k, v in enumerate(_PHRASES)) + " END"
+
+
+@query(with_("prompts") + f""", ph AS (SELECT query_id, {_PHRASED} AS prompt FROM prompts)
+SELECT query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(prompt, '{P.FILE_PATTERN}'))), ',') AS files, array_to_string(list_sort({symbols_sql("prompt")}), ',') AS symbols,
+       array_to_string(list_sort({errors_sql("prompt")}), ',') AS errors, nullif(regexp_extract(lower(prompt), 'src/([a-z][\\w-]+)/', 1), '') AS domain FROM ph""")
 def file_refs(spark, d):
-    s = signals.classify(prompts(spark, d))
+    """Files, symbols, errors and domain of every prompt, most of them with a phrase behind that names other kinds of symbols and errors."""
+    k = F.col("query_id")
+    more = F.concat(F.get(F.array(*map(F.lit, _PHRASES)), (k % 5).cast("int")), F.when(k % 5 == 1, F.concat(k.cast("string"), F.lit("() by `snake_case`"))).otherwise(""))
+    s = signals.classify(prompts(spark, d).withColumn("prompt", F.concat("prompt", more)))
     joined = lambda c: F.array_join(F.sort_array(c), ",").alias(c)
     return s.select("query_id", joined("files"), joined("symbols"), joined("errors"), "domain")
 
@@ -48,7 +80,7 @@ def task_type(spark, d):
 
 
 _N_SIGNALS = (
-    f"(({_TASK_SQL}) <> 'unknown')::INT + (len(regexp_extract_all(prompt, '{P.FILE_PATTERN}')) > 0)::INT + (len(regexp_extract_all(prompt, '{P.SYMBOL_PATTERN}')) > 0)::INT + (len(regexp_extract_all(prompt, '{P.ERROR_PATTERN}')) > 0)::INT"
+    f"(({_TASK_SQL}) <> 'unknown')::INT + (len(regexp_extract_all(prompt, '{P.FILE_PATTERN}')) > 0)::INT + (len({symbols_sql('prompt')}) > 0)::INT + (len({errors_sql('prompt')}) > 0)::INT"
     + " + (" + " OR ".join("regexp_matches(lower(prompt), '{}')".format(P.TERM_PATTERNS.get(t, rf"\b{t}\b")) for t in P.TECHNOLOGIES) + f")::INT + regexp_matches(lower(prompt), '({'|'.join(P.BUSINESS_AREAS)})')::INT"
 )
 
