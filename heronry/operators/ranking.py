@@ -145,29 +145,40 @@ def within_budget(candidates: DataFrame, budget: int) -> DataFrame:
     return candidates.withColumn("used", F.sum("tokens").over(run)).where(F.col("used") <= budget)
 
 
+#: Conventions that stand first in a pack, whatever their score.
+PINNED = 5
+
+
 def pack(candidates: DataFrame, budget: int) -> DataFrame:
-    """query_id, section, item_id, tokens: candidates (query_id, rank, item_id, tokens) in three sections by greedy choice.
+    """query_id, section, item_id, tokens: candidates (query_id, rank, item_id, tokens and, if there are conventions, a boolean column of that name) in three sections by greedy choice.
 
-    A section skips what does not fit and goes on; what it takes is gone for the next one. Candidates of a query are few, since search limits them.
+    The first PINNED conventions come first of all, beyond the number of items of their section; what they take is gone from its
+    budget. A section skips what does not fit and goes on; what it takes is gone for the next one. Candidates of a query are few,
+    since search limits them.
     """
     budget = max(900, budget)
     first, second = -(-budget * 52 // 100), -(-budget * 34 // 100)
-    sections = (("essential", first, 4), ("supporting", second, 6), ("optional", budget - first - second, 8))
-    rows = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "tokens"))).alias("left"))
+    rows = candidates if "convention" in candidates.columns else candidates.withColumn("convention", F.lit(False))
+    rows = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "tokens", "convention"))).alias("all"))
+    rows = rows.withColumn("pinned", F.slice(F.filter("all", lambda c: c["convention"]), 1, PINNED))
+    rows = rows.withColumn("left", F.array_except("all", "pinned"))
+    held = F.aggregate("pinned", F.lit(0).cast("long"), lambda a, c: a + c["tokens"])
+    rows = rows.withColumn("room", F.greatest(F.lit(0).cast("long"), F.lit(first) - held))
+    sections = (("essential", F.col("room"), 4), ("supporting", F.lit(second), 6), ("optional", F.lit(budget - first - second), 8))
     for name, most, n in sections:
         none = F.slice("left", 1, 0)
         start = F.struct(F.lit(0).cast("long").alias("used"), none.alias("took"), none.alias("rest"))
         rows = rows.withColumn("s", F.aggregate("left", start, _greedy(most, n)))
         rows = rows.withColumn(name, F.col("s.took")).withColumn("left", F.col("s.rest")).drop("s")
-    tagged = F.concat(*[F.transform(name, _tag(name)) for name, _, _ in sections])
+    tagged = F.concat(F.transform("pinned", _tag("essential")), *[F.transform(name, _tag(name)) for name, _, _ in sections])
     return rows.select("query_id", F.explode(tagged).alias("c")).select("query_id", "c.section", "c.item_id", "c.tokens")
 
 
-def _greedy(most: int, n: int):
+def _greedy(most: Column, n: int):
     """One step of a section: take the candidate if it fits, else pass it on to the next section."""
 
     def step(a, c):
-        size = F.least(c["tokens"], F.lit(most))
+        size = F.least(c["tokens"], most)
         fits = (F.size(a["took"]) < n) & (a["used"] + size <= most)
         took, rest = F.when(fits, F.array_append(a["took"], c)).otherwise(a["took"]), F.when(fits, a["rest"]).otherwise(F.array_append(a["rest"], c))
         return F.struct((a["used"] + F.when(fits, size).otherwise(0)).cast("long").alias("used"), took.alias("took"), rest.alias("rest"))

@@ -47,9 +47,9 @@ def lexical(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT,
     return in_blocks(queries, lambda q: ranked(lexical_scores(q, known, limit), "lexical", limit))
 
 
-def memory(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
+def memory(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT, group: str | None = None) -> DataFrame:
     """Lexical search over remembered kinds of items, 0.15 higher."""
-    known = postings.build(corpus.where(F.col("item_type").isin("memory", "workflow", "rule", "bugfix")))
+    known = postings.build(corpus.where(F.col("item_type").isin("memory", "workflow", "rule", "bugfix")), group)
     return in_blocks(queries, lambda q: ranked(lexical_scores(q, known, limit).withColumn("raw", F.col("raw") + 0.15), "memory", limit))
 
 
@@ -74,20 +74,41 @@ def best_chunk(queries: DataFrame, chunks: DataFrame, limit: int = P.SEARCH_LIMI
 
 
 def _first_of_key(items: DataFrame, keys: str, limit: int, *order: Column | str) -> DataFrame:
-    """k and the rows of items that come first under each of their keys. All hits of a key score alike, so no query can rank more of them."""
+    """k and the rows of items that come first under each of their keys, and in each of their scopes if they have one. All hits of a key score alike, so no query can rank more of them."""
     each = items.select("*", F.explode(F.array_distinct(keys)).alias("k"))
-    return each.withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
+    by = ["k", "scope"] if "scope" in items.columns else ["k"]
+    return each.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
 
 
-def by_label(signals: DataFrame, labels: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
+def most_rejected(rejected: DataFrame | None) -> int:
+    """The most rows that one query rejects: by so many more are kept where rows are cut before queries meet them."""
+    return 0 if rejected is None else rejected.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+
+
+def in_scopes(rows: DataFrame, project: str = "project") -> DataFrame:
+    """Each row twice: in the scope of all projects, and in that of its own."""
+    return rows.withColumn("scope", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), F.col(project)))))
+
+
+def scope_of(wanted: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), wanted), F.lit("*"))
+
+
+def by_label(signals: DataFrame, labels: DataFrame, limit: int = P.SEARCH_LIMIT, rejected: DataFrame | None = None) -> DataFrame:
     """0.94 where an item has a precise signal of the query as a label, 0.82 where it has another; then by trust and freshness.
 
-    signals: query_id, type, value, precise; labels: item_id, type, value, trust, fresh_on. Under each label only as many items
-    as a query can rank are kept, by trust, freshness and id, before they meet signals.
+    signals: query_id, type, value, precise and, if queries are for a project, wanted; labels: item_id, type, value, trust,
+    fresh_on and, then, project. Under each label only as many items as a query can rank are kept, and as many more as a query
+    rejects (rejected: query_id, item_id), before they meet signals.
     """
     order = (F.col("trust").desc(), F.col("fresh_on").desc_nulls_last(), "item_id")
-    first = labels.withColumn("_n", F.row_number().over(Window.partitionBy("type", "value").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
-    hits = signals.join(first, ["type", "value"]).groupBy("query_id", "item_id", "trust", "fresh_on").agg(F.max(F.when(F.col("precise"), 0.94).otherwise(0.82)).alias("raw"))
+    limited = "wanted" in signals.columns
+    labels = in_scopes(labels) if limited else labels.withColumn("scope", F.lit("*"))
+    signals = signals.withColumn("scope", scope_of(F.col("wanted")) if limited else F.lit("*"))
+    first = labels.withColumn("_n", F.row_number().over(Window.partitionBy("type", "value", "scope").orderBy(*order))).where(F.col("_n") <= limit + most_rejected(rejected)).drop("_n")
+    hits = signals.join(first, ["type", "value", "scope"]).groupBy("query_id", "item_id", "trust", "fresh_on").agg(F.max(F.when(F.col("precise"), 0.94).otherwise(0.82)).alias("raw"))
+    if rejected is not None:
+        hits = hits.join(rejected.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
     return ranked(hits, "metadata", limit, *order[:2])
 
 
@@ -102,14 +123,14 @@ def _relation(kind: str = "kind") -> Column:
     return F.coalesce(*[F.when(F.col(kind) == k, F.lit(v)) for k, v in P.RELATION_MULTIPLIERS.items()], F.lit(1.0))
 
 
-def graph(seeds: DataFrame, edges: DataFrame, targets: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
-    """Best of three branches for each item: named targets (query_id, item_id), edges out of seeds (query_id, item_id) and edges into them."""
+def graph(seeds: DataFrame, edges: DataFrame, targets: DataFrame, limit: int = P.SEARCH_LIMIT, allowed: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
+    """Best of three branches for each item: named targets (query_id, item_id), edges out of seeds (query_id, item_id) and edges into them. allowed filters hits before the best are chosen."""
     s = seeds.select("query_id", F.col("item_id").alias("seed"))
     weigh = lambda w: F.round(F.lit(w) * _relation() * F.col("confidence"), 6).alias("raw")
     out = edges.join(s, F.col("src") == F.col("seed")).select("query_id", F.col("dst").alias("item_id"), weigh(P.HOP_WEIGHTS["seed"]))
     back = edges.join(s, F.col("dst") == F.col("seed")).select("query_id", F.col("src").alias("item_id"), weigh(P.HOP_WEIGHTS["seed"]))
     named = targets.select("query_id", "item_id", F.lit(P.HOP_WEIGHTS["target"]).alias("raw"))
-    return ranked(named.unionByName(out).unionByName(back).groupBy("query_id", "item_id").agg(F.max("raw").alias("raw")), "graph", limit)
+    return ranked(allowed(named.unionByName(out).unionByName(back).groupBy("query_id", "item_id").agg(F.max("raw").alias("raw"))), "graph", limit)
 
 
 def graph_depth2(seeds: DataFrame, edges: DataFrame, limit: int = P.SEARCH_LIMIT, first: int = 16) -> DataFrame:
@@ -125,10 +146,13 @@ def graph_depth2(seeds: DataFrame, edges: DataFrame, limit: int = P.SEARCH_LIMIT
 
 
 def by_trigger(queries: DataFrame, atoms: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
-    """Active facts that share a trigger key with a query: queries (query_id, keys), atoms (atom_id, keys, tier, last_reused)."""
+    """Active facts that share a trigger key with a query: queries (query_id, keys), atoms (atom_id, keys, tier, last_reused). With queries that have wanted, facts (then with project) are those of that project."""
     tier = F.when(F.col("tier") == "canonical", 3).when(F.col("tier") == "verified", 2).otherwise(1)
-    k = _first_of_key(atoms.where("status = 'active'").select("atom_id", "tier", "last_reused", "keys"), "keys", limit, tier.desc(), F.col("last_reused").desc_nulls_last(), "atom_id").drop("keys")
-    hits = queries.select("query_id", F.explode("keys").alias("k")).join(k, "k").select("query_id", "atom_id", "tier", "last_reused").distinct()
+    limited = "wanted" in queries.columns
+    own = atoms.where("status = 'active'").select("atom_id", "tier", "last_reused", "keys", *(["project"] if limited else []))
+    k = _first_of_key(in_scopes(own).drop("project") if limited else own, "keys", limit, tier.desc(), F.col("last_reused").desc_nulls_last(), "atom_id").drop("keys")
+    asked = queries.select("query_id", F.explode("keys").alias("k"), *([scope_of(F.col("wanted")).alias("scope")] if limited else []))
+    hits = asked.join(k, ["k", "scope"] if limited else ["k"]).select("query_id", "atom_id", "tier", "last_reused").distinct()
     order = Window.partitionBy("query_id").orderBy(tier.desc(), F.col("last_reused").desc_nulls_last(), "atom_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "atom_id", "tier", "rank")
 
