@@ -150,11 +150,23 @@ def identify(docs: DataFrame, model: Model, results: tuple[str, str, str] = RESU
     return rows.mapInArrow(run, T.StructType([*kept.schema.fields, *[T.StructField(n, k) for n, k in kinds]]))
 
 
-def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs whose language can be told: those that are not `und`. Without a model, one is learned from docs."""
+def identified(docs: DataFrame, model: Model | None = None, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs whose language the model can tell, with the columns of docs; a null lang becomes the predicted one.
+
+    Rejected are texts that are `und`, texts whose runner-up is close (ambiguous), and, if languages are named, those of
+    another language. Without a model, one is learned from docs; if it has nothing to learn from, only texts that have no
+    letter go, as nothing can be told of the others.
+    """
     model = model or learn(docs, F.coalesce(fold_crc("doc_id", 4) != 2, F.lit(False)))
     names = [spare(docs, n) for n in RESULTS]
-    return identify(docs, model, tuple(names)).where(F.col(names[0]) != "und").drop(*names)
+    told, ambiguous = F.col(names[0]), F.col(names[2])
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    kept = identify(docs, model, tuple(names)).where((told != "und") & ~ambiguous)
+    if languages:
+        kept = kept.where(told.isin(*languages))
+    own = {c: F.coalesce(F.col("lang").cast("string"), told).alias(c) if c.lower() == "lang" and docs.schema[c].dataType == T.StringType() else F.col(f"`{c}`") for c in docs.columns}
+    return kept.select(*own.values())
 
 
 def held_out() -> Column:
