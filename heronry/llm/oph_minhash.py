@@ -45,7 +45,7 @@ BLOCK = 1024
 #: Ids of candidates are broadcast to their texts and sets up to so many of them, and meet them by a shuffled join beyond.
 FEW = 1 << 19
 #: Classes of a block that is asked, how many may ask one part of it, and the stars that a class without a link tries after its best.
-GROUP, ASKING, TRIES = 256, 4096, 3
+GROUP, ASKING, TRIES = 256, 512, 3
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)).astype(np.uint64)
