@@ -214,3 +214,39 @@ def search(index: Index, queries: DataFrame, limit: int) -> DataFrame:
 
     dealt = rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("term")).select("block", "term", "at", "items", "groups")
     return dealt.mapInArrow(run, f"query_id {kind.simpleString()}, item_id {item.simpleString()}, n long, n_terms long")
+
+
+def matching(index: Index, queries: DataFrame) -> DataFrame:
+    """query_id, item_id of all documents that have every one of a query's terms (query_id, terms) as words, for one block of queries."""
+    asked = queries.select("query_id", F.array_distinct("terms").alias("terms")).collect()  # bounded by the block
+    kind, item = queries.schema["query_id"].dataType, index.low.schema["item_id"].dataType
+    plan = [(q["query_id"], q["terms"]) for q in asked if q["terms"]]
+    words = queries.select(F.explode("terms").alias("word")).distinct()
+    rows = index.postings.join(words, "word").select("block", F.col("word").alias("term"), "at").withColumn("items", F.lit(None).cast(index.places.schema["items"].dataType))
+    rows = rows.unionByName(index.places.select("block", F.lit(None).cast("string").alias("term"), F.lit(None).cast("binary").alias("at"), "items"))
+
+    def run(batches):
+        block, items, held = None, [], {}
+
+        def met():
+            if held:
+                for query, terms in plan:
+                    own = [held[t] for t in terms if t in held]
+                    if len(own) == len(terms):
+                        at, _ = best_of_block(own, len(own), None)
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array([query] * len(at), to_arrow_type(kind)), pa.array([items[p] for p in at.tolist()], to_arrow_type(item))], names=["query_id", "item_id"])
+
+        for batch in batches:
+            for b, term, at, its in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if b != block:
+                    yield from met()
+                    block, items, held = b, [], {}
+                if term is None:
+                    items = its
+                else:
+                    held[term] = np.frombuffer(at, np.uint16).astype(np.int64)
+        yield from met()
+
+    dealt = rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("term")).select("block", "term", "at", "items")
+    return dealt.mapInArrow(run, f"query_id {kind.simpleString()}, item_id {item.simpleString()}")

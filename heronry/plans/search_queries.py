@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import policy as P
 from ..functions import text as T
+from ..operators import ranked_text
 from ..operators import search as S
 from ..operators import vector_index
 from .bridge import atoms, edges, items, prompts, read, with_
@@ -67,6 +68,29 @@ def vector_topk(spark, d):
     return S.vector(vector_queries(spark, d), vectors(spark, d))
 
 
+_STEM = "CASE WHEN regexp_matches(w, 'ies$') AND NOT regexp_matches(w, '[ea]ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, 'es$') AND NOT regexp_matches(w, '[aeo]es$') THEN regexp_replace(w, 's$', '') WHEN regexp_matches(w, 's$') AND NOT regexp_matches(w, '[us]s$') THEN regexp_replace(w, 's$', '') ELSE w END"
+_WORDS = lambda text: f"list_transform(regexp_extract_all(lower(coalesce({text}, '')), '{ranked_text.WORD}'), lambda w: {_STEM})"
+
+
+@query(with_("items") + f""",
+tq AS (SELECT doc_id AS query_id, list_filter({_WORDS("text")}, lambda w: w NOT IN ({", ".join(f"'{w}'" for w in ranked_text.STOP)}) AND length(w) >= 4) AS l FROM documents WHERE doc_id % 100 = 0),
+tr AS (SELECT query_id, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:3] AS terms FROM tq), te AS (SELECT query_id, len(terms) AS n, unnest(terms) AS w, unnest(range(1, len(terms) + 1)) AS term FROM tr),
+do1 AS (SELECT item_id, {_WORDS("concat_ws(' ', item_type, project, content)")} AS a, {_WORDS("content")} AS b FROM items WHERE status = 'approved'),
+pl AS (SELECT item_id, unnest(a || b) AS w, unnest(range(0, len(a) + len(b))) AS pos, len(a) AS na FROM do1),
+en AS (SELECT query_id, item_id, n, term, pos, CASE WHEN pos < na THEN 1.0 ELSE 2.5 END::DOUBLE AS inv, row_number() OVER (PARTITION BY query_id, item_id ORDER BY pos) AS nr FROM pl JOIN te USING (w)),
+cu AS (SELECT *, sum(inv) OVER o AS upto, max(CASE WHEN term = 1 THEN nr END) OVER o AS l1, CASE WHEN n >= 2 THEN max(CASE WHEN term = 2 THEN nr END) OVER o ELSE 1000000000 END AS l2, CASE WHEN n >= 3 THEN max(CASE WHEN term = 3 THEN nr END) OVER o ELSE 1000000000 END AS l3
+ FROM en WINDOW o AS (PARTITION BY query_id, item_id ORDER BY nr)),
+co AS (SELECT *, least(l1, l2, l3) AS p FROM cu WHERE l1 IS NOT NULL AND l2 IS NOT NULL AND l3 IS NOT NULL),
+cv AS (SELECT * FROM co QUALIFY row_number() OVER (PARTITION BY query_id, item_id, p ORDER BY nr) = 1),
+ds AS (SELECT c.query_id, c.item_id, round(sum((c.nr - c.p + 1) / (c.upto - e.upto + e.inv) / (1 + c.pos - e.pos - (c.nr - c.p))), 6) AS raw FROM cv c JOIN cu e ON e.query_id = c.query_id AND e.item_id = c.item_id AND e.nr = c.p GROUP BY 1, 2)
+SELECT query_id, 'lexical' AS source, item_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS rank FROM ds QUALIFY rank <= 18""")
+def ranked_full_text(spark, d):
+    """Texts that hold the first three words (of four characters or more) of every 100th document, by cover density."""
+    q = read(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.slice(F.array_distinct(F.filter(ranked_text.words(F.col("text")), lambda w: ~w.isin(*ranked_text.STOP) & (F.length(w) >= 4))), 1, 3).alias("terms"))
+    i = items(spark, d).where("status = 'approved'").select("item_id", F.concat_ws(" ", "item_type", "project", "content").alias("described"), "content")
+    return ranked_text.search(q, i)
+
+
 @query()
 def vector_index_topk(spark, d):
     """As vector_topk, by the index of cells; tests hold its recall against all cosines."""
