@@ -71,7 +71,9 @@ def retention(backups: DataFrame, keep: int) -> DataFrame:
 
     What is outside the first `keep` goes whatever its age, so an age limit would add nothing.
     """
-    n = F.row_number().over(Window.orderBy(F.col("created").desc(), "path"))  # one row for each backup
-    ok = F.row_number().over(Window.partitionBy("ok").orderBy(F.col("created").desc(), "path"))
-    placed = backups.withColumn("n", n).withColumn("k", ok)
-    return placed.select("path", ((F.col("n") <= max(1, keep)) | (F.col("ok") & (F.col("k") == 1)) | ~F.col("verified")).alias("keep"))
+    order = (F.col("created").desc(), "path")
+    newest = backups.orderBy(*order).limit(max(1, keep)).select("path")  # each task keeps as many, and one picks of those
+    good = backups.where("ok").orderBy(*order).limit(1).select("path")
+    stays = newest.union(good).distinct().withColumn("stays", F.lit(True))
+    rows = backups.join(F.broadcast(stays), "path", "left")  # keep + 1 rows at most
+    return rows.select("path", (F.coalesce("stays", F.lit(False)) | ~F.col("verified")).alias("keep"))

@@ -122,21 +122,21 @@ def json_fields(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.get_json_object(meta, "$.safety.status").alias("status"))
 
 
-_PACKS = """pk AS (SELECT o_orderkey AS pack_id, list(l_partkey ORDER BY l_linenumber) AS ids FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0 GROUP BY 1),
-fe AS (SELECT event_id, (SELECT min(pack_id) FROM pk) + (event_id % 40) * 20 AS pack_id, CASE event_type WHEN 'purchase' THEN 'selected' WHEN 'click' THEN 'selected_but_noisy' WHEN 'view' THEN 'irrelevant' WHEN 'error' THEN 'rejected' ELSE 'stale' END AS feedback_type, CASE WHEN event_id % 3 = 0 THEN [event_id % 50, event_id % 7 + 100] ELSE [] END AS rejected, ts FROM events),
+_PACKS = """pk AS (SELECT o_orderkey AS pack_id, list(l_partkey ORDER BY l_linenumber) AS ids FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+fe AS (SELECT event_id, 1 + event_id % (SELECT max(o_orderkey) FROM orders) AS pack_id, CASE event_type WHEN 'purchase' THEN 'selected' WHEN 'click' THEN 'selected_but_noisy' WHEN 'view' THEN 'irrelevant' WHEN 'error' THEN 'rejected' ELSE 'stale' END AS feedback_type, CASE WHEN event_id % 3 = 0 THEN [event_id % 50, event_id % 7 + 100] ELSE [] END AS rejected, ts FROM events),
 st AS (SELECT event_id, unnest(rejected) AS item_id, feedback_type, ts FROM fe WHERE feedback_type IN ('rejected', 'irrelevant', 'stale') UNION ALL
  SELECT event_id, unnest(ids), feedback_type, ts FROM fe JOIN pk ON pk.pack_id = fe.pack_id WHERE feedback_type IN ('selected', 'selected_but_noisy') OR len(rejected) = 0)"""
 
 
 def _feedback_events(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("pack_id"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("pack_id"))
     lines = read(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("pack_id")).groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("id")))).alias("l"))
     half = lambda cond: F.transform(F.filter("l", lambda x, i: cond(i)), lambda x: F.struct(x["id"].alias("id")))
     packs = lines.select("pack_id", F.to_json(F.array(F.struct(half(lambda i: i % 2 == 0).alias("items")), F.struct(half(lambda i: i % 2 == 1).alias("items")))).alias("sections"))
-    first = packs.agg(F.min("pack_id").alias("first"))
+    last = o.agg(F.max("pack_id").alias("last"))
     k, e = F.col("event_id"), F.col("event_type")
     kind = F.when(e == "purchase", "selected").when(e == "click", "selected_but_noisy").when(e == "view", "irrelevant").when(e == "error", "rejected").otherwise("stale")
-    events = read(spark, d, "events").crossJoin(F.broadcast(first)).select("event_id", (F.col("first") + k % 40 * 20).alias("pack_id"), kind.alias("feedback_type"), F.when(k % 3 == 0, F.array(k % 50, k % 7 + 100)).otherwise(F.array().cast("array<bigint>")).alias("rejected"), "ts")
+    events = read(spark, d, "events").crossJoin(F.broadcast(last)).select("event_id", (1 + k % F.col("last")).alias("pack_id"), kind.alias("feedback_type"), F.when(k % 3 == 0, F.array(k % 50, k % 7 + 100)).otherwise(F.array().cast("array<bigint>")).alias("rejected"), "ts")
     return events, packs
 
 

@@ -298,7 +298,7 @@ def mapping_metrics(spark, d):
     return V.mapping_metrics(cases, found, 5)
 
 
-@query("""WITH c AS (SELECT n_nationkey AS case_id FROM nation), e AS (SELECT p_partkey % 25 AS case_id, p_partkey AS item_id, p_name || ' ' || p_type AS text, 'u' || p_partkey % 8 AS uri, p_partkey % 4 = 0 AS direct FROM part WHERE p_partkey <= 180),
+@query("""WITH c AS (SELECT n_nationkey AS case_id FROM nation), e AS (SELECT p_partkey % 25 AS case_id, p_partkey AS item_id, p_name || ' ' || p_type AS text, 'u' || p_partkey % 8 AS uri, p_partkey % 4 = 0 AS direct FROM part),
 f AS (SELECT case_id, i AS fact_id, i::DOUBLE AS weight, CASE i WHEN 1 THEN ['steel'] WHEN 2 THEN ['polished', 'tin'] ELSE ['nothing of the kind'] END AS terms FROM c, range(1, 4) t(i)), s AS (SELECT case_id, 'u' || unnest([case_id % 8, (case_id + 3) % 8, 9]) AS uri FROM c WHERE case_id % 5 <> 0),
 m AS (SELECT DISTINCT f.case_id, fact_id FROM f JOIN e ON e.case_id = f.case_id AND len(list_filter(terms, lambda x: contains(lower(text), x))) = len(terms)), fc AS (SELECT f.case_id, sum(CASE WHEN m.fact_id IS NOT NULL THEN weight ELSE 0 END) / sum(weight) AS completeness FROM f LEFT JOIN m ON m.case_id = f.case_id AND m.fact_id = f.fact_id GROUP BY 1),
 d AS (SELECT case_id, uri, max(direct) AS direct FROM e GROUP BY 1, 2), sc AS (SELECT s.case_id, avg((d.uri IS NOT NULL)::INT) AS source_coverage, avg(coalesce(direct, FALSE)::INT) AS placement FROM s LEFT JOIN d ON d.case_id = s.case_id AND d.uri = s.uri GROUP BY 1),
@@ -308,7 +308,7 @@ SELECT *, floor(round(100 * (completeness * 0.55 + source_coverage * 0.25 + plac
 def knowledge_gain(spark, d):
     """Facts, sources and noise of what each case was given, and the score they make."""
     cases = read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("case_id"))
-    p = read(spark, d, "part").where("p_partkey <= 180")
+    p = read(spark, d, "part")
     evidence = p.select((_key() % 25).alias("case_id"), _key().alias("item_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.array(F.concat(F.lit("u"), (_key() % 8).cast("string"))).alias("uris"), (_key() % 4 == 0).alias("direct"))
     fact = lambda i, *t: F.struct(F.lit(i).alias("fact_id"), F.lit(float(i)).alias("weight"), F.array(*map(F.lit, t)).alias("terms"))
     facts = cases.select("case_id", F.explode(F.array(fact(1, "steel"), fact(2, "polished", "tin"), fact(3, "nothing of the kind"))).alias("f")).select("case_id", "f.*")
@@ -363,11 +363,11 @@ def style_routing(spark, d):
     return V.routed_styles(sig, c.where("role <> 'user' AND conv_id % 3 = 0").select(user, said.alias("text")))
 
 
-@query("""SELECT l_orderkey AS session_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS ids, round(sum(abs(l_discount - l_tax)), 6) AS moved FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1""")
+@query("""SELECT l_orderkey AS session_id, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS ids, round(sum(abs(l_discount - l_tax)), 6) AS moved FROM lineitem GROUP BY 1""")
 def session_replays(spark, d):
     """What replays keep of packs: order and the changes by reranking."""
     one = F.struct(F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("item_id"), F.col("l_tax").alias("fused"), F.col("l_discount").alias("rerank"))
-    return V.replays(read(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("session_id")).agg(F.collect_list(one).alias("candidates")))
+    return V.replays(read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("session_id")).agg(F.collect_list(one).alias("candidates")))
 
 
 @query("""WITH m AS (SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS root, [p_brand, p_type] || string_split(p_name, ' ') AS keys FROM part), n AS (SELECT root, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 2),
@@ -533,13 +533,20 @@ def neighbor_edges(spark, d):
     return j.select(F.col("query_id").alias("src"), F.col("item_id").alias("dst"), F.col("raw").alias("confidence"), G.neighbor_kind(F.col("tier"), F.col("xw"), F.col("yw")).alias("kind"))
 
 
-@query(with_("items", "feedback", "edges") + f""", r AS (SELECT DISTINCT event_id % 90 AS query_id, item_id FROM feedback WHERE feedback_type = 'rejected') SELECT vs.query_id, vs.item_id FROM (SELECT q.doc_id AS query_id, i.item_id FROM documents q JOIN items i ON i.project = q.source WHERE q.doc_id % 100 = 0 AND i.status = 'approved') vs WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = vs.query_id AND r.item_id = vs.item_id) AND vs.item_id < 100""")
+@query(with_("items", "feedback") + """, r AS (SELECT DISTINCT event_id % 90 AS query_id, item_id FROM feedback WHERE feedback_type = 'rejected'),
+v AS (SELECT q.doc_id AS query_id, i.item_id, trust FROM documents q JOIN items i ON i.project = q.source WHERE q.doc_id % 100 = 0 AND i.status = 'approved')
+SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY trust DESC, item_id) AS rank FROM v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = v.query_id AND r.item_id = v.item_id) QUALIFY rank <= 18""")
 def eligible_items(spark, d):
-    """The first hundred items that a query of their project may be given: approved and not rejected by it."""
+    """The most trusted items that every 100th document as a query of its project may be given: approved and not rejected by it."""
+    from pyspark.sql import Window
+
+    from ..operators import search
     from .bridge import feedback
 
     q = read(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("source").alias("project"))
+    rejected = feedback(spark, d).where("feedback_type = 'rejected'").select((F.col("event_id") % 90).alias("query_id"), "item_id").distinct().join(q.select("query_id"), "query_id", "left_semi")
     i = items(spark, d)
-    hits = q.join(i.where("item_id < 100").select("item_id", "project"), "project")
-    rejected = feedback(spark, d).where("feedback_type = 'rejected'").select((F.col("event_id") % 90).alias("query_id"), "item_id").distinct()
-    return X.eligible(hits, i, rejected).select("query_id", "item_id")
+    order = (F.col("trust").desc(), "item_id")
+    first = i.where("status = 'approved'").withColumn("n", F.row_number().over(Window.partitionBy("project").orderBy(*order))).where(F.col("n") <= 18 + search.most_rejected(rejected))
+    hits = X.eligible(q.join(first.select("item_id", "project", "trust"), "project"), i, rejected)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("rank <= 18").select("query_id", "item_id", "rank")

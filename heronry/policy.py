@@ -220,4 +220,27 @@ SWEEP_ERROR = r"\b[A-Z][A-Z0-9_]*(?:Error|Exception|Failure)\b|\bE[A-Z][A-Z0-9_]
 SWEEP_TECHNOLOGIES = (*TECHNOLOGIES, "pnpm", "ollama", "openai")
 SWEEP_CAPS = {"files": 10, "symbols": 12, "errors": 6, "technologies": 6, "areas": 4}
 SWEEP_FLOOR, SWEEP_CODE, SWEEP_VERB, SWEEP_TOKENS = 0.25, 0.3, 0.2, 10
+#: Trees of terms by type of label.
+ONTOLOGY = {
+    "technology": {
+        "frontend": {"react": {"next": {}}, "typescript": {}, "javascript": {}},
+        "backend": {"node": {}, "typescript": {}, "python": {}, "go": {}, "rust": {}},
+        "db": {"postgres": {"pgvector": {}}, "redis": {}},
+        "infra": {"docker": {}, "aws": {"lambda": {}, "serverless": {}}},
+        "protocol": {"mcp": {}, "graphql": {}, "rest": {}},
+    },
+    "business_area": {
+        "auth": {"login": {}, "token": {}, "session": {}},
+        "billing": {"subscription": {}, "paywall": {}, "invoice": {}},
+        "search": {"retrieval": {}, "ranking": {}},
+        "content": {"newsletter": {}, "publishing": {}, "media": {}},
+        "engagement": {"analytics": {}, "notification": {}, "profile": {}},
+        "ads": {},
+    },
+    "domain": {
+        "infra": {"docker": {}, "ci": {}, "build": {}},
+        "storage": {"postgres": {}, "redis": {}},
+        "observability": {"logging": {}, "metrics": {}, "tracing": {}},
+    },
+}
 # --- end of fixed values ---
