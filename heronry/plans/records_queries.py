@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -296,3 +298,38 @@ e AS (SELECT doc_id, arg_max(t, n) AS t FROM c GROUP BY 1) SELECT d.doc_id, sha2
 def utf8_truncate(spark, d):
     """Texts cut to 1,000 bytes of UTF-8."""
     return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(T.truncate_utf8(F.col("text"), 1000), 256).alias("digest"))
+
+
+_LINE_STATUS = "CASE l_linenumber % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'M' WHEN 2 THEN 'R' || l_suppkey % 100 WHEN 3 THEN 'D' ELSE 'C50' END"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_LINE_STATUS} AS status, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nr, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey AS commit_id, 'src/f' || l_partkey || '.ts' AS path, CASE WHEN status = 'A' OR status = 'C50' THEN 'added' WHEN status = 'D' THEN 'deleted' WHEN status[1] = 'R' THEN 'renamed' ELSE 'modified' END AS status,
+ CASE WHEN status[1] = 'R' THEN 'old/f' || l_suppkey || '.ts' END AS prior, CASE WHEN status[1] = 'R' THEN CASE WHEN l_suppkey % 100 = 0 THEN 100 ELSE l_suppkey % 100 END END::INT AS similarity, FALSE AS malformed FROM l
+UNION ALL SELECT DISTINCT l_orderkey, 'R77 cut/' || l_orderkey, NULL, NULL, NULL::INT, TRUE FROM lineitem WHERE l_orderkey % 11 = 0""")
+def diff_records(spark, d):
+    """Every order's lines as a diff with zero bytes, a few of them cut short, read back into records."""
+    from ..sources import readers
+
+    n, s = F.col("l_linenumber") % 5, F.col("l_suppkey").cast("string")
+    path, old, zero = F.concat(F.lit("src/f"), F.col("l_partkey").cast("string"), F.lit(".ts")), F.concat(F.lit("old/f"), s, F.lit(".ts")), F.lit("\x00")
+    text = F.when(n == 0, F.concat(F.lit("A"), zero, path)).when(n == 1, F.concat(F.lit("M"), zero, path)).when(n == 2, F.concat(F.lit("R"), (F.col("l_suppkey") % 100).cast("string"), zero, old, zero, path)).when(n == 3, F.concat(F.lit("D"), zero, path)).otherwise(F.concat(F.lit("C50"), zero, old, zero, path))
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("t")).alias("x"))
+    whole = lines.groupBy("commit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(x["t"], zero)), "").alias("text"))  # an order's lines are few
+    cut_short = F.when(F.col("commit_id") % 11 == 0, F.concat(F.lit("R77\x00cut/"), F.col("commit_id").cast("string"), zero)).otherwise("")
+    return whole.select("commit_id", F.explode(readers.diff_records(F.concat("text", cut_short))).alias("r")).select("commit_id", "r.*")
+
+
+@query("""SELECT event_type AS category, event_id % 10 = 3 OR event_id % 10 = 7 AS malformed, count(*) AS n, sum(CASE WHEN event_id % 10 IN (3, 7) THEN NULL ELSE event_id % 5 END)::BIGINT AS severity FROM events WHERE event_id % 10 <> 3 GROUP BY 1, 2
+UNION ALL SELECT NULL, TRUE, count(*), NULL FROM events WHERE event_id % 10 = 3 HAVING count(*) > 0""")
+def incident_files(spark, d):
+    """Incidents written as lines of JSON, some broken and some without an id, read back and counted."""
+    from ..sources import readers
+    from ..sources.shared import shared_dir
+
+    k = F.col("event_id")
+    line = F.to_json(F.struct(F.when(k % 10 != 7, k.cast("string")).alias("id"), F.col("event_type").alias("category"), (k % 5).cast("int").alias("severity"), F.lit("down").alias("message"), F.lit(1).alias("occurrences"), "ts"))
+    path = f"{shared_dir(spark)}/heronry-incidents-{uuid.uuid4().hex}"
+    read(spark, d, "events").select(F.when(k % 10 == 3, F.concat(F.lit("{"), line)).otherwise(line).alias("value")).write.text(path)
+    rows = readers.incidents(spark, path, lines=True)
+    return rows.groupBy("category", "malformed").agg(F.count("*").alias("n"), F.sum(F.when(~F.col("malformed"), F.col("severity"))).alias("severity"))
