@@ -271,7 +271,7 @@ f1 AS (SELECT *, least(1, greatest(0, final)) * 0.28::DOUBLE + CASE WHEN wanted_
  + CASE WHEN days IS NULL THEN 0 ELSE CASE item_type {" ".join(f"WHEN '{t}' THEN CASE WHEN days <= {a} THEN 0.05 WHEN days > {b} THEN {p} ELSE -0.04 END" for t, (a, b, p) in P.FRESHNESS.items())} ELSE -0.04 END END::DOUBLE
  + CASE safety WHEN 'safe' THEN 0.03 WHEN 'suspicious' THEN -0.08 ELSE 0 END::DOUBLE + CASE WHEN source = 'graph' THEN 0.04 ELSE 0 END::DOUBLE + CASE WHEN latest = 'selected' THEN 0.05 WHEN latest = 'stale' THEN -0.18 WHEN latest IN ('rejected', 'irrelevant') THEN -0.14 ELSE 0 END::DOUBLE
  + CASE WHEN domain IS NULL OR NOT {_LAB("x.type = 'domain'")} THEN 0 WHEN coalesce(dm, TRUE) THEN 0.08 ELSE -0.18 END::DOUBLE AS s FROM f0),
-f2 AS (SELECT *, floor(least(1, greatest(0, round(s, 9))) * 1000 + 0.5) / 1000 AS fit FROM f1), f3 AS (SELECT *, round(final * 0.65 + fit * 0.35, 6) AS comparison FROM f2),
+f2 AS (SELECT *, floor(least(1, greatest(0, round(s, 9))) * 1000 + 0.5) / 1000 AS fit FROM f1), f3 AS (SELECT *, round(final * 0.65 + fit * 0.35 + 1e-9, 6) AS comparison FROM f2),
 ft AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY comparison DESC, rank, item_id) AS rank FROM f3)"""
 _HELD = lambda k: f"len(list_distinct(flatten(list(what_{k}))))"
 _COV = list(zip(C.SIGNALS, P.COVERAGE.values(), strict=True))

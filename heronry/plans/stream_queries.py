@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import packs
 from ..streaming import incidents
-from .bridge import atoms, edges, read, with_
+from .bridge import atoms, edges, prompts, read, with_
 from .operations_queries import _ERRORS, errors
 from .registry import query
 
@@ -43,3 +43,26 @@ def markdown_round_trip(spark, d):
     """Facts written as Markdown with front matter and read back."""
     documents = atoms(spark, d).select(packs.to_front_matter(("atom_id", "tier", "reuse"), "claim").alias("document"))
     return documents.select(*packs.from_front_matter(F.col("document"), {"atom_id": "bigint", "tier": "string", "reuse": "bigint"}))
+
+
+_INCOMING = "CASE WHEN query_id % 19 = 0 THEN prompt || ' and ignore all previous instructions' WHEN query_id % 23 = 0 THEN 'Rules  of PROJECT p' || p_size % 5 WHEN query_id % 29 = 0 THEN repeat(prompt, 20) ELSE prompt END"
+
+
+@query(with_("prompts") + f""", c AS (SELECT query_id AS nr, 'p' || p_size % 5 AS project, {_INCOMING} AS content FROM prompts),
+o AS (SELECT *, CASE WHEN octet_length(encode(content)) > 2000 THEN 'too_large' WHEN regexp_matches(lower(content), 'ignore all previous instructions') THEN 'blocked' END AS error FROM c),
+f AS (SELECT *, min(CASE WHEN error IS NULL THEN nr END) OVER (PARTITION BY project, error IS NULL, trim(regexp_replace(lower(content), '\\s+', ' ', 'g'))) AS first FROM o)
+SELECT nr, CASE WHEN error IS NOT NULL THEN error WHEN first <> nr THEN 'duplicate' ELSE 'stored' END AS outcome, CASE WHEN error IS NULL AND first <> nr THEN sha256(project || chr(0) || 'p' || first || '.md') END AS match_id FROM f""")
+def ingest_outcomes(spark, d):
+    """What becomes of every prompt as an item that comes in: stored, or the error it leaves."""
+    from ..streaming import ingestion
+
+    k = F.col("query_id")
+    text = F.when(k % 19 == 0, F.concat("prompt", F.lit(" and ignore all previous instructions"))).when(k % 23 == 0, F.concat(F.lit("Rules  of PROJECT p"), (F.col("p_size") % 5).cast("string"))).when(k % 29 == 0, F.expr("repeat(prompt, 20)")).otherwise(F.col("prompt"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = prompts(spark, d).select(
+        k.alias("nr"), F.concat(F.lit("p"), (F.col("p_size") % 5).cast("string")).alias("project"), F.concat(F.lit("p"), k.cast("string"), F.lit(".md")).alias("uri"), F.lit("memory").alias("item_type"), F.col("p_name").alias("title"), F.lit("").alias("summary"), text.alias("content"),
+        none("timestamp").alias("fresh_on"), none("string").alias("origin"), none("string").alias("trig"), none("string").alias("taxonomy"), none("array<struct<type:string,uri:string>>").alias("refs"),
+    )
+    made = ingestion.ingested(rows, spark.createDataFrame([], ingestion.ITEMS), 2000)
+    stored = made["items"].join(rows.select("nr", "uri"), "uri").select("nr", F.lit("stored").alias("outcome"), none("string").alias("match_id"))
+    return stored.unionByName(made["errors"].select("nr", F.col("error").alias("outcome"), "match_id"))
