@@ -1,8 +1,9 @@
 """A training corpus in five stages: language, exact copies, near copies, mixture, tokens.
 
-Every stage is written as Parquet to the folder that all executors share and read again by the next one. Null and empty
-texts have no language and go in the first stage; an empty table stays empty; extra columns are carried to the last
-stage.
+Every stage is written as Parquet to the folder that all executors share and read again by the next one. Texts whose
+language the model can't tell go in the first stage: null and empty ones, those without a letter, and those whose
+runner-up is close; a null lang becomes the predicted one. An empty table stays empty; extra columns are carried to the
+last stage.
 """
 
 from __future__ import annotations
