@@ -16,7 +16,7 @@ def marked(spark, d, found):
     labels = read(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
     q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("wanted"))
     own = docs.join(labels, "doc_id", "left_semi").select(F.col("doc_id").alias("item_id"), "lang")
-    rows = found.join(q, "query_id").join(own, "item_id", "left")
+    rows = found.join(q, "query_id", "left").join(own, "item_id", "left")
     return rows.withColumn("good", F.coalesce((F.col("wanted") == F.col("lang")) & (F.col("query_id") != F.col("item_id")), F.lit(False))).drop("wanted", "lang")
 
 
