@@ -103,12 +103,10 @@ def test_every_copy_is_a_member(spark, tmp_path):
     docs = [(1, base), (2, base.upper()), (3, base + "!"), (4, "something else altogether, with no likeness"), (5, base + " !"), (6, base), (None, base), (7, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, [1.0, 0.0], 0) for k in range(1, 7)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    for name in ("shingle_jaccard", "duplicate_decision"):
-        got = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
-        members = [(r.right_id or 0, r.left_id) for r in got if r.kind == "member"]
-        assert sorted(members) == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 1), (7, 7)]
-        assert {(r.left_id, r.right_id) for r in got if r.kind == "similar"} == {(1, 3), (1, 5), (3, 5)}
-    assert all((r.decision is None) == (r.left_id == r.right_id) for r in got)
+    got = catalogue.QUERIES["shingle_jaccard"](spark, str(tmp_path)).collect()
+    members = [(r.right_id or 0, r.left_id) for r in got if r.kind == "member"]
+    assert sorted(members) == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 1), (7, 7)]
+    assert {(r.left_id, r.right_id) for r in got if r.kind == "similar"} == {(1, 3), (1, 5), (3, 5)}
     linked = graph.class_links(spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "atom_id int, class_id int"), spark.createDataFrame([(1, 3)], "left_id int, right_id int"))
     assert sorted((r.atom_id, r.class_id, r.n_links) for r in linked.collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0)]
 
