@@ -333,3 +333,20 @@ def incident_files(spark, d):
     read(spark, d, "events").select(F.when(k % 10 == 3, F.concat(F.lit("{"), line)).otherwise(line).alias("value")).write.text(path)
     rows = readers.incidents(spark, path, lines=True)
     return rows.groupBy("category", "malformed").agg(F.count("*").alias("n"), F.sum(F.when(~F.col("malformed"), F.col("severity"))).alias("severity"))
+
+
+_KEY = "'ghp_' || substr(sha256(atom_id::VARCHAR), 1, 24)"
+_CLEAN = lambda c: f"regexp_replace({c}, '\\bghp_[A-Za-z0-9_]{{20,}}\\b', '[REDACTED:secret]', 'g')"
+
+
+@query(with_("atoms") + f""", f AS (SELECT atom_id, claim || CASE atom_id % 5 WHEN 0 THEN ' by ' || {_KEY} ELSE '' END AS claim, [CASE atom_id % 5 WHEN 1 THEN {_KEY} ELSE 'test' END, 'seen'] AS evidence, symbols || [CASE atom_id % 5 WHEN 2 THEN 'x=' || {_KEY} || ';' ELSE 'none' END] AS triggers, CASE atom_id % 5 WHEN 3 THEN [{_KEY}, {_KEY} || 'Z!'] ELSE [] END AS pitfalls FROM atoms)
+SELECT atom_id, {_CLEAN("claim")} AS claim, array_to_string([{_CLEAN("x")} FOR x IN evidence], '|') AS evidence, array_to_string([{_CLEAN("x")} FOR x IN triggers], '|') AS triggers, array_to_string([{_CLEAN("x")} FOR x IN pitfalls], '|') AS pitfalls FROM f""")
+def redacted_facts(spark, d):
+    """Facts with a token in the claim, the evidence, a trigger or the pitfalls, which is taken out wherever it stands."""
+    k = F.col("atom_id")
+    key = F.concat(F.lit("ghp_"), F.substring(F.sha2(k.cast("string"), 256), 1, 24))
+    rows = atoms(spark, d).select(
+        "atom_id", F.concat("claim", F.when(k % 5 == 0, F.concat(F.lit(" by "), key)).otherwise("")).alias("claim"), F.array(F.when(k % 5 == 1, key).otherwise("test"), F.lit("seen")).alias("evidence"),
+        F.array_append("symbols", F.when(k % 5 == 2, F.concat(F.lit("x="), key, F.lit(";"))).otherwise("none")).alias("triggers"), F.when(k % 5 == 3, F.array(key, F.concat(key, F.lit("Z!")))).otherwise(F.array().cast("array<string>")).alias("pitfalls"),
+    )
+    return D.redacted_atoms(rows).select("atom_id", "claim", *[F.array_join(c, "|").alias(c) for c in ("evidence", "triggers", "pitfalls")])
