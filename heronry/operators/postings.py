@@ -1,8 +1,8 @@
 """Lexical search over an inverted index: postings of words in blocks of documents, rarest terms first.
 
 The index has a row for each word of a block of DOCS documents (the places of the documents that hold it) and a row for
-the block itself (ids and groups). A query's terms meet the different words of the corpus, never documents; only
-postings of words that hold a term are read, and they are dealt out by block. Within a block a query asks for the best
+the block itself (ids and groups). The terms of a block of queries are one automaton, which runs over the words of the
+index, never over documents; only postings of words that hold a term go on, dealt out by block. Within a block a query asks for the best
 `limit` by the number of its terms. The count that the last of its best so far has is the mark to reach: a block
 with fewer of the terms is left out as a whole, and of m terms only the m - mark + 1 rarest open new candidates; the
 frequent ones are looked up for candidates alone, while they can still reach the mark. So a frequent term never makes a
@@ -14,9 +14,11 @@ the best are chosen, so its list is refilled from the rest.
 
 from __future__ import annotations
 
+import re
 from array import array
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,28 +30,19 @@ from ..sources.shared import cut
 
 #: Documents of a block (their places fit 16 bits), and postings after which a block is closed early.
 DOCS, POSTINGS = 4096, 1 << 19
-#: Characters of the gram by which a term meets the words that may hold it.
-GRAM = 3
 
 
 @dataclass
 class Index:
-    """low: item_id and lower-case text; places: block, items, groups; postings: block, word, at; words: word, n; grams: word, gram."""
+    """low: item_id and lower-case text; places: block, items, groups; postings: block, word, at."""
 
     low: DataFrame
     places: DataFrame
     postings: DataFrame
-    words: DataFrame
-    grams: DataFrame
-
-
-def grams_of(c, size: int = GRAM):
-    # An empty match before every place where a gram begins: one pass over the text.
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def build(corpus: DataFrame, group: str | None = None) -> Index:
-    """Index of corpus (item_id, content and, if named, a column of groups). Each task indexes what it reads; nothing is shuffled but the different words."""
+    """Index of corpus (item_id, content and, if named, a column of groups). Each task indexes what it reads; nothing is shuffled."""
     kind = corpus.schema["item_id"].dataType
     arrow = to_arrow_type(kind)
     low = corpus.select("item_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"))
@@ -92,22 +85,29 @@ def build(corpus: DataFrame, group: str | None = None) -> Index:
             yield from rows()
 
     made = cut(low.mapInArrow(run, f"block long, word string, items array<{kind.simpleString()}>, groups array<string>, n int, at binary"))
-    postings = made.where("word IS NOT NULL").select("block", "word", "n", "at")
-    words = cut(postings.groupBy("word").agg(F.sum("n").alias("n")))
-    return Index(low.select("item_id", "low"), made.where("word IS NULL").select("block", "items", "groups"), postings.select("block", "word", "at"), words, cut(words.select("word", F.explode(grams_of(F.col("word"))).alias("gram"))))
+    return Index(low.select("item_id", "low"), made.where("word IS NULL").select("block", "items", "groups"), made.where("word IS NOT NULL").select("block", "word", "at"))
+
 
+def _holding(index: Index, terms: list[str]) -> DataFrame:
+    """block, term, at: the postings of words that hold one of the terms (without white space, bounded by the block of queries)."""
+
+    def run(batches):
+        held = ahocorasick.Automaton()
+        for k, t in enumerate(terms):
+            held.add_word(t, k)
+        if terms:
+            held.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            if terms:
+                for row, word in enumerate(batch.column(1).to_pylist()):
+                    for k in {k for _, k in held.iter(word)}:
+                        rows.append(row)
+                        found.append(terms[k])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(found, pa.string()), batch.column(2).take(at)], names=["block", "term", "at"])
 
-def _holding(index: Index, terms: DataFrame) -> DataFrame:
-    """word, term: the words of the corpus that hold terms without white space. A term meets words by its rarest gram; a shorter term by runs of its own length."""
-    long = F.length("term") >= GRAM
-    own = terms.where(long).select("term", F.explode(grams_of(F.col("term"))).alias("gram")).join(index.grams.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
-    rarest = own.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("term", "g.gram")
-    held = index.grams.join(rarest, "gram").where(F.contains("word", F.col("term"))).select("word", "term")
-    short = cut(terms.where(~long))
-    if short.isEmpty():
-        return held
-    runs = index.words.select("word", F.explode(F.array_distinct(F.concat(*[grams_of(F.col("word"), n) for n in range(1, GRAM)]))).alias("term"))
-    return held.unionByName(runs.join(short, "term"))
+    return index.postings.mapInArrow(run, "block long, term string, at binary")
 
 
 def _spaced(index: Index, terms: DataFrame) -> DataFrame:
@@ -154,11 +154,10 @@ def search(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     plan = [(k, [of[t] for t in q["terms"] or ()], q["wanted"] if "wanted" in columns else None, set(q["rejected"] or ()) if "rejected" in columns else set()) for k, q in enumerate(asked)]
     names = [q["query_id"] for q in asked]
     sizes = [len(q["terms"] or ()) for q in asked]
-    terms = cut(queries.select(F.explode("terms").alias("term")).where("term <> ''").distinct())
-    solid = ~F.col("term").rlike(r"\s")
-    found = index.postings.join(_holding(index, terms.where(solid)), "word").select("block", "term", "at")
-    if not terms.where(~solid).isEmpty():
-        found = found.unionByName(_spaced(index, terms.where(~solid)))
+    spaced = [t for t in of if re.search(r"[ \t\n\x0b\f\r]", t)]
+    found = _holding(index, sorted(set(of) - set(spaced) - {""}))
+    if spaced:
+        found = found.unionByName(_spaced(index, queries.sparkSession.createDataFrame([(t,) for t in spaced], "term string")))
     rows = found.withColumns({"items": F.lit(None).cast(index.places.schema["items"].dataType), "groups": F.lit(None).cast("array<string>")})
     rows = rows.unionByName(index.places.select("block", F.lit(None).cast("string").alias("term"), F.lit(None).cast("binary").alias("at"), "items", "groups"))
 

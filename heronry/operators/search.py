@@ -16,6 +16,8 @@ from ..functions import vectors as V
 from ..sources.shared import cut
 from . import postings
 
+#: Characters of the gram by which a key meets the keys that may hold it.
+GRAM = 3
 #: Queries, about, that meet the corpus at a time; larger sets are cut into blocks by a hash of query_id.
 BLOCK = 10_000
 
@@ -159,9 +161,9 @@ def by_trigger(queries: DataFrame, atoms: DataFrame, limit: int = P.SEARCH_LIMIT
 
 def _holding(words: DataFrame, terms: DataFrame) -> DataFrame:
     """word, term: which different words (column k) hold which different terms (column k). They meet by one gram of the term; terms shorter than a gram by all runs of one or two characters."""
-    size = F.least(F.length("k"), F.lit(postings.GRAM))
+    size = F.least(F.length("k"), F.lit(GRAM))
     runs = lambda n: F.array_distinct(F.regexp_extract_all("k", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-    grams = words.select(F.col("k").alias("word"), F.explode(F.concat(*[runs(n) for n in range(1, postings.GRAM + 1)])).alias("gram"))
+    grams = words.select(F.col("k").alias("word"), F.explode(F.concat(*[runs(n) for n in range(1, GRAM + 1)])).alias("gram"))
     own = terms.where("k <> ''").select(F.col("k").alias("term"), F.substr("k", F.lit(1), size).alias("gram"))
     return grams.join(own, "gram").where(F.contains("word", F.col("term"))).select("word", "term").distinct()
 
