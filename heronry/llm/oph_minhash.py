@@ -147,9 +147,14 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def _sets(docs: DataFrame, classes: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
-    """cid, root, sketch, hashes (bytes of the sorted set) of the classes in known (cid, root, sketch), made from the text of each class's first row; a task gives a class once."""
-    asked = _few(classes.drop("sketch").join(known, "cid").select("cid", "root", "sketch", "digest", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th")))
+def _ids(df: DataFrame) -> DataFrame:
+    """Ids to join by left_semi or left_anti: broadcast if they are FEW rows at most, else distinct."""
+    return F.broadcast(df) if df.count() <= FEW else df.distinct()
+
+
+def _sets(docs: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
+    """cid, root, sketch, hashes (bytes of the sorted set) of the classes in known (cid, root, sketch, digest, first), made from the text of each class's first row; a task gives a class once."""
+    asked = _few(known.select("cid", "root", "sketch", "digest", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th")))
     rows = _keyed_texts(docs).join(asked, (F.col("th") == F.col("first_th")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cid", "root", "sketch", "digest", "text")
 
     def run(batches):
@@ -176,13 +181,13 @@ def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _answers(percent: int):
-    """Reads rows (block, part, asks, cid, root, sketch, hashes) sorted by block, part and asks: a block's classes, then who asks it. Gives one link for each root that the asking class reaches."""
+    """Reads rows (block, part, asks, cid, root, sketch, hashes) sorted by block, part and asks: a block's classes, then who asks it. Gives a link, as the two roots, for each root that the asking class reaches."""
     least = least_agreement(percent)
 
     def run(batches):
         at, held, matrix, roots, sizes = None, [], None, None, None
         for batch in small(batches):
-            links = []
+            links = {}  # in order, each once
             for block, part, asks, cid, root, sketch, hashes in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if (block, part) != at:
                     at, held, matrix = (block, part), [], None
@@ -201,29 +206,39 @@ def _answers(percent: int):
                 for k in near[np.argsort(-agree[near], kind="stable")].tolist():
                     if roots[k] not in met and _reaches(held[k][3], own, percent):
                         met.add(roots[k])
-                        links.append((held[k][0], cid))
+                        links[int(roots[k]), root] = None
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, known: DataFrame, asks: DataFrame, blocks: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """u, v: links, on full sets, between classes that ask (asks: block, cid) and classes of the blocks (block, cid), at least one for each root that a class of the block reaches; cut.
+def _confirmed(docs: DataFrame, known: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """u, v: links, on full sets, between the roots of classes that ask and of classes of the blocks they ask; cut.
 
-    known: cid, root, sketch. A block that more than ASKING classes ask is copied, so each of its parts answers some of them.
+    known: cid, root, sketch, digest, first. rows: block, part, asks, cid, with the classes of a block in each of its parts.
     """
-    asks = cut(asks)
-    if asks.isEmpty():
-        return asks.select(F.col("cid").alias("u"), F.col("cid").alias("v"))
-    parts = asks.groupBy("block").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
-    held = blocks.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "cid")
-    asking = asks.join(parts, "block").select("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "cid")
-    rows = cut(held.union(asking))
-    sets = _sets(docs, classes, known.select("cid", "root", "sketch").join(rows.select("cid").distinct(), "cid"), shingle)
-    sent = sets.join(_few(rows), "cid").select("block", "part", "asks", "cid", "root", "sketch", "hashes")
+    rows = cut(rows)
+    count = rows.count()
+    if not count:
+        return rows.select(F.col("cid").alias("u"), F.col("cid").alias("v"))
+    sets = _sets(docs, known.join(_ids(rows.select("cid")), "cid", "left_semi"), shingle)
+    sent = sets.join(F.broadcast(rows) if count <= FEW else rows, "cid").select("block", "part", "asks", "cid", "root", "sketch", "hashes")
     return cut(sent.repartition("block", "part").sortWithinPartitions("block", "part", "asks").mapInArrow(_answers(percent), "u long, v long"))
 
 
+def _asking_stars(rays: DataFrame) -> DataFrame:
+    """block, part, asks, cid of the classes of rays (cid, centre, m) and of the centres they ask. m, the members of the largest bucket they share, gives the parts."""
+    asking = rays.select(F.col("centre").alias("block"), F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / ASKING)).cast("int").alias("part"), F.lit(True).alias("asks"), "cid")
+    return asking.union(asking.select("block", "part").distinct().select("block", "part", F.lit(False), "block"))
+
+
+def _asking_blocks(asks: DataFrame, rooted: DataFrame) -> DataFrame:
+    """block, part, asks, cid of asks (cid, block) and of the classes of the blocks (rooted: cid, block). A block that more than ASKING classes ask is copied, so each of its parts answers some of them."""
+    parts = _few(asks.groupBy("block").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts")))
+    asking = asks.join(parts, "block").select("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "cid")
+    return asking.union(rooted.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.lit(False), "cid"))
+
+
 def agreeing(a: tuple, b: tuple | None, percent: int) -> list[tuple[int, int]]:
     """(id, block) across a and b (within a if b is None): a class and the block of another, of a different root, whose size and sketch may reach the similarity.
 
@@ -326,7 +341,7 @@ def unconnected(members: DataFrame, rooted: DataFrame, percent: int, block: int
     """
     own = cut(members.join(rooted.select("cid", "root"), "cid"))
     counts = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = own.join(counts.select("key", "size", F.col("most.root").alias("major"), F.col("most.n").alias("n_major")), "key")
+    mixed = own.join(_few(counts.select("key", "size", F.col("most.root").alias("major"), F.col("most.n").alias("n_major"))), "key")
     minor = F.col("root") != F.col("major")
     parts = F.ceil(F.when(minor, F.col("size") - F.col("n_major")).otherwise(F.col("n_major")) / block)
     dealt = mixed.select("key", "cid", (F.col("size") <= block).alias("whole"), minor.alias("minor"), F.when(F.col("size") <= block, 0).otherwise(F.pmod(F.xxhash64("cid"), parts)).alias("part"))
@@ -334,12 +349,12 @@ def unconnected(members: DataFrame, rooted: DataFrame, percent: int, block: int
     found = cut(rows.repartition("key", "half", "part").sortWithinPartitions("key", "half", "part").drop("half").mapInArrow(_within_buckets(percent), _PACK))
     asks, packs = found.where("cid IS NOT NULL").select("cid", "asked"), found.where("cid IS NULL").drop("cid", "asked")
     if not packs.isEmpty():
-        names = packs.select("key", "block", "minor", "root")
+        names = _few(packs.select("key", "block", "minor", "root"))
         left, right = names.select("key", F.col("block").alias("x"), F.col("root").alias("rx")), names.select("key", F.col("block").alias("y"), F.col("root").alias("ry"), "minor")
         # A pack of the frequent root meets packs of the rest; packs of the rest meet each other and themselves.
         met = right.where("minor").join(left, "key").where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("rx") == F.col("ry"), F.lit(False)))
         side = lambda name, to: packs.select("key", F.col("block").alias(name), F.col("data").alias(to))
-        both = met.select("key", "x", "y").join(side("x", "a"), ["key", "x"]).join(side("y", "b"), ["key", "y"]).select("a", "b", (F.col("x") == F.col("y")).alias("same"))
+        both = _few(met.select("key", "x", "y")).join(side("x", "a"), ["key", "x"]).join(side("y", "b"), ["key", "y"]).select("a", "b", (F.col("x") == F.col("y")).alias("same"))
         asks = asks.union(both.mapInArrow(_between_blocks(percent), "cid long, asked long"))
     return asks.select("cid", F.col("asked").alias("block")).distinct()
 
@@ -353,26 +368,24 @@ def _linked(docs: DataFrame, shingle: int, percent: int, block: int) -> tuple[Da
     keyed = classes.where("bands IS NOT NULL").select("cid", "n", F.explode("bands").alias("key"))
     centres = keyed.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("centre"), F.count("*").alias("m")).where("m > 1")
     members = cut(keyed.join(centres, "key").select("key", "cid", "n", "m", F.col("centre.cid").alias("centre"), F.col("centre.n").alias("n_centre")))
-    star = members.where((F.col("cid") != F.col("centre")) & (100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre"))).groupBy("cid", "centre").agg(F.count("*").alias("shared"))
-    by_share = Window.partitionBy("cid").orderBy(F.desc("shared"), "centre")
-    star = cut(star.withColumn("place", F.row_number().over(by_share)).where(F.col("place") <= 1 + TRIES))  # what is left out here meets again in the buckets
-    alone = classes.where("bands IS NOT NULL").select("cid", F.col("cid").alias("root"), "sketch")
-
-    def tried(rays: DataFrame) -> DataFrame:
-        return _confirmed(docs, classes, alone, rays.select(F.col("centre").alias("block"), "cid"), rays.select(F.col("centre").alias("block"), F.col("centre").alias("cid")).distinct(), shingle, percent)
-
-    first = tried(star.where("place = 1"))
-    linked = first.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
-    edges = first.union(tried(star.where("place > 1").join(linked, "cid", "left_anti")))
-    at_first = components(edges)
-    group = members.groupBy("cid").agg(F.max(F.struct("m", (-F.col("centre")).alias("back"))).alias("g")).select("cid", F.col("g.back").alias("g"))
-    sizes = group.groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("n_blocks"))
-    kept_in = group.join(sizes, "g").select("cid", F.xxhash64("g", F.pmod(F.xxhash64("cid"), F.col("n_blocks"))).alias("block"))
-    rooted = cut(classes.where("bands IS NOT NULL").join(kept_in, "cid").join(at_first, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "n", "sketch", "block"))
+    similar = (F.col("cid") != F.col("centre")) & (100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre"))
+    own = Window.partitionBy("cid")
+    met = members.repartition("cid").groupBy("cid", "centre").agg(F.count_if(similar).alias("shared"), F.max("m").alias("m"))
+    met = met.select("*", F.row_number().over(own.orderBy(F.desc("shared"), "centre")).alias("place"), F.max(F.struct("m", (-F.col("centre")).alias("back"))).over(own).alias("g"))
+    met = cut(met.where(F.col("place") <= 1 + TRIES))  # what is left out here meets again in the buckets
+    star = met.where("shared > 0").select("cid", "centre", "m", "place")
+    alone = classes.where("bands IS NOT NULL").withColumn("root", F.col("cid"))
+    first = _confirmed(docs, alone, _asking_stars(star.where("place = 1")), shingle, percent)
+    further = star.where("place > 1").join(_ids(first.select(F.explode(F.array("u", "v")).alias("cid"))), "cid", "left_anti")
+    at_first = components(first.union(_confirmed(docs, alone, _asking_stars(further), shingle, percent)))
+    # A group's share of its largest bucket is dealt into blocks of about GROUP classes.
+    kept_in = met.where("place = 1").select("cid", F.xxhash64("g", F.pmod(F.xxhash64("cid"), F.ceil(F.col("g.m") / GROUP))).alias("block"))
+    rooted = cut(classes.where("bands IS NOT NULL").drop("bands").join(kept_in, "cid").join(at_first, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node"))
     asks = cut(unconnected(members.select("key", "cid"), rooted, percent, block))
-    held = rooted.select("block", "cid").join(asks.select("block").distinct(), "block", "left_semi")
-    more = _confirmed(docs, classes, rooted, asks, held, shingle, percent)
-    found = at_first if more.isEmpty() else components(edges.union(more))
+    more = _confirmed(docs, rooted, _asking_blocks(asks, rooted), shingle, percent)
+    found = rooted.select(F.col("cid").alias("node"), "root")
+    if not more.isEmpty():  # these links are between roots
+        found = found.join(components(more).select(F.col("node").alias("root"), F.col("root").alias("least_root")), "root", "left").select("node", F.coalesce("least_root", "root").alias("root"))
     return prints, classes.join(found, F.col("cid") == F.col("node"), "left").select("cid", "digest", "least", F.coalesce("root", "cid").alias("root"))
 
 
