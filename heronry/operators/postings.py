@@ -1,22 +1,25 @@
-"""Lexical search over an inverted index: postings of words in blocks of documents, rarest terms first.
+"""Lexical search in blocks of texts, and an inverted index for searches of whole words.
 
-The index has a row for each word of a block of DOCS documents (the places of the documents that hold it) and a row for
-the block itself (ids and groups). The terms of a block of queries are one automaton, which runs over the words of the
-index, never over documents; only postings of words that hold a term go on, dealt out by block. Within a block a query asks for the best
-`limit` by the number of its terms. The count that the last of its best so far has is the mark to reach: a block
-with fewer of the terms is left out as a whole, and of m terms only the m - mark + 1 rarest open new candidates; the
-frequent ones are looked up for candidates alone, while they can still reach the mark. So a frequent term never makes a
-row, or even a step, for every document that holds it.
+Search takes the best `limit` texts of each query by the number of its terms that stand in them. Each task reads its texts
+once. The terms of a block of queries are one automaton, which runs once over each different word that a task meets, never
+over a text. DOCS texts make a block, in which each term is a row of bits, one for each text. The counts of a chunk of
+queries over all texts of a block are a few planes of such bits (plane k has bit k of the counts), added up 64 texts at a
+time. The count that the last of a query's best so far has is the mark to reach: a query of which a block has fewer terms
+is left out, and only texts that reach the mark are looked at one by one, never more than `limit` and a word of bits. A
+task sends the best of each query only, and texts are dealt out evenly first, so one large file is not one task.
 
 A query may be limited to one group of documents (its project) and name documents it rejects: both are left out before
 the best are chosen, so its list is refilled from the rest.
+
+The index has a row for each word of a block of DOCS documents (the places of the documents that hold it) and a row for
+the block itself (ids and groups). It is written only if postings or places are asked for.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from dataclasses import dataclass
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -30,22 +33,38 @@ from ..sources.shared import cut
 
 #: Documents of a block (their places fit 16 bits), and postings after which a block is closed early.
 DOCS, POSTINGS = 4096, 1 << 19
+#: Pairs of a text and a term after which a block of texts is closed early, words whose terms a task remembers, queries counted at a time.
+PAIRS, WORDS, CHUNK = 1 << 22, 1 << 19, 128
 
 
-@dataclass
 class Index:
-    """low: item_id and lower-case text; places: block, items, groups; postings: block, word, at."""
+    """low: item_id, lower-case text and group g; places: block, items, groups; postings: block, word, at."""
+
+    def __init__(self, low: DataFrame):
+        self.low = low
 
-    low: DataFrame
-    places: DataFrame
-    postings: DataFrame
+    @cached_property
+    def _made(self) -> DataFrame:
+        return _written(self.low)
+
+    @property
+    def places(self) -> DataFrame:
+        return self._made.where("word IS NULL").select("block", "items", "groups")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._made.where("word IS NOT NULL").select("block", "word", "at")
 
 
 def build(corpus: DataFrame, group: str | None = None) -> Index:
-    """Index of corpus (item_id, content and, if named, a column of groups). Each task indexes what it reads; nothing is shuffled."""
-    kind = corpus.schema["item_id"].dataType
+    """Index of corpus (item_id, content and, if named, a column of groups)."""
+    return Index(corpus.select("item_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g")))
+
+
+def _written(low: DataFrame) -> DataFrame:
+    """Rows of words and of blocks. Each task indexes what it reads; nothing is shuffled."""
+    kind = low.schema["item_id"].dataType
     arrow = to_arrow_type(kind)
-    low = corpus.select("item_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"))
 
     def run(batches):
         part, number = TaskContext.get().partitionId() << 31, 0
@@ -84,38 +103,7 @@ def build(corpus: DataFrame, group: str | None = None) -> Index:
         if items:
             yield from rows()
 
-    made = cut(low.mapInArrow(run, f"block long, word string, items array<{kind.simpleString()}>, groups array<string>, n int, at binary"))
-    return Index(low.select("item_id", "low"), made.where("word IS NULL").select("block", "items", "groups"), made.where("word IS NOT NULL").select("block", "word", "at"))
-
-
-def _holding(index: Index, terms: list[str]) -> DataFrame:
-    """block, term, at: the postings of words that hold one of the terms (without white space, bounded by the block of queries)."""
-
-    def run(batches):
-        held = ahocorasick.Automaton()
-        for k, t in enumerate(terms):
-            held.add_word(t, k)
-        if terms:
-            held.make_automaton()
-        for batch in batches:
-            rows, found = [], []
-            if terms:
-                for row, word in enumerate(batch.column(1).to_pylist()):
-                    for k in {k for _, k in held.iter(word)}:
-                        rows.append(row)
-                        found.append(terms[k])
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(found, pa.string()), batch.column(2).take(at)], names=["block", "term", "at"])
-
-    return index.postings.mapInArrow(run, "block long, term string, at binary")
-
-
-def _spaced(index: Index, terms: DataFrame) -> DataFrame:
-    """block, term, at of terms with white space, which are searched in the texts themselves."""
-    found = index.low.join(F.broadcast(terms), F.contains("low", F.col("term"))).select("item_id", "term")
-    places = index.places.select("block", F.posexplode("items").alias("place", "item_id"))
-    at = found.join(places, "item_id").groupBy("block", "term").agg(F.sort_array(F.collect_list("place")).alias("at"))  # DOCS at most
-    return at.select("block", "term", F.unhex(F.array_join(F.transform("at", lambda p: F.concat(F.lpad(F.hex(p % 256), 2, "0"), F.lpad(F.hex(F.floor(p / 256)), 2, "0"))), "")).alias("at"))
+    return cut(low.mapInArrow(run, f"block long, word string, items array<{kind.simpleString()}>, groups array<string>, n int, at binary"))
 
 
 def best_of_block(own: list[np.ndarray], mark: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -138,81 +126,189 @@ def best_of_block(own: list[np.ndarray], mark: int, allowed: np.ndarray | None)
     return at, n
 
 
+class Words(dict):
+    """The numbers of the terms that a word (bytes) holds, found when first asked for."""
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__()
+        self.held = ahocorasick.Automaton()
+        for t, k in numbers.items():
+            self.held.add_word(t, k)
+        if numbers:
+            self.held.make_automaton()
+        self.some = bool(numbers)
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= WORDS:
+            self.clear()
+        found = self[word] = tuple({k for _, k in self.held.iter(word.decode())}) if self.some else ()
+        return found
+
+
+def counted(bits: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Planes of how many of its rows (one line a query) hold each place: plane k has bit k of the counts."""
+    planes = []
+    for j in range(rows.shape[1]):
+        carry = bits[rows[:, j]]
+        for plane in planes:
+            both = plane & carry
+            plane ^= carry
+            carry = both
+        if (j + 1).bit_length() > len(planes):
+            planes.append(carry)
+    return planes
+
+
+def compared(planes: list[np.ndarray], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the places with a count above each query's mark, and of those with just that."""
+    more, same = np.zeros_like(planes[0]), np.full_like(planes[0], ~np.uint64(0))
+    for p in reversed(range(len(planes))):
+        one = np.where(marks >> p & 1, ~np.uint64(0), np.uint64(0))[:, None]
+        more |= same & planes[p] & ~one
+        same &= ~(planes[p] ^ one)
+    return more, same
+
+
+def first_of_block(planes: list[np.ndarray], marks: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, count) of the places that reach the marks (1 or more); of more than `limit` the best, the first of equal ones, and at most a word of bits beyond."""
+    size = lambda b: np.bitwise_count(b).sum(axis=1, dtype=np.int64)
+    more, same = compared(planes, marks)
+    many = np.flatnonzero(size(more) + size(same) > limit)
+    if len(many):
+        own, least = [p[many] for p in planes], np.zeros(len(many), np.int64)
+        for p in reversed(range(len(planes))):
+            can = least | 1 << p
+            least = np.where(sum(map(size, compared(own, can))) >= limit, can, least)
+        more[many], same[many] = compared(own, least)
+    n = np.bitwise_count(same)
+    same[np.cumsum(n, axis=1, dtype=np.int64) - n >= (limit - size(more))[:, None]] = 0
+    found = (more | same).reshape(-1)
+    at = np.flatnonzero(found)
+    k, bit = np.nonzero(np.unpackbits(found[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    word, width = at[k], more.shape[1]
+    count = np.zeros(len(word), np.int64)
+    for p, plane in enumerate(planes):
+        count |= (plane.reshape(-1)[word] >> bit.astype(np.uint64) & np.uint64(1)).astype(np.int64) << p
+    return word // width, word % width * 64 + bit, count
+
+
 def search(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     """query_id, item_id, n, n_terms: the best by the number of distinct terms that stand anywhere in a text, ties by item_id, for one block of queries.
 
     queries: query_id, terms and, as they may be, wanted (the group it is limited to) and rejected (ids). Their number is
-    bounded by the caller (in_blocks), so they go to every task; each task keeps the best of its blocks.
+    bounded by the caller (in_blocks), so they go to every task; each task keeps the best of its texts.
     """
     columns = [c for c in ("wanted", "rejected") if c in queries.columns]
-    asked = queries.select("query_id", F.array_distinct("terms").alias("terms"), *columns).collect()
+    asked = queries.select("query_id", F.array_distinct(F.coalesce("terms", F.array().cast("array<string>"))).alias("terms"), *columns).collect()
+    asked.sort(key=lambda q: len(q["terms"]))  # a chunk's queries have about as many terms
     kind, item = queries.schema["query_id"].dataType, index.low.schema["item_id"].dataType
     of = {}
     for q in asked:
-        for t in q["terms"] or ():
-            of.setdefault(t, len(of))
-    plan = [(k, [of[t] for t in q["terms"] or ()], q["wanted"] if "wanted" in columns else None, set(q["rejected"] or ()) if "rejected" in columns else set()) for k, q in enumerate(asked)]
-    names = [q["query_id"] for q in asked]
-    sizes = [len(q["terms"] or ()) for q in asked]
-    spaced = [t for t in of if re.search(r"[ \t\n\x0b\f\r]", t)]
-    found = _holding(index, sorted(set(of) - set(spaced) - {""}))
-    if spaced:
-        found = found.unionByName(_spaced(index, queries.sparkSession.createDataFrame([(t,) for t in spaced], "term string")))
-    rows = found.withColumns({"items": F.lit(None).cast(index.places.schema["items"].dataType), "groups": F.lit(None).cast("array<string>")})
-    rows = rows.unionByName(index.places.select("block", F.lit(None).cast("string").alias("term"), F.lit(None).cast("binary").alias("at"), "items", "groups"))
+        for t in q["terms"]:
+            of.setdefault(t, len(of) + 1)  # 0: no term
+    names, sizes = [q["query_id"] for q in asked], np.array([len(q["terms"]) for q in asked], np.int64)
+    own = np.fromiter((of[t] for q in asked for t in q["terms"]), np.int32, int(sizes.sum()))
+    begins = np.cumsum(sizes) - sizes
+    wanted = [q["wanted"] for q in asked] if "wanted" in columns else [None] * len(asked)
+    groups_of = {g: k for k, g in enumerate(dict.fromkeys(g for g in wanted if g is not None), 1)}
+    wanted = np.array([groups_of.get(g, 0) for g in wanted], np.int64)  # 0: any
+    out = [(i, k) for k, q in enumerate(asked) for i in q["rejected"] or ()] if "rejected" in columns else []
+    out.sort()
+    out_items, out_of = np.array([i for i, _ in out]), np.array([k for _, k in out], np.int64)
+    spaced = {t: k for t, k in of.items() if re.search(r"[ \t\n\x0b\f\r]", t)}
+    plain = {t: k for t, k in of.items() if t and t not in spaced}
 
     def run(batches):
-        best = {}  # query -> its best so far, as (-count, item)
-        block, items, groups, held = None, [], [], {}
-
-        def score():
-            if not held:
+        words, across = Words(plain), Words(spaced)
+        best = [[] for _ in names]
+        marks, last = np.ones(len(names), np.int64), [None] * len(names)
+        chunks = []
+        for lo in range(0, len(names), CHUNK):
+            n = sizes[lo : lo + CHUNK]
+            most = int(n.max())
+            if most:
+                at = begins[lo : lo + CHUNK, None] + np.arange(most)
+                chunks.append((lo, np.where(np.arange(most) < n[:, None], own[np.minimum(at, len(own) - 1)], 0)))
+
+        def score(items, groups, ids, held):
+            if not ids:
                 return
-            own_of = {}
-            for t, parts in held.items():
-                own_of[of[t]] = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-            inside = {}
-            for k, ids, wanted, rejected in plan:
-                own = [own_of[t] for t in ids if t in own_of]
-                kept = best.get(k, ())
-                mark = -kept[-1][0] if len(kept) >= limit else 1
-                if len(own) < mark:
+            order = sorted(range(len(items)), key=items.__getitem__)  # of equal ones the first place is the least id
+            place = np.empty(len(items), np.int64)
+            place[order] = np.arange(len(items))
+            items = [items[k] for k in order]
+            width = -(-len(items) // 64)
+            ids, at = np.frombuffer(ids, np.int32), np.repeat(place, held)
+            present = np.zeros(len(of) + 1, bool)
+            present[ids] = True
+            row = np.where(present, np.cumsum(present), 0)  # row 0: no text of the block
+            bits = np.zeros((int(present.sum()) + 1, width), np.uint64)
+            bit = lambda at: np.uint64(1) << (at & 63).astype(np.uint64)
+            np.bitwise_or.at(bits.reshape(-1), row[ids] * width + (at >> 6), bit(at))
+            inside = None
+            if groups_of:
+                inside = np.zeros((len(groups_of) + 1, width), np.uint64)
+                inside[0] = ~np.uint64(0)
+                g = np.array([groups_of.get(groups[k], 0) for k in order], np.int64)
+                at = np.flatnonzero(g)
+                np.bitwise_or.at(inside.reshape(-1), g[at] * width + (at >> 6), bit(at))
+            out_q = out_at = np.zeros(0, np.int64)
+            if len(out_of):
+                mine = np.array(items)
+                lo, hi = np.searchsorted(out_items, mine), np.searchsorted(out_items, mine, "right")
+                out_at = np.repeat(np.arange(len(items)), hi - lo)
+                out_q = out_of[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(len(out_at))]
+                by = np.argsort(out_q, kind="stable")
+                out_q, out_at = out_q[by], out_at[by]
+            for lo, terms in chunks:
+                rows = row[terms]
+                mark = marks[lo : lo + len(terms)] + np.fromiter((x is not None and items[0] > x for x in last[lo : lo + len(terms)]), bool, len(terms))
+                take = np.flatnonzero((rows > 0).sum(axis=1) >= mark)
+                if not len(take):
                     continue
-                allowed = None
-                if wanted is not None:
-                    if wanted not in inside:
-                        inside[wanted] = np.array([g == wanted for g in groups], bool)
-                    allowed = inside[wanted]
-                if rejected:
-                    out = [p for p, i in enumerate(items) if i in rejected]
-                    if out:
-                        allowed = np.ones(len(items), bool) if allowed is None else allowed.copy()
-                        allowed[out] = False
-                at, n = best_of_block(own, mark, allowed)
-                if len(n) > limit:
-                    least = np.partition(n, len(n) - limit)[len(n) - limit]
-                    at, n = at[n >= least], n[n >= least]
-                if len(at):
-                    best[k] = sorted([*kept, *((-int(c), items[p]) for p, c in zip(at, n, strict=True))])[:limit]
-
-        for batch in batches:
-            for b, term, at, its, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if b != block:
-                    score()
-                    block, items, groups, held = b, [], [], {}
-                if term is None:
-                    items, groups = its, own
-                else:
-                    held.setdefault(term, []).append(np.frombuffer(at, np.uint16).astype(np.int64))
-        score()
-        out = [(names[k], i, -c, sizes[k]) for k, kept in best.items() for c, i in kept]
+                mark = mark[take]
+                planes = counted(bits, rows[take])
+                a, b = np.searchsorted(out_q, [lo, lo + len(terms)])
+                if inside is not None or b > a:
+                    allowed = np.full((len(terms), width), ~np.uint64(0)) if inside is None else inside[wanted[lo : lo + len(terms)]]
+                    np.bitwise_and.at(allowed.reshape(-1), (out_q[a:b] - lo) * width + (out_at[a:b] >> 6), ~bit(out_at[a:b]))
+                    allowed = allowed[take]
+                    for plane in planes:
+                        plane &= allowed
+                q, at, n = first_of_block(planes, mark, limit)
+                ends = np.flatnonzero(np.diff(q, append=-1)) + 1
+                at, n, begin = at.tolist(), (-n).tolist(), 0
+                for end in ends.tolist():
+                    k = lo + int(take[q[begin]])
+                    kept = best[k] = sorted([*best[k], *((n[x], items[at[x]]) for x in range(begin, end))])[:limit]
+                    if len(kept) == limit:
+                        marks[k], last[k] = -kept[-1][0], kept[-1][1]
+                    begin = end
+
+        items, groups, ids, held = [], [], array("i"), []
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                for i, text, g in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    found = set().union(*map(words.__getitem__, set(text.split())))
+                    if across.some:
+                        found.update(k for _, k in across.held.iter(text.decode()))
+                    ids.extend(found)
+                    held.append(len(found))
+                    items.append(i)
+                    groups.append(g)
+                    if len(items) >= DOCS or len(ids) >= PAIRS:
+                        score(items, groups, ids, held)
+                        items, groups, ids, held = [], [], array("i"), []
+        if items:
+            score(items, groups, ids, held)
+        rows = [(names[k], i, -c, int(sizes[k])) for k, kept in enumerate(best) for c, i in kept]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], to_arrow_type(kind)), pa.array([r[1] for r in out], to_arrow_type(item)), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())],
+            [pa.array([r[0] for r in rows], to_arrow_type(kind)), pa.array([r[1] for r in rows], to_arrow_type(item)), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())],
             names=["query_id", "item_id", "n", "n_terms"],
         )
 
-    dealt = rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("term")).select("block", "term", "at", "items", "groups")
-    return dealt.mapInArrow(run, f"query_id {kind.simpleString()}, item_id {item.simpleString()}, n long, n_terms long")
+    return index.low.repartition("item_id").mapInArrow(run, f"query_id {kind.simpleString()}, item_id {item.simpleString()}, n long, n_terms long")
 
 
 def matching(index: Index, queries: DataFrame) -> DataFrame:
