@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import policy as P
 from ..functions import vectors as V
 from ..sources.shared import cut
-from . import postings
+from . import cosines, postings
 
 #: Characters of the gram by which a key meets the keys that may hold it.
 GRAM = 3
@@ -55,8 +55,13 @@ def memory(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT, g
     return in_blocks(queries, lambda q: ranked(lexical_scores(q, known, limit).withColumn("raw", F.col("raw") + 0.15), "memory", limit))
 
 
-def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, item_id, raw: cosine, 0 at least, of one block of queries (query_id, vector) and corpus (item_id, vector)."""
+def vector_scores(queries: DataFrame, corpus: DataFrame, limit: int | None = None) -> DataFrame:
+    """query_id, item_id, raw: cosine, 0 at least, of one block of queries (query_id, vector) and corpus (item_id, vector).
+
+    With limit, only what can be among the best `limit` of a query goes on; then queries may also have wanted (a group, g of corpus) and rejected (ids).
+    """
+    if limit is not None:
+        return cosines.best(queries, corpus, limit).withColumn("raw", F.round("raw", 6))
     q = queries.select("query_id", F.col("vector").alias("_q"), V.norm(F.col("vector")).alias("_nq"))
     c = corpus.select("item_id", F.col("vector").alias("_c"), V.norm(F.col("vector")).alias("_nc"))
     n = F.col("_nq") * F.col("_nc")
@@ -65,7 +70,8 @@ def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def vector(queries: DataFrame, corpus: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
-    return in_blocks(queries, lambda q: ranked(vector_scores(q, corpus), "vector", limit))
+    """queries: query_id, vector; and, as they may be, wanted (a group, then g of corpus) and rejected, ids that a query leaves out."""
+    return in_blocks(queries, lambda q: ranked(vector_scores(q, corpus, limit), "vector", limit))
 
 
 def best_chunk(queries: DataFrame, chunks: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:

@@ -143,8 +143,8 @@ def _hits(spark, d, q, labels, items):
     texts = approved.select("item_id", "item_type", "project", F.concat_ws(" ", "title", "summary", "content").alias("content"))
     lexical, memory = S.lexical(terms, texts, group="project"), S.memory(terms, texts, group="project")
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    asked = v.withColumnRenamed("item_id", "query_id").join(q.select("query_id"), "query_id", "left_semi")
-    vector = S.in_blocks(asked, lambda b: S.ranked(allowed(S.vector_scores(b, v)), "vector"))
+    asked = v.withColumnRenamed("item_id", "query_id").join(terms.select("query_id", "wanted", "rejected"), "query_id")
+    vector = S.vector(asked, v.join(approved.select("item_id", F.col("project").alias("g")), "item_id"))
     direct = cut(metadata.unionByName(lexical).unionByName(memory).unionByName(vector))
     graph = S.graph(direct.select("query_id", "item_id").distinct(), edges(spark, d), direct.limit(0), allowed=allowed)
     place = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("nr", "item_id")))
