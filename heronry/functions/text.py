@@ -43,7 +43,11 @@ def document_name(v: Column) -> Column:
 
 def symbols(c: Column) -> Column:
     """Distinct names of code of a text without its files: in backticks, by suffix, in Pascal case, and called, less words that are none."""
-    own = without_files(c)
+    return symbols_without_files(without_files(c))
+
+
+def symbols_without_files(own: Column) -> Column:
+    """As symbols, of a text that files are taken out of; a column of its own is computed once, an expression once for each pattern."""
     every = lambda pattern: F.regexp_extract_all(own, F.lit(pattern), F.lit(1))
     spans = F.filter(every(P.CODE_SPAN), lambda v: v.rlike(P.NAME_SHAPE) & (v.rlike(P.NAME_STRUCTURE) | v.rlike(P.NAME_HUMP)))
     pascal = F.filter(every(P.PASCAL_PATTERN), lambda v: ~document_name(v) & (v.rlike("[0-9_]") | (v.rlike("[a-z]") & F.substring(v, 2, 1 << 20).rlike("[A-Z]"))))
@@ -56,7 +60,10 @@ def symbols(c: Column) -> Column:
 
 def errors(c: Column) -> Column:
     """Distinct names, codes and numbers of errors of a text without its files."""
-    own = without_files(c)
+    return errors_without_files(without_files(c))
+
+
+def errors_without_files(own: Column) -> Column:
     found = F.array_distinct(F.concat(*[F.regexp_extract_all(own, F.lit(p), F.lit(1)) for p in P.ERROR_PATTERNS]))
     return F.filter(found, lambda v: ~document_name(v))
 

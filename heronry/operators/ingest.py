@@ -43,8 +43,8 @@ def enriched_labels(classified: DataFrame, own: DataFrame, key: str) -> DataFram
     sure = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.55 + F.col("confidence") * 0.4)), 6)
     given = own.select(key, "type", "value", "weight", F.lit(0.95).alias("confidence"), F.lit("prompt").alias("source"), F.lit(-1).alias("n"))
     named = own.where("type = 'domain'").select(key).distinct()
-    found = classifier_labels(classified, key, sure)
-    kept = found.where("type <> 'domain'").unionByName(found.where("type = 'domain'").join(named, key, "left_anti"))
+    inferred = classified.join(named.withColumn("_named", F.lit(True)), key, "left").withColumn("domain", F.when(F.col("_named").isNull(), F.col("domain")))  # each text is classified once
+    kept = classifier_labels(inferred, key, sure)
     return merged_labels(given.unionByName(kept), key)
 
 

@@ -13,8 +13,10 @@ from ..functions import text as T
 
 def classify(prompts: DataFrame) -> DataFrame:
     """prompts (prompt and others) with task, files, symbols, errors, technologies, areas, domain, n_signals, confidence."""
-    c = F.col("prompt")
-    found = prompts.select("*", T.task_type(c).alias("task"), T.files(c).alias("files"), T.symbols(c).alias("symbols"), T.errors(c).alias("errors"), T.terms_in(c, P.TECHNOLOGIES).alias("technologies"), T.hints_in(c, P.BUSINESS_AREAS).alias("areas"))
+    c, own = F.col("prompt"), F.col("_own")
+    # Files are taken out once: a column that is used more than once is not put into the expressions that use it.
+    rows = prompts.withColumn("_own", T.without_files(c))
+    found = rows.select("*", T.task_type(c).alias("task"), T.files(c).alias("files"), T.symbols_without_files(own).alias("symbols"), T.errors_without_files(own).alias("errors"), T.terms_in(c, P.TECHNOLOGIES).alias("technologies"), T.hints_in(c, P.BUSINESS_AREAS).alias("areas")).drop("_own")
     lists = ("files", "symbols", "errors", "technologies", "areas")
     n = sum(((F.size(x) > 0).cast("int") for x in lists), (F.col("task") != "unknown").cast("int"))
     return found.withColumns({"domain": T.domain(F.col("files")), "n_signals": n}).withColumn("confidence", T.confidence(F.col("n_signals")))

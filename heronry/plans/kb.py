@@ -13,17 +13,20 @@ TYPES = ("files", "symbols", "errors", "technologies", "areas")
 
 
 def kb(spark, d):
+    """Items made of the parts, dealt out by id first: the file is small, what is done with each text is not."""
     k = F.col("query_id")
-    return prompts(spark, d).select(
+    return prompts(spark, d).repartition("query_id").select(
         k.alias("item_id"), F.concat(F.lit("p"), (F.col("p_size") % 5).cast("string")).alias("project"), pick(ITEM_TYPES, k % 8).alias("item_type"), F.col("p_name").alias("title"), F.col("p_type").alias("summary"), F.col("prompt").alias("content"),
         F.when(k % 17 == 0, "archived").otherwise("approved").alias("status"), (30 + k * 7 % 70).cast("int").alias("trust"), F.date_sub(F.lit(AS_OF).cast("date"), (k * 13 % 900).cast("int")).alias("fresh_on"),
         F.when(k % 41 == 0, "legacy_archived").when(k % 43 == 0, "legacy_replaced").alias("legacy"), F.when(k % 23 == 0, "suspicious").when(k % 29 != 0, "safe").alias("safety"),
     )
 
 
-def classified(spark, d):
-    """kb with task, signals, domain and confidence of the content."""
-    return signals.classify(kb(spark, d).withColumn("prompt", F.col("content")))
+def classified(spark, d, which="TRUE"):
+    """kb, or which rows of it, with task, signals, domain and confidence of the content. Equal texts are classified once."""
+    rows = kb(spark, d).where(which)
+    found = signals.classify(rows.select(F.col("content").alias("prompt")).distinct())
+    return rows.join(found, F.col("content").eqNullSafe(F.col("prompt")))
 
 
 def own_labels(spark, d):
@@ -41,7 +44,7 @@ def labels(spark, d):
 def queries(spark, d):
     """Every 100th item's text as a query, with intent, the project it is asked for (for two of three) and strict noise tolerance (for half)."""
     k = F.col("item_id")
-    q = signals.intent(classified(spark, d).where("item_id % 100 = 0"))
+    q = signals.intent(classified(spark, d, "item_id % 100 = 0"))
     return q.select(
         k.alias("query_id"), "prompt", "task", *TYPES, "domain", F.col("confidence").alias("classified"), "mode", "required", F.when(k % 300 != 0, F.col("project")).alias("wanted_project"), (k % 200 == 0).alias("strict"),
     )
